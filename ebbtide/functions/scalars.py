@@ -107,18 +107,17 @@ def cut(value: Column, edges: Sequence, labels: Sequence[str]) -> Column:
     return label
 
 
-def quantile_bin(value: Column, inner_edges: Column, n_edges: int, strict: bool = False) -> Column:
-    """1 + the number of inner edges below a value: right-closed bins, the lowest included.
+def quantile_bin(value: Column, edges: Sequence[float], strict: bool = False) -> Column:
+    """The quantile bin of a value, from all edges, lowest and highest included.
 
-    Equal edges leave some bins empty; ``strict`` raises instead.
+    1 + the number of inner edges below the value: bins are closed on the right, and the lowest
+    value is in the first. Equal edges leave some bins empty; ``strict`` raises instead.
     """
-    steps = [inner_edges[i] for i in range(n_edges)]
+    if strict and len(set(edges)) < len(edges):
+        raise ValueError(f"quantile edges are not distinct: {list(edges)}")
     score = F.lit(1)
-    for edge in steps:
+    for edge in edges[1:-1]:
         score = score + F.when(value > edge, 1).otherwise(0)
-    if strict:
-        for lo, hi in zip(steps[:-1], steps[1:]):
-            score = F.when(lo == hi, F.raise_error(F.lit("quantile edges are not distinct"))).otherwise(score)
     return F.when(value.isNotNull(), score.cast("int"))
 
 

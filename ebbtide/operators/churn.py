@@ -13,6 +13,7 @@ from ebbtide.functions.scalars import as_flag, cut
 from ebbtide.operators.features import PRICE, WINDOW_FEATURE_COLUMNS, window_features
 from ebbtide.operators.gaps import purchase_gaps
 from ebbtide.operators.quality import is_purchase
+from ebbtide.runtime import resolved_row
 
 
 def churn_threshold(
@@ -31,7 +32,7 @@ def churn_threshold(
 
 @dataclass(frozen=True)
 class Windows:
-    """The observation window and the label window after it, as scalar-subquery columns."""
+    """The observation window and the label window after it."""
 
     obs_start: Column
     snapshot: Column
@@ -59,8 +60,8 @@ def window_table(pur: DataFrame, threshold: Column) -> DataFrame:
 
 
 def churn_windows(pur: DataFrame, threshold: Column) -> Windows:
-    table = window_table(pur, threshold)
-    return Windows(*[table.select(c).scalar() for c in ("obs_start", "snapshot", "label_end")])
+    found = resolved_row(window_table(pur, threshold))
+    return Windows(found["obs_start"], found["snapshot"], found["label_end"])
 
 
 def with_label(df: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def modeling_dataset(clean: DataFrame, windows: Windows) -> DataFrame:
 def derived_windows(clean: DataFrame) -> Windows:
     """Windows under the threshold derived from the customers' own gaps between purchase days."""
     pur = clean.filter(is_purchase("not_return", PRICE))
-    threshold = churn_threshold(purchase_gaps(pur, "day")).select("threshold_days").scalar()
+    threshold = resolved_row(churn_threshold(purchase_gaps(pur, "day")))["threshold_days"]
     return churn_windows(pur, threshold)
 
 

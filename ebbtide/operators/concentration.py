@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.ordering import running_sums
+from ebbtide.runtime import one_row
 
 
 def _collapsed(df: DataFrame, column: str) -> DataFrame:
@@ -22,11 +23,11 @@ def _collapsed(df: DataFrame, column: str) -> DataFrame:
 def lorenz(df: DataFrame, column: str) -> DataFrame:
     """The Lorenz curve at the last row of each distinct value."""
     placed = _collapsed(df, column)
-    totals = placed.agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+    totals = one_row(placed.agg(F.sum("n").alias("n"), F.sum("amount").alias("amount")))
     return placed.select(
         "value",
-        (F.col("cum_n") / totals.select("n").scalar()).alias("population_share"),
-        F.try_divide(F.col("cum_amount"), totals.select("amount").scalar()).alias("cumulative_share"),
+        (F.col("cum_n") / totals["n"]).alias("population_share"),
+        F.try_divide(F.col("cum_amount"), totals["amount"]).alias("cumulative_share"),
     )
 
 

@@ -10,9 +10,9 @@ from ebbtide.functions.calendar import elapsed_days, midnight, month_text
 from ebbtide.functions.scalars import (
     country_group, cut, label_at, quantile_bin, rank_bin, rfm_code, rfm_segment,
 )
-from ebbtide.operators.ordering import quantile_array, ranked
+from ebbtide.operators.ordering import quantile_values, ranked
 from ebbtide.operators.quality import is_purchase, is_return
-from ebbtide.runtime import materialized
+from ebbtide.runtime import materialized, one_row, resolved_row
 
 
 def _when(condition: Column | None, value: Column) -> Column:
@@ -109,19 +109,20 @@ def with_segments(totals: DataFrame, strict: bool = False) -> DataFrame:
     the result read them from there.
     """
     spread = ranked(totals, ["unique_invoices", "customer_id"], "_frequency_rank")
-    facts = spread.agg(F.count(F.lit(1)).alias("n"), F.max("last_purchase").alias("latest"))
-    n, latest = facts.select("n").scalar(), facts.select("latest").scalar()
-    aged = spread.withColumn("recency_days", elapsed_days(F.col("last_purchase"), latest))
-    quartiles = [0.25, 0.5, 0.75]
-    spend_edges = quantile_array(spread, "total_spend", quartiles)
+    facts = resolved_row(
+        spread.agg(F.count(F.lit(1)).alias("n"), F.max("last_purchase").alias("latest"))
+    )
+    aged = spread.withColumn("recency_days", elapsed_days(F.col("last_purchase"), facts["latest"]))
+    quartiles = [0.0, 0.25, 0.5, 0.75, 1.0]
+    spend_edges = quantile_values(spread, "total_spend", quartiles)
     # day counts have few distinct values, so the built-in exact percentile is safe
-    recency_edges = aged.agg(F.percentile("recency_days", quartiles).alias("q")).scalar()
-    spend_bin = quantile_bin(F.col("total_spend"), spend_edges, 3, strict)
+    recency_edges = aged.agg(F.percentile("recency_days", quartiles)).first()[0] or []
+    spend_bin = quantile_bin(F.col("total_spend"), spend_edges, strict)
     scored = aged.withColumns({
         "frequency": F.col("unique_invoices"),
         "monetary": F.col("total_spend"),
-        "r_score": (5 - quantile_bin(F.col("recency_days"), recency_edges, 3, strict)).cast("int"),
-        "f_score": rank_bin(F.col("_frequency_rank"), n),
+        "r_score": (5 - quantile_bin(F.col("recency_days"), recency_edges, strict)).cast("int"),
+        "f_score": rank_bin(F.col("_frequency_rank"), facts["n"]),
         "m_score": spend_bin,
     })
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
@@ -211,14 +212,14 @@ def segment_profile(base: DataFrame, segment: str) -> DataFrame:
 
     members = base.filter(F.col("rfm_segment") == segment)
     everyone = _total(base, "total_spend")
-    facts = members.agg(
-        F.count(F.lit(1)).alias("n"), (F.sum("total_spend") / everyone * 100).alias("share")
-    )
+    facts = one_row(members.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_spend").alias("spend"),
+    ))
     metrics = ["recency_days", "frequency", "monetary", "customer_tenure_days"]
     return describe_numeric(members, metrics).select(
         F.lit(segment).alias("rfm_segment"),
-        facts.select("n").scalar().alias("customers"),
-        facts.select("share").scalar().alias("revenue_share_pct"),
+        facts["n"].alias("customers"),
+        (facts["spend"] / everyone * 100).alias("revenue_share_pct"),
         F.col("column").alias("metric"), "mean", F.col("p50").alias("median"), "min", "max",
     )
 

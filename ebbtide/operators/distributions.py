@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
 from ebbtide.functions.scalars import clip, split_by_type
-from ebbtide.operators.ordering import quantile_array, quantiles, running_sums, unpivoted
+from ebbtide.operators.ordering import quantile_values, quantiles, running_sums, unpivoted
+from ebbtide.runtime import resolved_row
 
 
 def quantile_table(
@@ -128,18 +129,19 @@ def histogram(
             values = values.filter(F.col("value") > 0)
         values = values.select(F.log1p("value").alias("value"))
     elif view in ("p95", "below_p95"):
-        top = quantile_array(values, "value", [0.95])[0]
+        top = F.lit(quantile_values(values, "value", [0.95])[0]).cast("double")
         if view == "p95":
             return _binned(values, F.lit(0.0), top, bins)
         values = values.filter(F.col("value") <= top)
     elif view == "p99":
-        values = values.select(clip(F.col("value"), hi=quantile_array(values, "value", [0.99])[0]).alias("value"))
+        top = F.lit(quantile_values(values, "value", [0.99])[0]).cast("double")
+        values = values.select(clip(F.col("value"), hi=top).alias("value"))
     elif view == "cap":
         values = values.select(clip(F.col("value"), hi=float(cap)).alias("value"))
     elif view != "full":
         raise ValueError(f"unknown view: {view}")
-    ends = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return _binned(values, ends.select("lo").scalar(), ends.select("hi").scalar(), bins)
+    ends = resolved_row(values.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    return _binned(values, ends["lo"], ends["hi"], bins)
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
@@ -181,11 +183,11 @@ def density(df: DataFrame, column: str, points: int = 200, cap: float | None = N
     values = df.filter(value.isNotNull()).select(
         (value if cap is None else clip(value, hi=float(cap))).alias("value")
     )
-    facts = values.agg(
+    facts = resolved_row(values.agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.stddev_samp("value").alias("std"),
-    )
-    n, lo, hi, std = [facts.select(c).scalar() for c in ("n", "lo", "hi", "std")]
+    ))
+    n, lo, hi, std = [facts[c] for c in ("n", "lo", "hi", "std")]
     bandwidth = std * F.pow(n.cast("double"), F.lit(-0.2))
     counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("weight"))
     spread = counted.select("value", "weight", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
 from ebbtide.operators.ordering import running_sums
+from ebbtide.runtime import one_row
 
 
 def score(model: PipelineModel, df: DataFrame, label: str = fv.LABEL, threshold: float = 0.5) -> DataFrame:
@@ -138,8 +139,10 @@ def _descending(scored: DataFrame) -> DataFrame:
 def roc_curve(scored: DataFrame, drop_collinear: bool = True) -> DataFrame:
     """ROC points from (0, 0) on. A point halfway on a straight run can be left out."""
     steps = _descending(scored)
-    facts = steps.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("cum_step").alias("steps"))
-    total_pos, total_neg, last = [facts.select(c).scalar() for c in ("pos", "neg", "steps")]
+    facts = one_row(steps.agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("cum_step").alias("steps")
+    ))
+    total_pos, total_neg, last = [facts[c] for c in ("pos", "neg", "steps")]
     kept = steps
     if drop_collinear:
         following = steps.select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.runtime import checkpointed
@@ -122,12 +122,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float]) ->
     )
 
 
-def quantile_array(df: DataFrame, column: str, points: Sequence[float]) -> Column:
-    """The quantiles of one column, in the order of ``points``, as a scalar-subquery array."""
-    found = quantiles(df, [column], points)
-    return found.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("point", "quantile"))),
-            lambda pair: pair["quantile"],
-        ).alias("q")
-    ).scalar()
+def quantile_values(df: DataFrame, column: str, points: Sequence[float]) -> list[float | None]:
+    """The quantiles of one column as numbers, one per point; None where there are no rows."""
+    found = {row["point"]: row["quantile"] for row in quantiles(df, [column], points).collect()}
+    return [found.get(point) for point in points]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
 from ebbtide.operators.ordering import ranked
+from ebbtide.runtime import one_row
 
 
 def _shuffled(df: DataFrame, label: str, key: str, seed: int, name: str) -> DataFrame:
@@ -68,9 +69,8 @@ def with_folds(
 def class_weights(df: DataFrame, label: str = fv.LABEL) -> DataFrame:
     """Weight per class that gives every class the same total: rows / (classes x class rows)."""
     classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    facts = classes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))
-    balanced = facts.select((F.col("rows") / F.col("classes")).alias("share")).scalar()
-    return classes.withColumn("class_weight", balanced / F.col("n"))
+    facts = one_row(classes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")))
+    return classes.withColumn("class_weight", facts["rows"] / facts["classes"] / F.col("n"))
 
 
 def with_class_weight(df: DataFrame, label: str = fv.LABEL) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.concentration import gini
-from ebbtide.operators.ordering import quantile_array
+from ebbtide.operators.ordering import quantile_values
 from ebbtide.operators.quality import cleaning_counts
+from ebbtide.runtime import one_row
 
 DESCRIPTIONS = {
     "customer_id": "Customer number",
@@ -73,39 +74,38 @@ DESCRIPTIONS = {
 
 def run_metadata(tx: DataFrame, base: DataFrame, analysis_time: Column | None = None) -> DataFrame:
     """Headline facts of a run as text rows ``(Metric, Value)``."""
-    counts = cleaning_counts(tx)
-    raw = tx.agg(
+    counts = one_row(cleaning_counts(tx))
+    raw = one_row(tx.agg(
         F.min("invoice_date").alias("lo"), F.max("invoice_date").alias("hi"),
         F.count_distinct("country").alias("countries"),
-    )
-    customers = base.agg(
+    ))
+    customers = one_row(base.agg(
         F.count(F.lit(1)).alias("customers"), F.max("last_purchase").alias("latest"),
         F.sum("total_spend").alias("gross"), F.sum("net_spend").alias("net"),
         F.avg("net_spend").alias("mean_net"), F.count_distinct("rfm_segment").alias("segments"),
-    )
-    median_net = quantile_array(base, "net_spend", [0.5])[0]
+    ))
+    median_net = F.lit(quantile_values(base, "net_spend", [0.5])[0]).cast("double")
     gini_spend = gini(base, "total_spend").select("gini").scalar()
-    of = lambda frame, c: frame.select(c).scalar()
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     money = lambda c: F.format_number(c, 2)
     now = F.current_timestamp() if analysis_time is None else analysis_time
     facts = [
         ("Analysis Date", F.date_format(now, "yyyy-MM-dd HH:mm:ss")),
-        ("Data Period", F.concat(day(of(raw, "lo")), F.lit(" to "), day(of(raw, "hi")))),
-        ("Observation Date (for churn window)", day(of(customers, "latest"))),
-        ("Raw Records", of(counts, "raw").cast("string")),
-        ("Cleaned Records", of(counts, "clean").cast("string")),
-        ("Purchase Records", of(counts, "purchase").cast("string")),
-        ("Return / Cancellation Records", of(counts, "returned").cast("string")),
-        ("Special Stock-Code Rows Removed", of(counts, "special_removed").cast("string")),
-        ("Total Customers", of(customers, "customers").cast("string")),
-        ("Gross Revenue (£)", money(of(customers, "gross"))),
-        ("Net Revenue after Returns (£)", money(of(customers, "net"))),
-        ("Avg Customer Net Spend (£)", money(of(customers, "mean_net"))),
+        ("Data Period", F.concat(day(raw["lo"]), F.lit(" to "), day(raw["hi"]))),
+        ("Observation Date (for churn window)", day(customers["latest"])),
+        ("Raw Records", counts["raw"].cast("string")),
+        ("Cleaned Records", counts["clean"].cast("string")),
+        ("Purchase Records", counts["purchase"].cast("string")),
+        ("Return / Cancellation Records", counts["returned"].cast("string")),
+        ("Special Stock-Code Rows Removed", counts["special_removed"].cast("string")),
+        ("Total Customers", customers["customers"].cast("string")),
+        ("Gross Revenue (£)", money(customers["gross"])),
+        ("Net Revenue after Returns (£)", money(customers["net"])),
+        ("Avg Customer Net Spend (£)", money(customers["mean_net"])),
         ("Median Customer Net Spend (£)", money(median_net)),
-        ("Unique Countries", of(raw, "countries").cast("string")),
+        ("Unique Countries", raw["countries"].cast("string")),
         ("Customer Gini Coefficient", F.format_number(gini_spend, 3)),
-        ("RFM Segments Identified", of(customers, "segments").cast("string")),
+        ("RFM Segments Identified", customers["segments"].cast("string")),
     ]
     stacked = F.array(*[F.struct(F.lit(name).alias("Metric"), value.alias("Value")) for name, value in facts])
     return tx.sparkSession.range(1).select(F.inline(stacked))

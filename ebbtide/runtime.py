@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,3 +43,22 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/ebbtide/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def resolved_row(df: DataFrame) -> dict[str, Column]:
+    """A one-row frame computed now, as literals.
+
+    For parameters that many expressions or a scan's filters use: literals reach the scan and
+    keep the plan small, where a subquery would be copied into every expression.
+    """
+    row = df.first()
+    literal = lambda v: F.lit(None if v is None else str(v)) if isinstance(v, datetime) else F.lit(v)
+    return {f.name: literal(row[f.name]).cast(f.dataType) for f in df.schema}
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row frame as a scalar subquery: a struct to take its columns from.
+
+    Every use is the same subquery, so Spark runs it once however many columns are taken.
+    """
+    return df.select(F.struct(*df.columns).alias("row")).scalar()

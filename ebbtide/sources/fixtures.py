@@ -6,26 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The columns read, with their types: nothing has to be inferred from the files first.
+_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+                "l_extendedprice double, l_returnflag string, l_linestatus string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as transactions: returns, special codes, gaps and copies by key arithmetic."""
-    nations = _table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("country"))
+    nations = _table(spark, folder, "nation").withColumnRenamed("n_name", "country")
     suppliers = (
-        _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+        _table(spark, folder, "supplier")
         .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), "country")
     )
-    parts = _table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    orders = _table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"
-    )
+    parts = _table(spark, folder, "part").withColumnRenamed("p_partkey", "l_partkey")
+    orders = _table(spark, folder, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     lines = (
         _table(spark, folder, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                "l_returnflag", "l_linestatus")
         .join(orders, "l_orderkey")
         .join(parts, "l_partkey")
         .join(suppliers, "l_suppkey")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ebbtide.functions.calendar import parse_ts
 from ebbtide.functions.scalars import canonical_id, normalize_columns, with_line_amount
+from ebbtide.runtime import resolved_row
 
 TRANSACTION_SCHEMA = T.StructType([
     T.StructField("invoice_no", T.StringType()),
@@ -85,16 +86,14 @@ def read_clean_or_raw(
 
 
 def resolve_observation_date(purchases: DataFrame, metadata: DataFrame | None = None) -> Column:
-    """The recorded observation date, else the latest purchase, as a scalar subquery."""
-    latest = purchases.agg(F.max("invoice_date").alias("at")).scalar()
-    if metadata is None:
-        return latest
-    recorded = (
-        metadata.filter(F.col("Metric") == "Observation Date (for churn window)")
-        .agg(F.max(parse_ts(F.col("Value"))).alias("at"))
-        .scalar()
-    )
-    return F.coalesce(recorded, latest)
+    """The recorded observation date, else the latest purchase."""
+    if metadata is not None:
+        recorded = metadata.filter(F.col("Metric") == "Observation Date (for churn window)").agg(
+            F.max(parse_ts(F.col("Value"))).alias("at")
+        )
+        if recorded.first()["at"] is not None:
+            return resolved_row(recorded)["at"]
+    return resolved_row(purchases.agg(F.max("invoice_date").alias("at")))["at"]
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

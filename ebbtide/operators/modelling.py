@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -16,7 +17,7 @@ from pyspark.ml.feature import (
     ElementwiseProduct, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
@@ -135,7 +136,7 @@ def candidate(name: str, weight_sum: float, **params):
     seeded = {**common, "seed": fv.SEED}
     if name == "logistic_regression":
         strength = params.pop("C", 1.0)
-        options = {"maxIter": 300, "tol": 1e-8, **params}
+        options = {"maxIter": 300, **params}
         return LogisticRegression(
             **common, weightCol=WEIGHT, standardization=False,
             regParam=1.0 / (strength * weight_sum), **options,
@@ -158,9 +159,10 @@ def fit(train: DataFrame, name: str, **params) -> PipelineModel:
     """Preparation and classifier, fitted on the same rows and kept as one pipeline."""
     weighted = with_class_weight(train)
     prepared = preprocessor(train, *feature_columns(train)).fit(weighted)
-    ready = prepared.transform(weighted)
-    weight_sum = float(weighted.agg(F.sum(WEIGHT)).first()[0])
+    ready = prepared.transform(weighted).select("features", fv.LABEL, WEIGHT).cache()
+    weight_sum = float(ready.agg(F.sum(WEIGHT)).first()[0])
     model = candidate(name, weight_sum, **params).fit(ready)
+    ready.unpersist()
     return PipelineModel(stages=[*prepared.stages, model])
 
 
@@ -176,47 +178,59 @@ class Trial:
         return candidate(self.model, weight_sum, **dict(self.params))
 
 
-def _fold_scores(folded: DataFrame, fold: int, trials: Sequence[Trial], parallelism: int) -> DataFrame:
-    """Scores of the held-out fold under every trial, prepared on the other folds only."""
+@dataclass(frozen=True)
+class _Fold:
+    """One fold's training rows, ready for a classifier, and its held-out rows."""
+
+    number: int
+    ready: DataFrame
+    held_out: DataFrame
+    weight_sum: float
+
+
+def _prepare_fold(folded: DataFrame, fold: int) -> _Fold:
+    """Preparation fitted on the other folds only."""
     train = folded.filter(F.col("fold") != fold).drop("fold")
     weighted = with_class_weight(train)
     prepared = preprocessor(train, *feature_columns(train)).fit(weighted)
     ready = prepared.transform(weighted).select("features", fv.LABEL, WEIGHT).cache()
     held_out = prepared.transform(folded.filter(F.col("fold") == fold)).select("features", fv.LABEL)
-    weight_sum = float(ready.agg(F.sum(WEIGHT)).first()[0])
+    return _Fold(fold, ready, held_out, float(ready.agg(F.sum(WEIGHT)).first()[0]))
 
-    def scored(trial: Trial) -> DataFrame:
-        model = trial.build(weight_sum).fit(ready)
-        return score(PipelineModel(stages=[model]), held_out).select(
-            F.lit(trial.label).alias("model"), F.lit(fold).alias("fold"), "y_true", "y_prob"
-        )
 
-    pool = ThreadPool(min(parallelism, len(trials)))
-    try:
-        frames = pool.map(inheritable_thread_target(scored), trials)
-    finally:
-        pool.close()
-        ready.unpersist()
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+def _held_out_scores(fold: _Fold, trial: Trial) -> DataFrame:
+    model = trial.build(fold.weight_sum).fit(fold.ready)
+    return score(PipelineModel(stages=[model]), fold.held_out).select(
+        F.lit(trial.label).alias("model"), F.lit(fold.number).alias("fold"), "y_true", "y_prob"
+    )
+
+
+def _in_threads(function: Callable, items: Sequence, parallelism: int, spark: SparkSession) -> list:
+    """Run several fits at once: each is a series of small Spark jobs."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(function), items)
 
 
 def out_of_fold_scores(
-    train: DataFrame, trials: Sequence[Trial], k: int = 5, seed: int = fv.SEED, parallelism: int = 4
+    train: DataFrame, trials: Sequence[Trial], k: int = 5, seed: int = fv.SEED, parallelism: int = 8
 ) -> DataFrame:
-    """Each training row scored by the models that did not see it."""
+    """Each training row scored by the models that did not see it.
+
+    The loop runs over folds and settings, never over rows.
+    """
+    spark = train.sparkSession
     folded = with_folds(train, k=k, seed=seed)
-    out = None
-    for fold in range(k):
-        scores = _fold_scores(folded, fold, trials, parallelism)
-        out = scores if out is None else out.unionByName(scores)
-    return materialized(out)
+    folds = _in_threads(lambda fold: _prepare_fold(folded, fold), range(k), parallelism, spark)
+    fits = [(fold, trial) for trial in trials for fold in folds]
+    frames = _in_threads(lambda pair: _held_out_scores(*pair), fits, parallelism, spark)
+    scores = materialized(reduce(DataFrame.unionByName, frames))
+    for fold in folds:
+        fold.ready.unpersist()
+    return scores
 
 
 def cross_validate(
-    train: DataFrame, trials: Sequence[Trial], k: int = 5, seed: int = fv.SEED, parallelism: int = 4
+    train: DataFrame, trials: Sequence[Trial], k: int = 5, seed: int = fv.SEED, parallelism: int = 8
 ) -> DataFrame:
     """Mean precision, recall, F1 and ROC-AUC over the folds, best ROC-AUC first."""
     scores = out_of_fold_scores(train, trials, k, seed, parallelism)
@@ -251,7 +265,7 @@ def search_trials(name: str, n_iter: int = 25, seed: int = fv.SEED) -> list[Tria
 
 
 def randomized_search(
-    train: DataFrame, name: str, n_iter: int = 25, k: int = 5, seed: int = fv.SEED, parallelism: int = 4
+    train: DataFrame, name: str, n_iter: int = 25, k: int = 5, seed: int = fv.SEED, parallelism: int = 8
 ) -> tuple[DataFrame, Trial]:
     """Cross-validated settings, best first, and the best one."""
     trials = search_trials(name, n_iter, seed)

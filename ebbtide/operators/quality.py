@@ -13,15 +13,16 @@ from ebbtide.functions.scalars import canonical_id, is_cancel, is_special_stock
 
 def is_purchase(rule: str = "positive", price: str = "price") -> Column:
     """``positive``: quantity and price above zero, whatever the invoice.
-    ``not_return``: no return (see ``is_return``) and price above zero; quantity 0 is let in."""
+    ``not_return``: no return (see ``is_return``) and price above zero; quantity 0 is let in.
+
+    Plain comparisons, so that a filter on them reaches the scan; a missing value meets none.
+    """
     priced = F.col(price) > 0
     if rule == "positive":
-        keep = (F.col("quantity") > 0) & priced
-    elif rule == "not_return":
-        keep = ~is_return("any_price", price) & priced
-    else:
-        raise ValueError(f"unknown purchase rule: {rule}")
-    return F.coalesce(keep, F.lit(False))
+        return (F.col("quantity") > 0) & priced
+    if rule == "not_return":
+        return ~is_return("any_price", price) & priced
+    raise ValueError(f"unknown purchase rule: {rule}")
 
 
 def is_return(rule: str = "priced", price: str = "price") -> Column:
@@ -29,7 +30,7 @@ def is_return(rule: str = "priced", price: str = "price") -> Column:
     ``any_price`` does not look at it, ``or_negative_price`` counts negative prices too."""
     reversed_line = F.coalesce(F.col("quantity") < 0, F.lit(False)) | is_cancel(F.col("invoice_no"))
     if rule == "priced":
-        return reversed_line & F.coalesce(F.col(price) > 0, F.lit(False))
+        return reversed_line & (F.col(price) > 0)
     if rule == "any_price":
         return reversed_line
     if rule == "or_negative_price":
@@ -46,7 +47,10 @@ def returns(clean: DataFrame, rule: str = "priced", price: str = "price") -> Dat
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(columns))
+    # one test per column: unlike ``dropna`` these reach the scan
+    for name in columns:
+        df = df.filter(F.col(name).isNotNull())
+    return df
 
 
 def dedupe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

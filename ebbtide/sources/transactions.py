@@ -77,7 +77,7 @@ def read_clean_or_raw(
         raw = read_transactions(spark, raw_path, fmt)
         table = (
             typed_transactions(raw)
-            .dropna(subset=["customer_id", "invoice_date"])
+            .filter(F.col("customer_id").isNotNull() & F.col("invoice_date").isNotNull())
             .drop("line_amount")
             .withColumnRenamed("price", "unit_price")
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
-from ebbtide.functions.scalars import canonical_id, is_cancel, is_special_stock
+from ebbtide.functions.scalars import canonical_id, is_cancel, is_special_stock, with_line_amount
 
 
 def is_purchase(rule: str = "positive", price: str = "price") -> Column:
@@ -69,7 +69,9 @@ def clean_transactions(tx: DataFrame) -> DataFrame:
     copies; removing a group of equal rows first or last leaves the same rows.
     """
     kept = drop_special(require(tx, ["customer_id", "invoice_date"]))
-    return dedupe(kept).withColumn("customer_id", canonical_id(F.col("customer_id")))
+    # the amount follows from the other columns, so it need not travel through the shuffle
+    unique = dedupe(kept, fv.RAW_COLUMNS)
+    return with_line_amount(unique.withColumn("customer_id", canonical_id(F.col("customer_id"))))
 
 
 def in_window(df: DataFrame, ts: str, lo: Column, hi: Column, closed: bool = True) -> DataFrame:

@@ -33,6 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread_if_few(scan: DataFrame) -> DataFrame:
+    """Give a scan of fewer splits than the session has cores one partition per core.
+
+    A table of one small file is read by one task, which would then do all narrow work alone. A
+    table of at least as many splits as cores is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write to a parquet table in the shared folder and read it back.
 

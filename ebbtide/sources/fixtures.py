@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.runtime import spread_if_few
+
 
 # The columns read, with their types: nothing has to be inferred from the files first.
 _SCHEMAS = {
@@ -33,7 +35,7 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     parts = _table(spark, folder, "part").withColumnRenamed("p_partkey", "l_partkey")
     orders = _table(spark, folder, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     lines = (
-        _table(spark, folder, "lineitem")
+        spread_if_few(_table(spark, folder, "lineitem"))
         .join(orders, "l_orderkey")
         .join(parts, "l_partkey")
         .join(suppliers, "l_suppkey")

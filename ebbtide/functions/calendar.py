@@ -26,10 +26,6 @@ def month_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
-def hour_start(ts: Column) -> Column:
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
-
-
 def week_end(ts: Column) -> Column:
     """The Sunday that closes a timestamp's Monday-to-Sunday week."""
     day = F.to_date(ts)

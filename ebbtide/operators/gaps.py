@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.functions.calendar import calendar_days, elapsed_days, hour_start, midnight
+from ebbtide.functions.calendar import calendar_days, elapsed_days, midnight
+from ebbtide.operators.ordering import with_previous
 
 
 def purchase_events(pur: DataFrame, grain: str) -> DataFrame:
@@ -23,37 +24,21 @@ def purchase_events(pur: DataFrame, grain: str) -> DataFrame:
 def purchase_gaps(pur: DataFrame, grain: str) -> DataFrame:
     """Each purchase after a customer's first, with the previous one and the days between.
 
-    A window per customer would put every purchase of a customer into one task. Days per
-    customer are few, so the ``day`` grain uses one. The other grains look back within the hour
-    first; the gaps between hours follow from each hour's first and last purchase.
+    A customer has few distinct days however many purchases, so the ``day`` grain looks back
+    in a window per customer. The other grains have no such bound and use the global order.
     """
-    events = purchase_events(pur, grain).filter(F.col("customer_id").isNotNull() & F.col("purchased_at").isNotNull())
+    keys, at = ["customer_id"], F.col("purchased_at")
+    events = purchase_events(pur, grain).filter(F.col("customer_id").isNotNull() & at.isNotNull())
+    previous = F.col("previous_at")
     if grain == "day":
-        return (
-            _look_back(events, ["customer_id"], ["purchased_at"])
-            .withColumn("gap_days", calendar_days(F.col("previous_at"), F.col("purchased_at")))
-        )
-    order = ["purchased_at", "invoice_no"] if grain == "invoice" else ["purchased_at"]
-    slotted = events.withColumn("_slot", hour_start(F.col("purchased_at")))
-    inside = _look_back(slotted, ["customer_id", "_slot"], order).drop("_slot")
-    first = F.min(F.struct(*order)).alias("_first")
-    slots = slotted.groupBy("customer_id", "_slot").agg(first, F.max("purchased_at").alias("_last"))
-    by_slot = Window.partitionBy("customer_id").orderBy("_slot")
-    between = (
-        slots.withColumn("previous_at", F.lag("_last").over(by_slot))
-        .filter(F.col("previous_at").isNotNull())
-        .select("customer_id", *[F.col("_first")[c].alias(c) for c in order], "previous_at")
-    )
-    return inside.unionByName(between).withColumn(
-        "gap_days", elapsed_days(F.col("previous_at"), F.col("purchased_at"))
-    )
-
-
-def _look_back(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    earlier = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("previous_at", F.lag("purchased_at").over(earlier)).filter(
-        F.col("previous_at").isNotNull()
-    )
+        earlier = Window.partitionBy(*keys).orderBy("purchased_at")
+        looked_back = events.withColumn("previous_at", F.lag("purchased_at").over(earlier))
+        days = calendar_days(previous, at)
+    else:
+        order = [c for c in ("purchased_at", "invoice_no") if c in events.columns]
+        looked_back = with_previous(events, keys, order, "purchased_at", "previous_at")
+        days = elapsed_days(previous, at)
+    return looked_back.filter(previous.isNotNull()).withColumn("gap_days", days)
 
 
 def gap_features(gaps: DataFrame) -> DataFrame:

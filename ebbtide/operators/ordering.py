@@ -1,4 +1,4 @@
-"""Global order without a one-task window: rank, running sums and exact quantiles.
+"""Global order without a one-task window: rank, running sums, look-back and exact quantiles.
 
 ``Window.orderBy`` without a partition moves every row to one task. Here rows are range
 partitioned on the order instead, and sorted and numbered inside their partition. That frame is
@@ -74,6 +74,34 @@ def running_sums(df: DataFrame, order_by: Sequence[str], sums: Sequence[str]) ->
     )
 
 
+def with_previous(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Add the ``value`` of the row before, in ``order_by`` within equal ``keys``.
+
+    A window per key would put all rows of a key into one task. Here a key with many rows spans
+    several range partitions; the first row of a partition looks back at the last row of the
+    partition before it.
+    """
+    tagged = _spread(df, [*keys, *order_by])
+    row = F.struct(*keys, value)
+    last_rows = tagged.groupBy("_part").agg(F.max_by(row, "_position").alias("_last"))
+    carried = last_rows.select(
+        "_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried")
+    )
+    within = Window.partitionBy("_part").orderBy("_position")
+    before = F.coalesce(F.lag(row).over(within), F.col("_carried"))
+    same_key = F.lit(True)
+    for key in keys:
+        same_key = same_key & F.col("_before")[key].eqNullSafe(F.col(key))
+    return (
+        tagged.join(F.broadcast(carried), "_part")
+        .withColumn("_before", before)
+        .withColumn(name, F.when(same_key, F.col("_before")[value]))
+        .drop("_part", "_position", "_carried", "_before")
+    )
+
+
 def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(column, value)`` of numeric columns, NULL left out."""
     pairs = F.array(*[

@@ -188,6 +188,22 @@ def validation_report(tx: DataFrame) -> DataFrame:
     return cleaning_counts(tx).select(F.inline(stacked))
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """Distinct values per column, NULL left out; ``approximate`` keeps one small sketch each."""
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    return df.agg(*[count(F.col(c)).alias(c) for c in columns])
+
+
+def basic_profile(tx: DataFrame) -> DataFrame:
+    """Rows, date range, distinct customers and distinct invoices."""
+    return tx.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("invoice_date").alias("first_date"), F.max("invoice_date").alias("last_date"),
+        F.count_distinct("customer_id").alias("customers"),
+        F.count_distinct("invoice_no").alias("invoices"),
+    )
+
+
 def special_code_profile(tx: DataFrame, n: int = 20) -> DataFrame:
     """The special codes with most rows, what they add up to and a sample text."""
     return (

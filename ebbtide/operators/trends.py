@@ -11,6 +11,7 @@ from ebbtide import fixed_values as fv
 from ebbtide.functions.calendar import calendar_parts, month_index, month_start, month_text, week_end
 from ebbtide.functions.scalars import cut
 from ebbtide.operators.customers import most_common
+from ebbtide.runtime import one_row
 
 
 def complete(df: DataFrame, column: str, domain: Sequence, zero: Sequence[str] = ()) -> DataFrame:
@@ -69,6 +70,13 @@ def mom_growth(monthly: DataFrame) -> DataFrame:
     })
 
 
+def flag_partial_month(monthly: DataFrame, pur: DataFrame) -> DataFrame:
+    """Mark the last month where the data end before its last day."""
+    latest = one_row(pur.agg(F.to_date(F.max("invoice_date")).alias("day")))["day"]
+    is_last = F.to_date("order_month") == F.trunc(latest, "month")
+    return monthly.withColumn("is_partial", is_last & (latest < F.last_day(latest)))
+
+
 def growth_summary(growth: DataFrame) -> DataFrame:
     """Peak and trough month by revenue, and mean revenue growth."""
     month = month_text(F.col("order_month"))

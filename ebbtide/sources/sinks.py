@@ -52,15 +52,19 @@ def with_comments(df: DataFrame, comments: Mapping[str, str]) -> DataFrame:
 
 
 def data_dictionary(df: DataFrame, comments: Mapping[str, str] | None = None) -> DataFrame:
-    """One row ``(position, column, dtype, description)`` per column of ``df``."""
+    """One row ``(position, column, dtype, description, non_null)`` per column of ``df``."""
     given = comments or {}
-    rows = [
-        (i, f.name, _dtype_name(f.dataType), given.get(f.name, f.metadata.get("comment", "")))
+    entries = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+            F.lit(_dtype_name(f.dataType)).alias("dtype"),
+            F.lit(given.get(f.name, f.metadata.get("comment", ""))).alias("description"),
+            F.col(f.name).alias("non_null"),
+        )
         for i, f in enumerate(df.schema, start=1)
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "position int, column string, dtype string, description string"
-    )
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return counts.select(F.inline(F.array(*entries)))
 
 
 def metrics_long(df: DataFrame) -> DataFrame:

@@ -63,6 +63,14 @@ def _(spark, folder):
     return stable(trends.mom_growth(trends.monthly_trend(pur(spark, folder))), revenue=2)
 
 
+@register("partial_months", f"""
+  SELECT order_month, orders, strftime(order_month, '%Y-%m') = (SELECT strftime(max(invoice_date), '%Y-%m') FROM pur)
+    AND (SELECT max(CAST(invoice_date AS DATE)) < last_day(max(invoice_date)) FROM pur) AS is_partial FROM {MONTHLY}""")
+def _(spark, folder):
+    bought = stored_pur(spark, folder)
+    return trends.flag_partial_month(trends.monthly_trend(bought), bought).select("order_month", "orders", "is_partial")
+
+
 @register("growth_summary", f"""
   SELECT strftime(arg_max(order_month, revenue), '%Y-%m') AS peak_month,
     strftime(arg_min(order_month, revenue), '%Y-%m') AS trough_month, {r('avg(g_revenue)')} AS avg_revenue_mom_pct

@@ -7,7 +7,7 @@ from ebbtide.plans.reporting import DESCRIPTIONS
 from ebbtide.runtime import materialized
 from ebbtide.sources.sinks import data_dictionary
 from ebbtide.sources.transactions import resolve_observation_date
-from registry.core import events, pur, r, register, stable, stored_clean, stored_unit
+from registry.core import dictionary_sql, events, pur, r, register, stable, stored_clean, stored_unit
 
 
 
@@ -215,12 +215,12 @@ def _(spark, folder):
     return churn.at_value(curve, "threshold_days", 120)
 
 
-@register("customer_features_dictionary")
+@register("customer_features_dictionary", dictionary_sql(features.FEATURE_COLUMNS, DESCRIPTIONS, "described"))
 def _(spark, folder):
     return data_dictionary(customer_features(spark, folder), DESCRIPTIONS)
 
 
-@register("modeling_dictionary")
+@register("modeling_dictionary", dictionary_sql(MODEL, DESCRIPTIONS, "model"))
 def _(spark, folder):
     return data_dictionary(modeling_dataset(spark, folder), DESCRIPTIONS)
 

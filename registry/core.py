@@ -343,5 +343,9 @@ def with_blocks(sql: str) -> str:
     return f"WITH {blocks}\n{rest}"
 
 
-def columns(expressions: dict[str, str]) -> str:
-    return ", ".join(f"{sql} AS {name}" for name, sql in expressions.items())
+def dictionary_sql(names: list[str], texts: dict[str, str], block: str) -> str:
+    return "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS "column", CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string'
+          WHEN 'TIMESTAMP' THEN 'datetime' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END AS dtype,
+          '{texts[c]}' AS description, count({c}) AS non_null FROM {block}"""
+        for i, c in enumerate(names, start=1)) + ")"

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ebbtide.operators import drivers, evaluation, modelling, splitting, statistics
+from ebbtide.operators.quality import column_profile
 from ebbtide.runtime import materialized
 from ebbtide.sources.sinks import export_predictions, metrics_long
 from registry.analysis import MODEL_FEATURES
@@ -46,11 +47,13 @@ def _(spark, folder):
     return stable(splitting.positive_weight(stored_model_table(spark, folder)), 6)
 
 
-@register("feature_columns")
+@register("feature_columns", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", 'numeric' AS kind, count({c}) AS non_null FROM model" for c in MODEL_FEATURES) + ")")
 def _(spark, folder):
-    numeric, other = modelling.feature_columns(stored_model_table(spark, folder))
-    rows = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in other]
-    return spark.createDataFrame(rows, "feature string, kind string")
+    table = stored_model_table(spark, folder)
+    numeric, other = modelling.feature_columns(table)
+    kind = F.when(F.col("column").isin(numeric), "numeric").otherwise("categorical")
+    return column_profile(table.select(*numeric, *other)).select("column", kind.alias("kind"), "non_null")
 
 
 # ---------------------------------------------------------------- scores from a fixed rule

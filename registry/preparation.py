@@ -8,7 +8,7 @@ from ebbtide.operators import customers, quality, returns
 from ebbtide.plans.reporting import DESCRIPTIONS, run_metadata
 from ebbtide.sources.sinks import data_dictionary, metrics_long
 from registry.core import (
-    SPECIAL, clean, day, month, pur, r, register, ret, stable, stored_clean, tx,
+    SPECIAL, clean, day, dictionary_sql, month, pur, r, register, ret, stable, stored_clean, tx,
 )
 
 RAW = "invoice_no, stock_code, description, quantity, invoice_date, price, customer_id, country"
@@ -74,6 +74,25 @@ def _(spark, folder):
     return quality.column_profile(tx(spark, folder))
 
 
+@register("basic_profile", """
+  SELECT count(*) AS rows, min(invoice_date) AS first_date, max(invoice_date) AS last_date,
+    count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_no) AS invoices FROM raw""")
+def _(spark, folder):
+    return quality.basic_profile(tx(spark, folder))
+
+
+@register("distinct_counts", "SELECT " + ", ".join(
+    f"count(DISTINCT {c}) AS {c}" for c in ("stock_code", "description", "country", "customer_id")) + " FROM raw")
+def _(spark, folder):
+    return quality.distinct_counts(tx(spark, folder), ["stock_code", "description", "country", "customer_id"])
+
+
+@register("distinct_counts_approximate")
+def _(spark, folder):
+    names = ["stock_code", "description", "country", "customer_id"]
+    return quality.distinct_counts(tx(spark, folder), names, approximate=True)
+
+
 @register("duplicate_rows", """
   SELECT (SELECT count(*) FROM raw) - (SELECT count(*) FROM uniq) AS duplicate_rows""")
 def _(spark, folder):
@@ -371,7 +390,7 @@ def _(spark, folder):
     return metrics_long(stable(totals, 2))
 
 
-@register("customer_base_dictionary")
+@register("customer_base_dictionary", dictionary_sql(customers.BASE_COLUMNS, DESCRIPTIONS, "base"))
 def _(spark, folder):
     return data_dictionary(base(spark, folder), DESCRIPTIONS)
 

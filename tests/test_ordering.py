@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ebbtide.operators.ordering import quantile_values, quantiles, ranked, running_sums
+from ebbtide.operators.ordering import quantile_values, quantiles, ranked, running_sums, with_previous
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,17 @@ def test_running_sums_equal_cumsum(spark, tied):
     assert got["cum_n"].tolist() == expected.tolist()
 
 
+def test_look_back_equals_a_shift_over_partition_borders(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": np.where(rng.random(900) < 0.5, 3, rng.integers(0, 6, 900)), "at": rng.permutation(900)})
+    got = with_previous(spark.createDataFrame(pdf).repartition(5), ["k"], ["at"], "at", "before").toPandas()
+    want = pdf.sort_values(["k", "at"]).assign(before=lambda d: d.groupby("k")["at"].shift(1))
+    merged = got.merge(want, on=["k", "at"])
+    assert len(merged) == 900
+    assert merged["before_x"].fillna(-1).tolist() == merged["before_y"].fillna(-1).tolist()
+    assert merged["before_x"].isna().sum() == pdf.k.nunique()
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=40))
 def test_quantiles_interpolate_like_numpy(spark, values):

@@ -45,7 +45,10 @@ def test_no_python_and_no_product(clean, name):
 
 @pytest.mark.parametrize("name", ["purchase_totals", "gaps_invoice", "gaps_day", "cohorts"])
 def test_rows_are_never_gathered_in_one_partition(clean, name):
-    assert "SinglePartition" not in plan(CASES[name](clean))
+    nodes = plan(CASES[name](clean)).split("\n\n")
+    gathered = [node for node in nodes if "SinglePartition" in node]
+    # only the totals of the range partitions, one row for each, may be
+    assert all("_part#" in node.split("Arguments")[0] for node in gathered), gathered
 
 
 def test_filters_and_columns_reach_the_scan(clean):

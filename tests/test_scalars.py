@@ -36,7 +36,6 @@ def test_month_parts(spark):
     at = ts("2020-12-31 23:30:00")
     assert value(spark, cal.month_text(at)) == "2020-12"
     assert str(value(spark, cal.month_start(at))) == "2020-12-01 00:00:00"
-    assert str(value(spark, cal.hour_start(at))) == "2020-12-31 23:00:00"
     assert value(spark, cal.month_index(ts("2019-11-15 00:00:00"), at)) == 13
 
 

@@ -57,10 +57,12 @@ def test_metrics(spark, tmp_path):
 
 
 def test_dictionary(spark):
-    frame = spark.createDataFrame([], "customer_id string, n int, x double, at timestamp_ntz")
+    frame = spark.createDataFrame([("a", 1, None, None), ("b", None, None, None)], "customer_id string, n int, x double, at timestamp_ntz")
     described = sinks.with_comments(frame, {"n": "How many"})
     rows = [tuple(r) for r in sinks.data_dictionary(described, {"x": "How much"}).collect()]
-    assert rows == [(1, "customer_id", "string", ""), (2, "n", "int", "How many"), (3, "x", "float", "How much"), (4, "at", "datetime", "")]
+    assert rows == [
+        (1, "customer_id", "string", "", 2), (2, "n", "int", "How many", 1),
+        (3, "x", "float", "How much", 0), (4, "at", "datetime", "", 0)]
 
 
 def test_predictions(spark):

@@ -105,8 +105,8 @@ def with_segments(totals: DataFrame, strict: bool = False) -> DataFrame:
     """Spend quartile, frequency segment and the RFM scores, code and segment.
 
     Frequency is scored by rank, ties in customer order; recency and spend by quartile edges.
-    The customer rows are checkpointed once, in frequency order, and both the spend edges and
-    the result read them from there.
+    The customer rows are written once, in frequency order, and both the spend edges and the
+    result read them from there.
     """
     spread = ranked(totals, ["unique_invoices", "customer_id"], "_frequency_rank")
     facts = resolved_row(

@@ -2,7 +2,7 @@
 
 ``Window.orderBy`` without a partition moves every row to one task. Here rows are range
 partitioned on the order instead, and sorted and numbered inside their partition. That frame is
-checkpointed, because range bounds are sampled: computed twice, they could place a row
+written to a table, because range bounds are sampled: computed twice, they could place a row
 differently. Per-partition totals (one row per partition) then give each partition's offset.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.runtime import checkpointed
+from ebbtide.runtime import materialized
 
 # monotonically_increasing_id: partition number above bit 33, row position below
 _POSITION_BITS = 33
@@ -25,7 +25,7 @@ def _spread(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     numbered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(
         "_id", F.monotonically_increasing_id()
     )
-    return checkpointed(numbered).withColumns({
+    return materialized(numbered).withColumns({
         "_part": F.shiftright("_id", _POSITION_BITS),
         "_position": F.col("_id").bitwiseAND((1 << _POSITION_BITS) - 1),
     }).drop("_id")

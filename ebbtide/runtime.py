@@ -27,12 +27,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: partitions and their row order are fixed from here on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def spread_if_few(scan: DataFrame) -> DataFrame:
     """Give a scan of fewer splits than the session has cores one partition per core.
 
@@ -46,8 +40,9 @@ def spread_if_few(scan: DataFrame) -> DataFrame:
 def materialized(df: DataFrame) -> DataFrame:
     """Write to a parquet table in the shared folder and read it back.
 
-    For wide results that several later passes read: unlike a checkpoint the table is
-    columnar, so each pass reads only its columns and its filters reach the scan.
+    Cuts the lineage for results that several later passes read. Unlike a checkpoint the table
+    is computed once and is columnar: each pass reads only its columns, and its filters reach
+    the scan.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ebbtide/{uuid.uuid4().hex}"

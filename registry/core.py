@@ -74,8 +74,8 @@ def stored_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_unit(spark: SparkSession, folder: str) -> DataFrame:
     """The clean table as the feature steps read it: ``unit_price``, numeric customer ids."""
-    table = stored_clean(spark, folder).withColumnRenamed("price", "unit_price")
-    return table.withColumn("customer_id", canonical_id(F.col("customer_id"), "numeric"))
+    table = clean(spark, folder).withColumnRenamed("price", "unit_price")
+    return materialized(table.withColumn("customer_id", canonical_id(F.col("customer_id"), "numeric")))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:

@@ -113,6 +113,8 @@ def test_cross_validation_ranks_by_area(table):
     rows = modelling.cross_validate(table, trials, k=3).collect()
     areas = [r["cv_roc_auc_mean"] for r in rows]
     assert len(rows) == 4 and areas == sorted(areas, reverse=True) and areas[0] > 0.7
+    spark = table.sparkSession
+    assert modelling.best_name(spark.createDataFrame(rows)) == rows[0]["model"]
 
 
 def test_search_save_reload_and_hold_out(table, tmp_path):

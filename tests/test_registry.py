@@ -33,6 +33,22 @@ def test_query_equals_its_sql(spark, tables, name):
     assert check.compare(got, tables.execute(entry.oracle_sql()[name]).df()) == "ok"
 
 
+def test_whole_run(spark, tables, tmp_path):
+    from ebbtide.plans.pipeline import run
+    from ebbtide.sources.fixtures import raw_transactions
+    from ebbtide.sources.transactions import load_model
+
+    out = str(tmp_path)
+    run(raw_transactions(spark, FOLDER), out, models=["logistic_regression"], n_iter=2, k=2, repeats=2)
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    assert read("customer_base").count() == read("modeling_dataset").count() == 150
+    assert read("train_split").count() == 120 and read("test_split").count() == 30
+    assert read("threshold_sweep").count() == 81 and read("recommendations").count() == 6
+    assert read("churn_rate_by_threshold").count() == 31 and read("headline_metrics").count() == 4
+    scored = load_model(f"{out}/model").transform(read("test_split"))
+    assert scored.select("probability").count() == 30
+
+
 def test_every_check_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

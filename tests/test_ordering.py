@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ebbtide.operators.ordering import quantile_values, quantiles, ranked, running_sums, with_previous
+from ebbtide.operators.ordering import _spread, quantile_values, quantiles, ranked, running_sums, with_previous
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,16 @@ def test_quantiles_of_several_columns_skip_missing(spark):
     frame = spark.createDataFrame(data.astype(object).where(data.notna(), None).values.tolist(), "a double, b double")
     got = {(r["column"], r["point"]): r["quantile"] for r in quantiles(frame, ["a", "b"], [0.5, 0.75]).collect()}
     assert got == {("a", 0.5): 2.0, ("a", 0.75): 6.0, ("b", 0.5): 5.0, ("b", 0.75): 5.25}
+
+
+def test_a_hot_key_spans_range_partitions(spark):
+    """A third of the rows share a key; no partition holds anywhere near a third."""
+    rows = spark.range(30_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 500)).alias("k"), "id"
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = _spread(rows, ["k", "id"]).groupBy("_part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(r["count"] for r in placed) < 30_000 / 6

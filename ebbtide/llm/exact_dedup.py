@@ -89,7 +89,10 @@ def exact_groups(docs: DataFrame, identify: Callable[[bytes, int], bytes] = fing
     while not chunk_table(docs, attempt, identify).groupBy("id").count().filter("count > 1").isEmpty():
         attempt += 1
     listed = materialized(recipes(docs, attempt, identify))
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return listed.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
+    # written, so that the join reads both sides through shuffles of their own and a hot recipe can be split
+    groups = materialized(listed.groupBy("recipe").agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1"))
+    keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
+    return listed.join(groups, "recipe", "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
     )

@@ -139,8 +139,7 @@ def quality(docs: DataFrame, min_group: int = 100, spreads: dict[str, int] = SPR
     chosen = (
         groups.join(level(0, "lang", "source"), same("lang") & same("source"), "left").drop("_lang", "_source")
         .join(level(1, "lang"), same("lang"), "left")
-        .join(F.broadcast(level(2)))  # one row
-        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.coalesce("level0", "level1", "level2").alias("limits"))
+        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.coalesce("level0", "level1", level(2).scalar()).alias("limits"))
     )
     judged = counts.join(chosen, same("lang") & same("source"), "left").select("doc_id", "lang", "source", *COUNTS, "limits.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import exact_dedup, packing, quality_rules, token_files, warc
+from ebbtide.llm import exact_dedup, packing, quality_rules, secret_scan, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,14 +24,59 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def importable(spark: SparkSession) -> None:
+    """Let the Python workers of a session that was started elsewhere import this repository."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if top not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [*paths, top]))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/pages.parquet")
 
 
+def _secrets_sql() -> str:
+    """Every rule's spans by the texts between its matches, in code points."""
+    blocks = []
+    for place, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        blocks.append(f"""
+          SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, unnest(range(1, len(f) + 1)) AS i, b, f, g, {rule.least} AS least
+          FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS b, regexp_extract_all(t, '{pattern}') AS f,
+                       regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d)""")
+    sizes = lambda x, to: f"coalesce(list_sum(list_transform({x}[1:{to}], lambda z: length(z))), 0)"
+    line = "kind || ':' || s || ':' || e"
+    return f"""
+      WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      m AS ({' UNION ALL '.join(blocks)}),
+      p AS (SELECT doc_id, kind, place, CAST({sizes('b', 'i')} + {sizes('f', 'i - 1')} AS BIGINT) AS s, length(f[i]) AS size FROM m WHERE length(g[i]) >= least),
+      x AS (SELECT *, s + size AS e FROM p),
+      a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex,
+                   string_agg({line}, ',' ORDER BY s, place) FILTER (place < 3) AS base, string_agg({line}, ',' ORDER BY s, place) AS spans
+            FROM x GROUP BY doc_id)
+      SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+             sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+      FROM d LEFT JOIN a USING (doc_id)"""
+
+
+@query("op3_secret_scan", _secrets_sql())
+def secret_scan_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, folder))
+    of = lambda kind: F.size(F.filter("findings", lambda f: f.kind == kind)).cast("long")
+    base = F.filter("findings", lambda f: f.kind.isin("assign", "access", "hex"))
+    return found.select(
+        F.col("path").alias("doc_id"), of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("findings")).alias("spans"))
+
+
 @query("op4_warc", """
     WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
     g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS response FROM p)

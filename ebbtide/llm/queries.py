@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import exact_dedup, packing, quality_rules, secret_scan, token_files, warc
+from ebbtide.llm import exact_dedup, ngram_join, packing, quality_rules, secret_scan, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/pages.parquet")
 
 
+@query("op2_ngram_jaccard_join")
+def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
+
+
 def _secrets_sql() -> str:
     """Every rule's spans by the texts between its matches, in code points."""
     blocks = []

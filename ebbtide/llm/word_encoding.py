@@ -5,8 +5,9 @@ across a single white-space character between two others. So the ids of a text a
 words put together, and a worker encodes each distinct word once. Texts with white space of any
 other kind are encoded whole. Strings of special tokens in a text are ordinary text.
 
-A worker keeps at most ``KEPT`` words and starts anew when they are that many; this bounds memory
-and changes no id.
+A worker keeps at most ``KEPT`` words: when half of that is new, the older half goes, unless it was
+asked for meanwhile. This bounds memory and changes no id. Letters and the mark behind them are
+pieces of their own, so a word with such a mark is put together from the two.
 """
 
 from __future__ import annotations
@@ -16,20 +17,29 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT = 600_000
+KEPT = 700_000
+MARKS = frozenset(".,;:!?")
 
 
 class _Known(dict):
     """Word to the bytes of its ids; asks the tokenizer for words that are not there."""
 
-    def __init__(self, encode, prefix: str) -> None:
+    def __init__(self, encode, prefix: str, lower: bool, marks: "_Known | None" = None) -> None:
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.prefix, self.lower, self.marks, self.older = encode, prefix, lower, marks, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
+        if word[-1:] in MARKS and word[:-1].isalpha():  # not kept: its parts are
+            return self[word[:-1]] + (self if self.marks is None else self.marks)[word[-1]]
+        if self.lower and word.isascii() and not word.islower() and word.lower() != word:
+            return self[word.lower()]
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self.encode(self.prefix + word)
+        if len(self) >= KEPT // 2:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.encode(self.prefix + word)
+        self[word] = ids
         return ids
 
 
@@ -44,8 +54,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.words = _Known(self.direct, " " if spaced else "")
-        self.heads = _Known(self.direct, "")
+        self.heads = _Known(self.direct, "", False)
+        # the kind that drops white space is also the one that lowers case
+        self.words = _Known(self.direct, " ", False, self.heads) if spaced else _Known(self.direct, "", True)
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

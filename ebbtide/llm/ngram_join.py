@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.shared import over_batches, slices, whole_text
@@ -76,8 +76,9 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def matched_prefix(found: np.ndarray, frequent: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """The number of matches a document asks for, and its prefix of that many n-grams more."""
+def matched_prefix(found: np.ndarray, frequent: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of matches a document asks for, and its prefix of that many n-grams more, the
+    frequent ones of it apart."""
     place = np.minimum(np.searchsorted(frequent, found), max(len(frequent) - 1, 0))
     common = frequent[place] == found if len(frequent) else np.zeros(len(found), bool)
     often, often_df = found[common], frequency[place[common]] if len(frequent) else np.empty(0, np.int64)
@@ -94,7 +95,8 @@ def matched_prefix(found: np.ndarray, frequent: np.ndarray, frequency: np.ndarra
         cost = length + total[length - 1] * (1 + size / (8 * matches))
         if cost < best_cost:
             best, best_cost = matches, cost
-    return best, ordered[:size - least + best]
+    rare = size - len(often)
+    return best, ordered[:min(rare, size - least + best)], ordered[rare:size - least + best]
 
 
 def frequent_ngrams(docs: DataFrame, size: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def frequent_ngrams(docs: DataFrame, size: int, limit: int) -> tuple[np.ndarray,
             for text in batch.column(0):
                 parts.append(shingles(text.as_py(), size))
                 held += len(parts[-1])
-            if held > 8_000_000:
+            if held > 4_000_000:
                 yield merged()
                 parts, held = [], 0
         if parts:
@@ -123,7 +125,7 @@ def frequent_ngrams(docs: DataFrame, size: int, limit: int) -> tuple[np.ndarray,
 
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, signature, matches, prefix (binary) of every row."""
+    """doc_id, n, signature, matches and the prefix (rare, often: binary) of every row."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, size, FREQUENT))  # 2 MB at most
 
@@ -131,23 +133,23 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
         rows = []
         for text in batch.column(1):
             found = shingles(text.as_py(), size)
-            matches, prefix = matched_prefix(found, *frequent.value, percent) if len(found) else (0, found)
-            rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), matches, prefix.tobytes()))
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
+            matches, rare, often = matched_prefix(found, *frequent.value, percent) if len(found) else (0, found, found)
+            rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), matches, rare.tobytes(), often.tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n", "signature", "matches", "prefix"])
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n", "signature", "matches", "rare", "often"])
     return over_batches(
         docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), describe,
-        "doc_id long, n long, signature binary, matches int, prefix binary")
+        "doc_id long, n long, signature binary, matches int, rare binary, often binary")
 
 
-def index_rows(classes: DataFrame) -> DataFrame:
-    """ngram, doc: a row per n-gram of each class's prefix."""
+def index_rows(classes: DataFrame, part: str) -> DataFrame:
+    """ngram, doc: a row per n-gram of that part of each class's prefix."""
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams = [np.frombuffer(p.as_py(), np.int64) for p in batch.column(1)]
         docs = np.repeat(batch.column(0).to_numpy(), [len(g) for g in grams])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(docs)], names=["ngram", "doc"])
-    return over_batches(classes.select("doc", "prefix"), explode, "ngram long, doc long")
+    return over_batches(classes.select("doc", part), explode, "ngram long, doc long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,12 +207,19 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     classes = materialized(shared)
     # the class's row: one of those with its id and signature, whose prefixes are equal
     own = described.join(classes.select(F.col("doc").alias("doc_id"), "signature"), ["doc_id", "signature"], "left_semi")
-    index = index_rows(own.select(F.col("doc_id").alias("doc"), "prefix"))
-    several = index.groupBy("ngram").agg(F.count("*").alias("docs")).filter("docs > 1").select("ngram")
+    own = own.select(F.col("doc_id").alias("doc"), "rare", "often")
+    # n-grams of one document can make no pair. Those that a third of all rows may hold are frequent
+    # ones, which are kept as they are, so the window sees small groups alone.
+    met = index_rows(own, "rare").withColumn("docs", F.count("*").over(Window.partitionBy("ngram"))).filter("docs > 1").drop("docs")
     facts = classes.select("doc", "n", "matches")
-    postings = materialized(index.join(several, "ngram").join(facts, "doc").select(
-        "ngram", "doc", "n", "matches", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100))).cast("int").alias("band")))
-    sets = materialized(sets_of(docs, postings.select("doc").distinct(), size))
+    band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100))).cast("int").alias("band")
+    met = materialized(met.unionAll(index_rows(own, "often")).join(facts, "doc").select("ngram", "doc", "n", "matches", band))
+    # a document whose shared n-grams are fewer than it and each of its partners ask for is in no pair
+    fewest = met.groupBy("ngram").agg(F.min("matches").alias("fewest"), F.count("*").alias("docs")).filter("docs > 1")
+    able = met.join(fewest, "ngram").groupBy("doc").agg(F.count("*").alias("shared"), F.min("fewest").alias("fewest"), F.first("matches").alias("m"))
+    able = materialized(able.filter("shared >= least(fewest, m)").select("doc"))
+    postings = materialized(met.join(able, "doc", "left_semi"))
+    sets = materialized(sets_of(docs, able, size))
 
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     known = None  # node, component of every node linked so far
@@ -228,11 +237,12 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 
     for turn in range(STAR_ROUNDS):
         rows = placed()
-        order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("rank"), "doc", "component", "n")
+        order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("rank"), "doc", "component", "n", "matches")
         pivots = rows.groupBy("ngram", "band").agg(F.min(order).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
-        pivots = pivots.filter("low < high").select("ngram", "band", F.col("pivot.doc").alias("b"), F.col("pivot.component").alias("other"), F.col("pivot.n").alias("m"))
+        pivots = pivots.filter("low < high").select("ngram", "band", F.col("pivot.doc").alias("b"), F.col("pivot.component").alias("other"), F.col("pivot.n").alias("m"), F.col("pivot.matches").alias("asked"))
         meet = rows.join(pivots, ["ngram", "band"]).filter((F.col("component") != F.col("other")) & near(F.col("n"), F.col("m")))
-        best = meet.groupBy(F.col("doc").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        enough = F.count("*") >= F.min(F.least("matches", "asked"))
+        best = meet.groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("count"), enough.alias("enough")).filter("enough").groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         links = materialized(linked(best, sets, percent))
         if links.isEmpty():
             break

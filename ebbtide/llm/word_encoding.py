@@ -6,8 +6,8 @@ words put together, and a worker encodes each distinct word once. Texts with whi
 other kind are encoded whole. Strings of special tokens in a text are ordinary text.
 
 A worker keeps at most ``KEPT`` words: when half of that is new, the older half goes, unless it was
-asked for meanwhile. This bounds memory and changes no id. Letters and the mark behind them are
-pieces of their own, so a word with such a mark is put together from the two.
+asked for meanwhile. This bounds memory and changes no id. Where the tokenizer lowers case and drops
+white space, letters and the mark behind them are pieces of their own.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ MARKS = frozenset(".,;:!?")
 class _Known(dict):
     """Word to the bytes of its ids; asks the tokenizer for words that are not there."""
 
-    def __init__(self, encode, prefix: str, lower: bool, marks: "_Known | None" = None) -> None:
+    def __init__(self, encode, prefix: str, lower: bool) -> None:
         super().__init__()
-        self.encode, self.prefix, self.lower, self.marks, self.older = encode, prefix, lower, marks, {}
+        self.encode, self.prefix, self.lower, self.older = encode, prefix, lower, {}
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in MARKS and word[:-1].isalpha():  # not kept: its parts are
-            return self[word[:-1]] + (self if self.marks is None else self.marks)[word[-1]]
-        if self.lower and word.isascii() and not word.islower() and word.lower() != word:
-            return self[word.lower()]
+        if self.lower:  # such words are not kept: their parts are
+            if word[-1:] in MARKS and word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            if word.isascii() and word.lower() != word:
+                return self[word.lower()]
         ids = self.older.pop(word, None)
         if ids is None:
             ids = self.encode(self.prefix + word)
@@ -56,7 +57,7 @@ class WordEncoder:
         self.spaced = spaced
         self.heads = _Known(self.direct, "", False)
         # the kind that drops white space is also the one that lowers case
-        self.words = _Known(self.direct, " ", False, self.heads) if spaced else _Known(self.direct, "", True)
+        self.words = _Known(self.direct, " ", False) if spaced else _Known(self.direct, "", True)
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import exact_dedup, ngram_join, packing, quality_rules, secret_scan, token_files, warc
+from ebbtide.llm import class_lm, exact_dedup, ngram_join, packing, quality_rules, secret_scan, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,11 @@ def token_id_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op8_class_lm")
+def class_lm_query(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.scores(documents(spark, folder))
+
+
 QUALITY_SQL = """
     WITH d AS (
       SELECT doc_id, lang, source, coalesce(text, '') AS t,

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import class_lm, exact_dedup, ngram_join, packing, quality_rules, secret_scan, token_files, warc
+from ebbtide.llm import class_lm, exact_dedup, html_text, ngram_join, packing, piece_sampling, quality_rules, secret_scan, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,15 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/pages.parquet")
 
 
+@query("op1_sentencepiece_sampling")
+def sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    read = piece_sampling.decoded(piece_sampling.encoded(documents(spark, folder), model), model)
+    return read.select(
+        F.col("key").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
 @query("op2_ngram_jaccard_join")
 def ngram_join_query(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
@@ -99,6 +108,11 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+@query("op6_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(pages(spark, folder)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op7_token_files")
 def token_id_files(spark: SparkSession, folder: str) -> DataFrame:
     read = token_files.token_files(spark, documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))

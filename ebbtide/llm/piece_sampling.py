@@ -8,7 +8,9 @@ probability that its weights give it. Random numbers are seeded by the row's key
 and seed give the same pieces anywhere.
 
 No piece reaches across the place before a run of spaces, or across a line feed, so the lattice falls
-apart there and a worker keeps the forward pass of up to ``KEPT`` distinct words. This changes no draw.
+apart there. The forward pass runs over the distinct parts of a batch of texts at once, position by
+position, and the backward pass over all their occurrences, arc by arc. Parts longer than ``LONG`` are
+sampled one by one, with sums kept within range and a random number per arc.
 
 As in the library, a text gets a space in front and spaces are the piece character; a literal piece
 character is written in bytes, so that decoding gives back every text. Null or empty text has no
@@ -32,7 +34,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ebbtide.llm.shared import over_batches, whole_text
 
-SPACE, OFFSET, KEPT = "▁", 10.0, 120_000
+SPACE, OFFSET, LONG = "▁", 10.0, 64
 PARTS = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -59,8 +61,17 @@ class PieceSampler:
                 self.starts.update(text[:k] for k in range(1, len(text) + 1))
                 self.bytes_of[i] = text.encode()
         self.fallback = (model.get_piece_size() + OFFSET) ** -theta
-        self.known: dict[str, list] = {}
-        self.older: dict[str, list] = {}
+        self.size = model.get_piece_size()
+        # the pieces as a trie: (node, character) to node, sorted; the piece that ends at a node
+        node = {"": 0} | {text: i for i, text in enumerate(sorted(self.starts), 1)}
+        edges = sorted((node[t[:-1]] << 21 | ord(t[-1]), i) for t, i in node.items() if t)
+        self.edge, self.child = (np.array(c, np.int64) for c in zip(*edges))
+        self.piece_at = np.full(len(node), -1, np.int64)
+        self.weight_at = np.zeros(len(node))
+        # a factor per character, which cancels out in every share, keeps the sums near one
+        for text, (weight, pack) in self.pieces.items():
+            self.piece_at[node[text]] = int.from_bytes(pack, "little")
+            self.weight_at[node[text]] = weight * 30.0 ** len(text)
 
     def forward(self, part: str) -> list:
         """For each position: cumulative shares, origins and ids of the arcs that end there."""
@@ -106,45 +117,126 @@ class PieceSampler:
         result[size] = (cumulative, [a[1] for a in arcs], [a[2] for a in arcs])
         return result
 
-    def lattice(self, part: str) -> list:
-        found = self.known.get(part)
-        if found is None:
-            found = self.older.pop(part, None) or self.forward(part)
-            if len(part) <= 24:
-                if len(self.known) >= KEPT // 2:
-                    self.older, self.known = self.known, {}
-                self.known[part] = found
-        return found
-
-    def draw(self, part: str, u: float) -> bytes:
-        """Backward sampling. One uniform number has bits enough for a short part; a long one draws anew."""
-        arcs = self.lattice(part)
-        at = len(arcs) - 1
-        more = Random(u).random if at > 24 else None
-        out = []
+    def draw_long(self, part: str, u: float) -> np.ndarray:
+        """One sampled segmentation of a part of any length."""
+        arcs, more = self.forward(part), Random(u).random
+        at, out = len(arcs) - 1, []
         while at:
             cumulative, origins, ids = arcs[at]
-            if len(origins) == 1:
-                k = 0
-            else:
-                if more:
-                    u = more()
-                k = min(bisect(cumulative, u), len(origins) - 1)
-                if not more:
-                    low = cumulative[k - 1] if k else 0.0
-                    u = min(max((u - low) / (cumulative[k] - low), 0.0), 1.0)
+            k = min(bisect(cumulative, more()), len(origins) - 1)
             out.append(ids[k])
             at = origins[k]
-        out.reverse()
-        return b"".join(out)
+        return np.frombuffer(b"".join(reversed(out)), "<u4").astype(np.int64)
+
+    def arcs_of(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """Origin, end, weight and id of every arc of the parts' lattices, ids from ``size`` on for
+        characters that are no piece; and for every place its position within its part.
+
+        A part of n characters has n + 1 places.
+        """
+        lengths = np.array([len(p) for p in parts], np.int64)
+        letters = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le"), "<u4").astype(np.int64)
+        firsts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        position = np.arange(len(letters)) - np.repeat(firsts, lengths + 1)
+        left = np.repeat(lengths, lengths + 1) - position  # characters to the end of the part
+        at = np.flatnonzero(left > 0)
+        origins, ends, weights, ids = [], [], [], []
+        node, start, step = np.zeros(len(at), np.int64), at, 0
+        while len(start):
+            key = node << 21 | letters[start + step]
+            place = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            there = self.edge[place] == key
+            step += 1
+            if step == 1:
+                piece = np.where(there, self.piece_at[self.child[place]], -1)
+                none = start[piece < 0]
+                origins.append(none)
+                ends.append(none + 1)
+                weights.append(np.full(len(none), self.fallback * 30.0))
+                ids.append(self.size + letters[none])
+            node, start = self.child[place[there]], start[there]
+            found = self.piece_at[node] >= 0
+            origins.append(start[found])
+            ends.append(start[found] + step)
+            weights.append(self.weight_at[node[found]])
+            ids.append(self.piece_at[node[found]])
+            on = left[start] > step
+            node, start = node[on], start[on]
+        return (*(np.concatenate(x) for x in (origins, ends, weights, ids)), position, firsts)
+
+    def draw(self, parts: list[str], of: np.ndarray, uniforms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one segmentation per occurrence ``of`` a part, put together, and how many each has."""
+        if not len(of):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        origin, end, weight, ids, position, firsts = self.arcs_of(parts)
+        lengths = np.array([len(p) for p in parts], np.int64)
+        # forward: the sum of all paths to a place, for all places at the same position at once
+        order = np.lexsort((end, position[end]))
+        origin, end, weight, ids = origin[order], end[order], weight[order], ids[order]
+        new = np.flatnonzero(np.diff(end, prepend=-1))
+        total, path = np.zeros(len(position)), np.empty(len(end))
+        total[firsts] = 1.0
+        bounds = np.searchsorted(position[end], np.arange(1, int(lengths.max(initial=0)) + 2))
+        for low, high in zip(bounds, bounds[1:]):
+            path[low:high] = total[origin[low:high]] * weight[low:high]
+            groups = new[np.searchsorted(new, low):np.searchsorted(new, high)]
+            total[end[groups]] = np.add.reduceat(path[low:high], groups - low)
+        # shares of the arcs into a place, cumulated; the group's number added makes one ascending list
+        share = path / total[end]
+        group = np.cumsum(np.diff(end, prepend=-1) != 0) - 1
+        running = np.cumsum(share)
+        within = running - (running[new] - share[new])[group]
+        ladder = group + np.minimum(within, 1.0)
+        last = np.append(new[1:], len(end)) - 1
+        ladder[last] = np.arange(len(new)) + 1.0
+        group_of = np.zeros(len(position), np.int64)
+        group_of[end[new]] = np.arange(len(new))
+        # backward: all occurrences take an arc at a time
+        here, u = firsts[of] + lengths[of], uniforms.copy()
+        active, taken, who = np.flatnonzero(lengths[of] > 0), [], []
+        while len(active):
+            g = group_of[here[active]]
+            arc = np.clip(np.searchsorted(ladder, g + u[active], side="right"), new[g], last[g])
+            low = np.where(arc > new[g], ladder[arc - 1] - g, 0.0)
+            u[active] = np.clip((u[active] - low) / np.maximum(ladder[arc] - g - low, 1e-300), 0.0, 1.0 - 1e-16)
+            taken.append(ids[arc])
+            who.append(active)
+            here[active] = origin[arc]
+            active = active[position[origin[arc]] > 0]
+        taken, who = np.concatenate(taken[::-1]), np.concatenate(who[::-1])
+        return taken[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(of))
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers, characters that are no piece in byte pieces."""
+        if not (ids >= self.size).any():
+            return ids.astype("<u4").tobytes()
+        out, at = [], 0
+        for i in np.flatnonzero(ids >= self.size).tolist():
+            out.append(ids[at:i].astype("<u4").tobytes())
+            out += [self.byte_ids[b] for b in chr(int(ids[i]) - self.size).encode()]
+            at = i + 1
+        return b"".join([*out, ids[at:].astype("<u4").tobytes()])
 
-    def encode(self, text: str, seed: int) -> bytes:
-        """The ids of one sampled segmentation, little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts = PARTS.findall(" " + text)
-        uniforms = np.random.Generator(np.random.Philox(seed)).random(len(parts)).tolist()
-        return b"".join(map(self.draw, parts, uniforms))
+    def encode(self, texts: list[str], seeds: list[int]) -> list[bytes]:
+        """The ids of one sampled segmentation of each text."""
+        split = [PARTS.findall(" " + t) if t else [] for t in texts]
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(p, len(number)) for parts in split for p in parts], np.int64)
+        uniforms = np.concatenate([np.empty(0), *(np.random.Generator(np.random.Philox(s)).random(len(p)) for s, p in zip(seeds, split))])
+        parts = list(number)
+        size = np.array([len(p) for p in parts], np.int64)
+        short = np.flatnonzero(size <= LONG)
+        renumber = np.full(len(parts), -1)
+        renumber[short] = np.arange(len(short))
+        brief = size[of] <= LONG if len(of) else np.zeros(0, bool)
+        ids, counts = self.draw([parts[i] for i in short], renumber[of[brief]], uniforms[brief])
+        if not brief.all():
+            pieces, at, each = [], np.concatenate([[0], np.cumsum(counts)]), np.cumsum(brief) - 1
+            for i, is_short in enumerate(brief.tolist()):
+                pieces.append(ids[at[each[i]]:at[each[i] + 1]] if is_short else self.draw_long(parts[of[i]], float(uniforms[i])))
+            ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces], np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)[np.cumsum([0, *map(len, split)])]
+        return [self.spelled(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()[1:]
@@ -164,7 +256,8 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", theta: float = 1.0
     """The key, the text and ids (binary) of a sampled segmentation of every text."""
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         use = sampler(model, theta)
-        ids = [use.encode(t, row_seed(k, t, seed)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        texts = batch.column(1).to_pylist()
+        ids = use.encode(texts, [row_seed(k, t, seed) for k, t in zip(batch.column(0).to_pylist(), texts)])
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["key", "text", "ids"])
     narrow = docs.select(F.col(key).cast("long").alias("key"), whole_text().alias("text"))
     return over_batches(narrow, encode, "key long, text string, ids binary")

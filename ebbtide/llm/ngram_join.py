@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.shared import over_batches, slices, whole_text
@@ -92,7 +92,7 @@ def matched_prefix(found: np.ndarray, frequent: np.ndarray, frequency: np.ndarra
         if matches > least:
             break
         length = size - least + matches
-        cost = length + total[length - 1] * (1 + size / (8 * matches))
+        cost = length + total[length - 1] * (1 + (1 + size / 256) / matches)
         if cost < best_cost:
             best, best_cost = matches, cost
     rare = size - len(often)
@@ -144,12 +144,14 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def index_rows(classes: DataFrame, part: str) -> DataFrame:
-    """ngram, doc: a row per n-gram of that part of each class's prefix."""
+    """ngram, doc, place: a row per n-gram of that part of each class's prefix, and its place there."""
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams = [np.frombuffer(p.as_py(), np.int64) for p in batch.column(1)]
         docs = np.repeat(batch.column(0).to_numpy(), [len(g) for g in grams])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(docs)], names=["ngram", "doc"])
-    return over_batches(classes.select("doc", part), explode, "ngram long, doc long")
+        places = np.concatenate([k + np.arange(len(g)) for k, g in zip(batch.column(2).to_pylist(), grams)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(docs), pa.array(places)], names=["ngram", "doc", "place"])
+    first = F.lit(0) if part == "rare" else F.octet_length("rare") / 8
+    return over_batches(classes.select("doc", part, first.cast("long")), explode, "ngram long, doc long, place long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,15 +215,24 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     met = index_rows(own, "rare").withColumn("docs", F.count("*").over(Window.partitionBy("ngram"))).filter("docs > 1").drop("docs")
     facts = classes.select("doc", "n", "matches")
     band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100))).cast("int").alias("band")
-    met = materialized(met.unionAll(index_rows(own, "often")).join(facts, "doc").select("ngram", "doc", "n", "matches", band))
+    met = materialized(met.unionAll(index_rows(own, "often")).join(facts, "doc").select("ngram", "doc", "place", "n", "matches", band))
     # a document whose shared n-grams are fewer than it and each of its partners ask for is in no pair
     fewest = met.groupBy("ngram").agg(F.min("matches").alias("fewest"), F.count("*").alias("docs")).filter("docs > 1")
     able = met.join(fewest, "ngram").groupBy("doc").agg(F.count("*").alias("shared"), F.min("fewest").alias("fewest"), F.first("matches").alias("m"))
-    able = materialized(able.filter("shared >= least(fewest, m)").select("doc"))
-    postings = materialized(met.join(able, "doc", "left_semi"))
-    sets = materialized(sets_of(docs, able, size))
-
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    able = materialized(able.filter("shared >= least(fewest, m)").select("doc", "shared"))
+    # the fewer n-grams of its prefix a document has to itself, the better a pivot it is
+    alone = (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("matches") - F.col("shared")).alias("alone")
+    postings = materialized(met.join(able, "doc").select(*met.columns, alone))
+    sets = materialized(sets_of(docs, able.select("doc"), size))
+
+    def possible(n: str, place: str, m: str, other_place: str, least: Column) -> Column:
+        """The sizes allow a link, also without the n-grams that either has alone, and the n-gram is among those where the first ``least``
+        shared ones of a linked pair lie: the pair shares at least t / (1 + t) of the sum of its sizes."""
+        share = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+        fits = (F.expr("n - alone") >= share) & (F.expr("m - other_alone") >= share)
+        return fits & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(place) < F.col(n) - share + least) & (F.col(other_place) < F.col(m) - share + least)
+
+    asks = F.least("matches", "asked")
     known = None  # node, component of every node linked so far
 
     def placed() -> DataFrame:
@@ -237,11 +248,14 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 
     for turn in range(STAR_ROUNDS):
         rows = placed()
-        order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("rank"), "doc", "component", "n", "matches")
-        pivots = rows.groupBy("ngram", "band").agg(F.min(order).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
-        pivots = pivots.filter("low < high").select("ngram", "band", F.col("pivot.doc").alias("b"), F.col("pivot.component").alias("other"), F.col("pivot.n").alias("m"), F.col("pivot.matches").alias("asked"))
-        meet = rows.join(pivots, ["ngram", "band"]).filter((F.col("component") != F.col("other")) & near(F.col("n"), F.col("m")))
-        enough = F.count("*") >= F.min(F.least("matches", "asked"))
+        rank = F.struct(F.col("alone"), F.xxhash64("doc", F.lit(turn)).alias("by")) if turn < 2 else F.xxhash64("doc", F.lit(turn))
+        order = F.struct(rank.alias("rank"), "doc", "component", "n", "matches", "place", "alone")
+        pivots = rows.groupBy("ngram", "band").agg(F.min(order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
+        pivots = pivots.filter("low < high").select(
+            "ngram", "band", F.col("p.doc").alias("b"), F.col("p.component").alias("other"), F.col("p.n").alias("m"),
+            F.col("p.matches").alias("asked"), F.col("p.place").alias("other_place"), F.col("p.alone").alias("other_alone"))
+        meet = rows.join(pivots, ["ngram", "band"]).filter((F.col("component") != F.col("other")) & possible("n", "place", "m", "other_place", asks))
+        enough = F.count("*") >= F.min(asks)
         best = meet.groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("count"), enough.alias("enough")).filter("enough").groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         links = materialized(linked(best, sets, percent))
         if links.isEmpty():
@@ -251,9 +265,9 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     rows = placed()
     mixed = rows.groupBy("ngram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("ngram")
     left = materialized(rows.join(mixed, "ngram"))
-    other = left.select("ngram", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("other_matches"), F.col("component").alias("other"))
-    pairs = left.join(other, "ngram").filter((F.col("doc") < F.col("b")) & (F.col("component") != F.col("other")) & near(F.col("n"), F.col("m")))
-    asked = pairs.groupBy(F.col("doc").alias("a"), "b", F.least("matches", "other_matches").alias("least")).count().filter(F.col("count") >= F.col("least"))
+    other = left.select("ngram", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("asked"), F.col("place").alias("other_place"), F.col("alone").alias("other_alone"), F.col("component").alias("other"))
+    pairs = left.join(other, "ngram").filter((F.col("doc") < F.col("b")) & (F.col("component") != F.col("other")) & possible("n", "place", "m", "other_place", asks))
+    asked = pairs.groupBy(F.col("doc").alias("a"), "b", asks.alias("least")).count().filter(F.col("count") >= F.col("least"))
     links = materialized(linked(asked.select("a", "b"), sets, percent))
     if not links.isEmpty():
         known = joined(links)

@@ -222,14 +222,16 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     able = materialized(able.filter("shared >= least(fewest, m)").select("doc", "shared"))
     # the fewer n-grams of its prefix a document has to itself, the better a pivot it is
     alone = (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("matches") - F.col("shared")).alias("alone")
-    postings = materialized(met.join(able, "doc").select(*met.columns, alone))
+    # n-grams before this one in the document's order that no other prefix has; a window per document
+    lone = (F.col("place") - F.row_number().over(Window.partitionBy("doc").orderBy("place")) + 1).alias("lone")
+    postings = materialized(met.join(able, "doc").select(*met.columns, alone, lone))
     sets = materialized(sets_of(docs, able.select("doc"), size))
 
     def possible(n: str, place: str, m: str, other_place: str, least: Column) -> Column:
-        """The sizes allow a link, also without the n-grams that either has alone, and the n-gram is among those where the first ``least``
+        """The sizes allow a link, also without the lone n-grams before this one, and the n-gram is among those where the first ``least``
         shared ones of a linked pair lie: the pair shares at least t / (1 + t) of the sum of its sizes."""
         share = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
-        fits = (F.expr("n - alone") >= share) & (F.expr("m - other_alone") >= share)
+        fits = (F.expr("n - lone") >= share) & (F.expr("m - other_lone") >= share)
         return fits & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(place) < F.col(n) - share + least) & (F.col(other_place) < F.col(m) - share + least)
 
     asks = F.least("matches", "asked")
@@ -249,11 +251,11 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     for turn in range(STAR_ROUNDS):
         rows = placed()
         rank = F.struct(F.col("alone"), F.xxhash64("doc", F.lit(turn)).alias("by")) if turn < 2 else F.xxhash64("doc", F.lit(turn))
-        order = F.struct(rank.alias("rank"), "doc", "component", "n", "matches", "place", "alone")
+        order = F.struct(rank.alias("rank"), "doc", "component", "n", "matches", "place", "lone")
         pivots = rows.groupBy("ngram", "band").agg(F.min(order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
         pivots = pivots.filter("low < high").select(
             "ngram", "band", F.col("p.doc").alias("b"), F.col("p.component").alias("other"), F.col("p.n").alias("m"),
-            F.col("p.matches").alias("asked"), F.col("p.place").alias("other_place"), F.col("p.alone").alias("other_alone"))
+            F.col("p.matches").alias("asked"), F.col("p.place").alias("other_place"), F.col("p.lone").alias("other_lone"))
         meet = rows.join(pivots, ["ngram", "band"]).filter((F.col("component") != F.col("other")) & possible("n", "place", "m", "other_place", asks))
         enough = F.count("*") >= F.min(asks)
         best = meet.groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("count"), enough.alias("enough")).filter("enough").groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
@@ -265,7 +267,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     rows = placed()
     mixed = rows.groupBy("ngram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("ngram")
     left = materialized(rows.join(mixed, "ngram"))
-    other = left.select("ngram", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("asked"), F.col("place").alias("other_place"), F.col("alone").alias("other_alone"), F.col("component").alias("other"))
+    other = left.select("ngram", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("asked"), F.col("place").alias("other_place"), F.col("lone").alias("other_lone"), F.col("component").alias("other"))
     pairs = left.join(other, "ngram").filter((F.col("doc") < F.col("b")) & (F.col("component") != F.col("other")) & possible("n", "place", "m", "other_place", asks))
     asked = pairs.groupBy(F.col("doc").alias("a"), "b", asks.alias("least")).count().filter(F.col("count") >= F.col("least"))
     links = materialized(linked(asked.select("a", "b"), sets, percent))

@@ -24,13 +24,14 @@ def with_line_amount(df: DataFrame, price: str = "price") -> DataFrame:
 def canonical_id(value: Column, how: str = "strip") -> Column:
     """Customer id as text.
 
-    ``strip`` removes one trailing ``.0``; ``numeric`` goes through a number, so text that is
-    no number becomes NULL; ``text`` only casts.
+    ``strip`` removes one trailing ``.0``; ``numeric`` goes through an exact decimal, so every
+    whole number of up to 18 digits keeps its digits and text that is no number becomes NULL;
+    ``text`` only casts.
     """
     if how == "strip":
         return F.regexp_replace(value.cast("string"), r"\.0$", "")
     if how == "numeric":
-        return value.try_cast("double").try_cast("bigint").cast("string")
+        return value.cast("string").try_cast("decimal(38, 6)").try_cast("bigint").cast("string")
     if how == "text":
         return value.cast("string")
     raise ValueError(f"unknown id conversion: {how}")
@@ -136,8 +137,10 @@ def label_at(position: Column, labels: Sequence[str]) -> Column:
 
 
 def map_labels(value: Column, mapping: Mapping, default) -> Column:
-    pairs = [F.lit(part) for pair in mapping.items() for part in pair]
     fallback = default if isinstance(default, Column) else F.lit(default)
+    if not mapping:
+        return fallback
+    pairs = [F.lit(part) for pair in mapping.items() for part in pair]
     return F.coalesce(F.create_map(*pairs)[value], fallback)
 
 

@@ -121,7 +121,7 @@ def churn_rate_curve(pur: DataFrame, lo: int = 30, hi: int = 180, step: int = 5)
     counts summed over the grid's few rows: no row per customer and threshold.
     """
     latest = pur.agg(F.max("invoice_date").alias("at")).scalar()
-    per_customer = pur.groupBy("customer_id").agg(
+    per_customer = pur.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(
         F.min("invoice_date").alias("first"), F.max("invoice_date").alias("last")
     )
     # the snapshot for t days is t midnights before the latest day

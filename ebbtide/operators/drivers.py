@@ -14,22 +14,6 @@ from ebbtide.operators.evaluation import roc_auc, score
 from ebbtide.operators.ordering import ranked
 from ebbtide.runtime import materialized
 
-# Suggested treatment per driver.
-ACTIONS = {
-    "active_months": "Buying has not become a habit: nudge towards a second and third order early on.",
-    "recency_to_tenure_ratio": "Dormant for most of the relationship: win back before the gap grows.",
-    "recency_days": "Silence is the plainest warning: send a time-limited offer once the usual gap has passed.",
-    "unique_products": "A narrow range ties customers loosely: cross-sell neighbouring categories.",
-    "distinct_active_days": "Few shopping days: build a routine with lifecycle messages.",
-    "frequency_orders": "Few orders: reward the next one with points or a threshold discount.",
-    "avg_gap_days": "Long gaps point to missed replenishment: time reminders to the category's cycle.",
-    "median_gap_days": "Long gaps point to missed replenishment: time reminders to the category's cycle.",
-    "tenure_days": "Short relationships end sooner: invest in the first weeks.",
-    "return_invoice_ratio": "Customers who return things are engaged: read very little interaction as the warning.",
-    "purchase_lines": "Thin baskets show low commitment: recommend a wider choice.",
-}
-DEFAULT_ACTION = "Ask the customer team to review this driver and design a targeted treatment."
-
 
 def permuted(df: DataFrame, columns: Sequence[str], repeats: int, seed: int, key: str) -> DataFrame:
     """Every row once per (feature, repeat), that feature taken from another row.
@@ -76,9 +60,9 @@ def permutation_importance(
 
 
 def retention_recommendations(
-    importance: DataFrame, correlation: DataFrame, actions: Mapping[str, str] = ACTIONS, top: int = 6
+    importance: DataFrame, correlation: DataFrame, actions: Mapping[str, str], default: str, top: int = 6
 ) -> DataFrame:
-    """The strongest drivers, the end of each that goes with churn, and a treatment."""
+    """The strongest drivers, the end of each that goes with churn, and the caller's treatment of it."""
     leading = importance.orderBy(F.desc("importance_mean"), "feature").limit(top)
     risky = F.when(F.col("correlation") > 0, "higher").otherwise("lower")
     return (
@@ -87,6 +71,6 @@ def retention_recommendations(
         .select(
             F.col("feature").alias("driver"),
             F.concat(risky, F.lit(" "), F.col("feature"), F.lit(" -> more likely to churn")).alias("risk_signal"),
-            map_labels(F.col("feature"), actions, DEFAULT_ACTION).alias("recommended_action"),
+            map_labels(F.col("feature"), actions, default).alias("recommended_action"),
         )
     )

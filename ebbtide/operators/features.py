@@ -88,17 +88,17 @@ def descriptive_snapshot(observation_date: Column) -> Column:
 
 
 def rfm_features(pur: DataFrame, snapshot: Column) -> DataFrame:
-    return with_rfm_ratios(pur.groupBy("customer_id").agg(*rfm_totals(F.lit(True))), snapshot)
+    return with_rfm_ratios(pur.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(*rfm_totals(F.lit(True))), snapshot)
 
 
 def mix_features(pur: DataFrame) -> DataFrame:
-    return pur.groupBy("customer_id").agg(
+    return pur.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(
         *mix_totals(F.lit(True)), F.count_distinct("description").alias("unique_descriptions")
     )
 
 
 def return_features(ret: DataFrame, negatives_only: bool = True) -> DataFrame:
-    return ret.groupBy("customer_id").agg(*return_totals(F.lit(True), negatives_only))
+    return ret.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(*return_totals(F.lit(True), negatives_only))
 
 
 FEATURE_COLUMNS = [

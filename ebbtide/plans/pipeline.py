@@ -5,7 +5,7 @@ Each step takes and returns DataFrames; ``run`` writes them under one folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -36,15 +36,16 @@ def prepare(raw: DataFrame) -> Prepared:
     tx = materialized(typed_transactions(raw))
     clean = materialized(quality.clean_transactions(tx))
     unit_priced = clean.withColumnRenamed("price", "unit_price")
-    unit_priced = unit_priced.withColumn("customer_id", canonical_id(unit_priced["customer_id"], "numeric"))
     return Prepared(tx, clean, unit_priced, customers.stored_customer_base(clean))
 
 
 def describe_customers(prepared: Prepared, metadata: DataFrame | None = None) -> DataFrame:
     """Full-history features as of the day after the observation date."""
-    bought = quality.purchases(prepared.unit_priced, "positive", features.PRICE)
+    # this step alone takes ids as numbers; the churn steps keep them as text
+    lines = prepared.unit_priced.withColumn("customer_id", canonical_id(prepared.unit_priced["customer_id"], "numeric"))
+    bought = quality.purchases(lines, "positive", features.PRICE)
     snapshot = features.descriptive_snapshot(resolve_observation_date(bought, metadata))
-    return features.customer_features(prepared.unit_priced, snapshot)
+    return features.customer_features(lines, snapshot)
 
 
 def label(prepared: Prepared) -> DataFrame:
@@ -72,8 +73,13 @@ def select_model(
     return Selected(comparison, model, train, test)
 
 
-def interpret(selected: Selected, repeats: int = 10) -> dict[str, DataFrame]:
-    """Everything said about the tuned model, from the held-out rows."""
+def interpret(
+    selected: Selected, repeats: int = 10, actions: Mapping[str, str] | None = None, default: str = ""
+) -> dict[str, DataFrame]:
+    """Everything said about the tuned model, from the held-out rows.
+
+    ``actions`` names a treatment by feature; the others get ``default``.
+    """
     columns, _ = modelling.feature_columns(selected.test)
     scored = materialized(evaluation.score(selected.model, selected.test).select("y_true", "y_prob"))
     sweep = evaluation.threshold_sweep(scored)
@@ -89,14 +95,14 @@ def interpret(selected: Selected, repeats: int = 10) -> dict[str, DataFrame]:
         "threshold_sweep": sweep,
         "operating_point": evaluation.choose_threshold(sweep),
         "feature_importance": importance,
-        "recommendations": drivers.retention_recommendations(importance, correlation),
+        "recommendations": drivers.retention_recommendations(importance, correlation, actions or {}, default),
         "predictions": sinks.export_predictions(scored),
     }
 
 
 def run(
     raw: DataFrame, folder: str, fmt: str = "parquet", models: Sequence[str] = modelling.BASELINES,
-    n_iter: int = 25, k: int = 5, repeats: int = 10,
+    n_iter: int = 25, k: int = 5, repeats: int = 10, actions: Mapping[str, str] | None = None, default: str = "",
 ) -> None:
     """Write every result table, the split and the tuned model under ``folder``."""
     prepared = prepare(raw)
@@ -118,7 +124,7 @@ def run(
         "monthly_revenue": trends.monthly_net_revenue(prepared.unit_priced, sold),
         "rfm_segments": customers.rfm_net_summary(prepared.base),
         "model_comparison": selected.comparison,
-        **interpret(selected, repeats),
+        **interpret(selected, repeats, actions, default),
     }
     for name, result in results.items():
         sinks.write_table(result, f"{folder}/{name}", fmt)

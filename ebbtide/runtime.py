@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -11,32 +10,19 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the session names in ``spark.checkpoint.dir``.
+    """Folder the session names in ``spark.checkpoint.dir``, or else its warehouse folder.
 
-    Where it is unset, a local session gets a folder of its own; a cluster session is
-    refused, because a machine-local folder would be lost with its machine.
+    Both are the session's own settings and reachable from every executor. A cluster session
+    without the first is refused, because the warehouse's default is a folder of one machine.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="ebbtide-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     return folder
 
 
-def spread_if_few(scan: DataFrame) -> DataFrame:
-    """Give a scan of fewer splits than the session has cores one partition per core.
-
-    A table of one small file is read by one task, which would then do all narrow work alone. A
-    table of at least as many splits as cores is left as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def materialized(df: DataFrame) -> DataFrame:
     """Write to a parquet table in the shared folder and read it back.
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.functions.scalars import canonical_id
 from ebbtide.operators import quality
 from ebbtide.runtime import materialized
 from ebbtide.sources.fixtures import purchase_events, raw_transactions
@@ -73,9 +72,8 @@ def stored_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_unit(spark: SparkSession, folder: str) -> DataFrame:
-    """The clean table as the feature steps read it: ``unit_price``, numeric customer ids."""
-    table = clean(spark, folder).withColumnRenamed("price", "unit_price")
-    return materialized(table.withColumn("customer_id", canonical_id(F.col("customer_id"), "numeric")))
+    """The clean table as the churn steps read it: ``unit_price``, customer ids as text."""
+    return materialized(clean(spark, folder).withColumnRenamed("price", "unit_price"))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:

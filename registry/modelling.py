@@ -230,8 +230,13 @@ def _(spark, folder):
     return _importance(spark, folder)[1]
 
 
+# what a feature's name says it measures
+FAMILIES = {"recency": "recency", "frequency": "frequency", "unique": "breadth", "gap": "gaps", "return": "returns", "spend": "spend"}
+
+
 @register("retention_recommendations")
 def _(spark, folder):
     test, importance = _importance(spark, folder)
     correlation = statistics.corr_with_label(test, MODEL_FEATURES, "churn_label")
-    return drivers.retention_recommendations(importance, correlation)
+    actions = {f: f"review {family}" for f in MODEL_FEATURES for part, family in FAMILIES.items() if part in f}
+    return drivers.retention_recommendations(importance, correlation, actions, "review")

@@ -144,3 +144,15 @@ def test_gap_summary(spark):
     found = spark.createDataFrame([("a", 1), ("a", 3), ("b", 8)], "customer_id string, gap_days int")
     row = gaps.gap_summary(found).first()
     assert (row["gaps"], row["repeat_customers"], row["p50"], row["max"]) == (3, 2, 3.0, 8)
+
+
+def test_text_ids_and_missing_ids(spark, lines):
+    """Ids that are no numbers stay customers; rows without an id are nobody's."""
+    rows = [
+        ("1", "A", "a", 1, "2020-01-01 10:00:00", 1.0, "AB12", "X"), ("2", "A", "a", 1, "2020-06-01 10:00:00", 1.0, "AB12", "X"),
+        ("3", "A", "a", 1, "2020-02-01 10:00:00", 1.0, None, "X"), ("4", "A", "a", 1, "2020-03-01 10:00:00", 1.0, "7", "X"),
+    ]
+    bought = lines(rows, "unit_price")
+    first = churn.churn_rate_curve(bought).orderBy("threshold_days").first()
+    assert first["n_eligible"] == 2
+    assert {r["customer_id"] for r in features.mix_features(bought).collect()} == {"AB12", "7"}

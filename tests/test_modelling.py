@@ -154,11 +154,11 @@ def test_recommendations(spark):
         [("recency_days", 0.3, 0.0), ("active_months", 0.2, 0.0), ("other", 0.1, 0.0), ("tail", 0.01, 0.0)],
         "feature string, importance_mean double, importance_std double")
     correlation = spark.createDataFrame([("recency_days", 0.4), ("active_months", -0.2), ("other", None)], "feature string, correlation double")
-    rows = drivers.retention_recommendations(importance, correlation, top=3).collect()
+    rows = drivers.retention_recommendations(importance, correlation, {"recency_days": "call"}, "review", top=3).collect()
     assert [r["risk_signal"] for r in rows] == [
         "higher recency_days -> more likely to churn", "lower active_months -> more likely to churn",
         "lower other -> more likely to churn"]
-    assert rows[2]["recommended_action"] == drivers.DEFAULT_ACTION
+    assert [r["recommended_action"] for r in rows] == ["call", "review", "review"]
 
 
 def test_scores_flag_at_the_threshold(table):

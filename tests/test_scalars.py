@@ -45,7 +45,8 @@ def test_bad_timestamp_is_missing(spark):
 
 @pytest.mark.parametrize("how, given, expected", [
     ("strip", "12346.0", "12346"), ("strip", "10.05", "10.05"), ("strip", "1.0.0", "1.0"),
-    ("numeric", "12346.0", "12346"), ("numeric", "abc", None), ("text", "12346.0", "12346.0"),
+    ("numeric", "12346.0", "12346"), ("numeric", "9007199254740993", "9007199254740993"),
+    ("numeric", "9007199254740992.0", "9007199254740992"), ("numeric", "abc", None), ("text", "12346.0", "12346.0"),
 ])
 def test_customer_ids(spark, how, given, expected):
     assert value(spark, sc.canonical_id(F.lit(given), how)) == expected

@@ -228,10 +228,12 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     sets = materialized(sets_of(docs, able.select("doc"), size))
 
     def possible(n: str, place: str, m: str, other_place: str, least: Column) -> Column:
-        """The sizes allow a link, also without the lone n-grams before this one, and the n-gram is among those where the first ``least``
+        """The sizes allow a link, also without the n-grams before this one that are not shared, and the n-gram is among those where the first ``least``
         shared ones of a linked pair lie: the pair shares at least t / (1 + t) of the sum of its sizes."""
         share = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
-        fits = (F.expr("n - lone") >= share) & (F.expr("m - other_lone") >= share)
+        # of the n-grams before this one, those shared are as many on both sides, and prefixes hold them
+        before = F.expr(f"least({place} - lone, {other_place} - other_lone)")
+        fits = (F.col(n) - F.col(place) + before >= share) & (F.col(m) - F.col(other_place) + before >= share)
         return fits & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(place) < F.col(n) - share + least) & (F.col(other_place) < F.col(m) - share + least)
 
     asks = F.least("matches", "asked")

@@ -11,7 +11,7 @@ from registry.churn import customer_features, stored_model_table, stored_sold
 from registry.core import month, pur, r, register, stable, stored_clean, tx
 from registry.preparation import base, flagged
 
-HOME = "FRANCE"  # the test tables have no United Kingdom under its full name
+HOME = "United Kingdom"
 
 
 def stored_pur(spark, folder):

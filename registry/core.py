@@ -115,7 +115,8 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
              CASE WHEN l_partkey % 151 = 0 THEN 0.0
                   ELSE floor(l_extendedprice * 100 / l_quantity + 0.5) / 100 END AS price,
              CASE WHEN o_orderkey % 20 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS customer_id,
-             n_name AS country, o_orderkey
+             CASE n_nationkey % 7 WHEN 0 THEN 'United Kingdom' WHEN 1 THEN 'France' WHEN 2 THEN 'Germany' ELSE n_name END AS country,
+             o_orderkey
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"""),
     "raw": (("planted",), """

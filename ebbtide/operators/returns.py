@@ -7,34 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is heavy above 1/HEAVY_SHARE of the left rows, so at most HEAVY_SHARE keys are.
-HEAVY_SHARE = 1000
 
+def joined_by_pair(lines: DataFrame, pairs: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of many rows per key to at most one row per key.
 
-def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join of many rows per key to at most one row per key, with heavy keys split.
-
-    A heavy key's left rows spread over as many slices as it holds thousandths of the rows, by
-    a hash of the row, and its right row is repeated per slice. Other keys have one slice. The
-    broadcast list of heavy keys cannot exceed ``HEAVY_SHARE`` rows.
+    A hot key is one row on the right, so the adaptive skew join splits its left rows over tasks.
+    Rows with a NULL in the key match nothing and do not take part in the shuffle.
     """
-    per_key = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("n")).scalar()
-    heavy = per_key.filter(F.col("_n") * HEAVY_SHARE > total).select(
-        *on, F.ceil(F.col("_n") * HEAVY_SHARE / total).cast("int").alias("_slices")
-    )
-    slices = F.coalesce(F.col("_slices"), F.lit(1))
-    salted = left.join(F.broadcast(heavy), list(on), "left").withColumn(
-        "_slice", F.pmod(F.xxhash64(*left.columns), slices).cast("int")
-    )
-    repeated = right.join(F.broadcast(heavy), list(on), "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
-    )
-    return (
-        salted.drop("_slices")
-        .join(repeated.drop("_slices"), [*on, "_slice"], "left")
-        .drop("_slice")
-    )
+    whole = F.lit(True)
+    for key in on:
+        whole = whole & F.col(key).isNotNull()
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in pairs.schema if f.name not in on]
+    unmatched = lines.filter(~whole).select("*", *added)
+    return lines.filter(whole).join(pairs, list(on), "left").unionByName(unmatched)
 
 
 def reconcile_returns(ret: DataFrame, pur: DataFrame) -> DataFrame:
@@ -43,7 +28,7 @@ def reconcile_returns(ret: DataFrame, pur: DataFrame) -> DataFrame:
         F.min("invoice_date").alias("first_purchase_dt")
     )
     lines = ret.select("customer_id", "stock_code", "invoice_date", "quantity", "line_amount", "invoice_no")
-    return salted_left_join(lines, first, ["customer_id", "stock_code"]).withColumn(
+    return joined_by_pair(lines, first, ["customer_id", "stock_code"]).withColumn(
         "matched_to_purchase",
         F.coalesce(F.col("first_purchase_dt") <= F.col("invoice_date"), F.lit(False)),
     )

@@ -116,10 +116,11 @@ def test_no_returns(lines):
     assert summary["return_lines"] == 0 and summary["matched_pct"] == 0.0 and summary["net_value"] == 3.0
 
 
-def test_salted_join_keeps_every_row_of_a_hot_key(spark):
-    left = spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("k"), "id")
+def test_join_by_pair_keeps_every_row_of_a_hot_or_null_key(spark):
+    key = F.when(F.col("id") < 1000, 0).when(F.col("id") % 3 > 0, F.col("id"))
+    left = spark.range(3000).select(key.alias("k"), "id")
     right = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    got = returns.salted_left_join(left, right, ["k"]).orderBy("id").toPandas()
+    got = returns.joined_by_pair(left, right, ["k"]).orderBy("id").toPandas()
     expected = left.toPandas().merge(right.toPandas(), on="k", how="left").sort_values("id")
     assert got["id"].tolist() == expected["id"].tolist()
     assert got["w"].fillna(-1).tolist() == expected["w"].fillna(-1).tolist()

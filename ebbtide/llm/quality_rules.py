@@ -65,14 +65,15 @@ def text_counts(text: str) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every whole text."""
+def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the counts of every whole text, and the columns to carry along."""
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [text_counts(x.as_py()) for x in batch.column(3)]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "lang", "source", *COUNTS])
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), whole_text())
-    return over_batches(narrow, count, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, *batch.columns[4:]], names=["doc_id", "lang", "source", *COUNTS, *carry])
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), whole_text(), *carry)
+    more = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return over_batches(narrow, count, "doc_id long, lang string, source string, " + ", ".join([*(f"{c} long" for c in COUNTS), *more]))
 
 
 def _thousandths(count: str, of: str) -> Column:
@@ -123,9 +124,9 @@ def limits(sketch: DataFrame, spreads: dict[str, int] = SPREADS) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, min_group: int = 100, spreads: dict[str, int] = SPREADS) -> DataFrame:
-    """One row per document: counts, the limits that applied, base_failed and kept."""
-    counts = materialized(measured(docs))
+def quality(docs: DataFrame, min_group: int = 100, spreads: dict[str, int] = SPREADS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: counts, the columns to carry along, the limits that applied, base_failed and kept."""
+    counts = materialized(measured(docs, carry))
     table = materialized(limits(sketches(counts), spreads))
     names = [f"limit_{m}" for m in MEASURES]
 
@@ -141,7 +142,7 @@ def quality(docs: DataFrame, min_group: int = 100, spreads: dict[str, int] = SPR
         .join(level(1, "lang"), same("lang"), "left")
         .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.coalesce("level0", "level1", level(2).scalar()).alias("limits"))
     )
-    judged = counts.join(chosen, same("lang") & same("source"), "left").select("doc_id", "lang", "source", *COUNTS, "limits.*")
+    judged = counts.join(chosen, same("lang") & same("source"), "left").select("doc_id", "lang", "source", *COUNTS, *carry, "limits.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passes = F.lit(True)
     for m, of in MEASURES.items():

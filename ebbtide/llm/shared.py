@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyarrow import fs
@@ -48,7 +50,7 @@ def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
     return df.mapInArrow(lambda batches: map(function, slices(batches)), schema)
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is not in ``dropped``; a null key equals a null key."""
-    gone = dropped.select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose keys, columns of ``dropped`` by name, are together in no row there; null equals null."""
+    gone = dropped.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct()
+    return docs.join(gone, reduce(and_, [of.eqNullSafe(F.col(f"_gone_{k}")) for k, of in keys.items()]), "left_anti")

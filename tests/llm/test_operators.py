@@ -209,6 +209,22 @@ def test_html_extraction(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_text_of_copies_siblings_and_telling_names(spark):
+    one = "<html><head></head><body><div id='t'><p>Only page</p></div></body></html>"
+    two = "<html><body class='no-sidebar newsletter'><div class='lead'><p>Lead {0}</p></div><div class='story'><p>Long story {0} of words</p></div><div class='box'>Always</div></body></html>"
+    head = "<html><body><article><div class='entry-header'><h1>Title {0}</h1></div><p>Body {0}</p><div class='share'>no</div></article></body></html>"
+    many = "<html><body><div><p>Page {0}</p></div></body></html>"
+    own = "<html><body><div><p>Page x</p></div><section><p>Own text</p></section></body></html>"
+    rows = [(k, "http://one.example/", one) for k in range(4)] + [(4 + k, None, one) for k in range(3)]
+    rows += [(10 + k, f"http://two.example/{k}", two.format(k)) for k in range(5)] + [(20 + k, f"http://head.example/{k}", head.format(k)) for k in range(3)]
+    rows += [(30 + k, f"http://many.example/{k}", many.format(k)) for k in range(4)] + [(40 + k, "http://many.example/x", own) for k in range(20)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {got[k] for k in range(7)} == {"Only page"}
+    assert got[12] == "Lead 2\nLong story 2 of words"
+    assert got[21] == "Title 1\nBody 1"
+    assert got[30] == "Page 0" and got[45] == "Page x\nOwn text"
+
+
 def test_token_files(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     folder = new_folder(spark, "test-tokens")

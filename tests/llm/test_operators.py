@@ -225,6 +225,15 @@ def test_html_keeps_text_of_copies_siblings_and_telling_names(spark):
     assert got[30] == "Page 0" and got[45] == "Page x\nOwn text"
 
 
+def test_html_template_strings_inside_the_article(spark):
+    page = "<html><body><article><p>Story number {0} of this host</p><div><p>Share this</p></div><p>End {0} of it</p></article></body></html>"
+    same = "<html><body><article><p>{0}</p><p>One long text that this host has on every page</p></article></body></html>"
+    rows = [(k, f"http://host.example/{k}", page.format(k)) for k in range(4)] + [(10 + k, f"http://same.example/{k}", same.format(k)) for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[2] == "Story number 2 of this host\nEnd 2 of it"
+    assert got[11] == "1\nOne long text that this host has on every page"
+
+
 def test_token_files(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     folder = new_folder(spark, "test-tokens")

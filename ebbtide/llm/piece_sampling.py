@@ -10,7 +10,8 @@ and seed give the same pieces anywhere.
 No piece reaches across the place before a run of spaces, or across a line feed, so the lattice falls
 apart there. The forward pass runs over the distinct parts of a batch of texts at once, position by
 position, and the backward pass over all their occurrences, arc by arc. Parts longer than ``LONG`` are
-sampled one by one, with sums kept within range and a random number per arc.
+sampled one by one, with sums kept within range. Each arc has a random number of its own, which follows
+from the row's seed, the part's and the arc's number; what else is in the batch does not matter.
 
 As in the library, a text gets a space in front and spaces are the piece character; a literal piece
 character is written in bytes, so that decoding gives back every text. Null or empty text has no
@@ -38,6 +39,14 @@ SPACE, OFFSET, LONG = "▁", 10.0, 64
 PARTS = re.compile(r" *[^ \n]+| +|\n")
 
 
+def numbered(seeds: np.ndarray, number: int) -> np.ndarray:
+    """The random number of that number, from 0 to 1, of each of the 64-bit seeds (splitmix64)."""
+    x = seeds * np.uint64(0xD1342543DE82EF95) + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
 class PieceSampler:
     def __init__(self, path: str, theta: float) -> None:
         import sentencepiece
@@ -181,24 +190,24 @@ class PieceSampler:
             path[low:high] = total[origin[low:high]] * weight[low:high]
             groups = new[np.searchsorted(new, low):np.searchsorted(new, high)]
             total[end[groups]] = np.add.reduceat(path[low:high], groups - low)
-        # shares of the arcs into a place, cumulated; the group's number added makes one ascending list
-        share = path / total[end]
-        group = np.cumsum(np.diff(end, prepend=-1) != 0) - 1
-        running = np.cumsum(share)
-        within = running - (running[new] - share[new])[group]
-        ladder = group + np.minimum(within, 1.0)
+        # shares of the arcs into a place, cumulated within the place alone: other parts have no influence
+        within = path / total[end]
         last = np.append(new[1:], len(end)) - 1
-        ladder[last] = np.arange(len(new)) + 1.0
+        for step in range(1, int((last - new).max(initial=0)) + 1):
+            arc = new[new + step <= last] + step
+            within[arc] += within[arc - 1]
         group_of = np.zeros(len(position), np.int64)
         group_of[end[new]] = np.arange(len(new))
         # backward: all occurrences take an arc at a time
-        here, u = firsts[of] + lengths[of], uniforms.copy()
+        here, seeds = firsts[of] + lengths[of], (uniforms * 2.0**53).astype(np.uint64)
         active, taken, who = np.flatnonzero(lengths[of] > 0), [], []
         while len(active):
             g = group_of[here[active]]
-            arc = np.clip(np.searchsorted(ladder, g + u[active], side="right"), new[g], last[g])
-            low = np.where(arc > new[g], ladder[arc - 1] - g, 0.0)
-            u[active] = np.clip((u[active] - low) / np.maximum(ladder[arc] - g - low, 1e-300), 0.0, 1.0 - 1e-16)
+            u, arc, end_of = numbered(seeds[active], len(taken)), new[g], last[g]
+            on = np.flatnonzero((arc < end_of) & (within[arc] <= u))
+            while len(on):
+                arc[on] += 1
+                on = on[(arc[on] < end_of[on]) & (within[arc[on]] <= u[on])]
             taken.append(ids[arc])
             who.append(active)
             here[active] = origin[arc]

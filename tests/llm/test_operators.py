@@ -85,6 +85,16 @@ def test_piece_sampling_has_the_lattice_distribution():
     assert max(abs(seen[i] / draws - w / total) for w, i in exact) < 0.01
 
 
+def test_piece_sampling_does_not_depend_on_the_batch():
+    use = piece_sampling.sampler(public_tokenizers.path("piece_bpe_32k.model"), 0.0)
+    generator = np.random.default_rng(5)
+    long = ["".join(generator.choice(["the", "in", "er", "an", "st", "on", "ing", "ate"], 25))[:62] for _ in range(60)]
+    others = [" ".join("".join(generator.choice(list("etaoinshrdlu"), 12)) for _ in range(200)) for _ in range(60)]
+    alone = [use.encode([t], [k])[0] for k, t in enumerate(long)]
+    assert use.encode([*others, *long], [*range(1000, 1060), *range(60)])[60:] == alone
+    assert all(use.decode(i) == t for i, t in zip(alone, long))
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():

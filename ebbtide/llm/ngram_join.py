@@ -10,8 +10,8 @@ The order puts the ``FREQUENT`` n-grams of highest frequency last, by frequency,
 by hash. Frequencies are gathered from every document; n-grams seen once in an input task are left
 out of them, which changes the order, never the result.
 
-Documents of equal sets are one class, joined through its smallest id. Links are wanted for the
-components they make, so pairs already connected are not verified again: rounds of stars first join
+Documents of equal sets are one class, joined through its smallest id. ``jaccard_links`` gives every
+link. ``jaccard_components`` wants links for the components they make alone, so there pairs already connected are not verified again: rounds of stars first join
 documents to one pivot per shared n-gram and size band, then all pairs that still lie in different
 components are generated and verified. A group of g near copies costs g pairs, not g squared.
 
@@ -201,8 +201,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return over_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y"), verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id of an equal set), component_id."""
+def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their signatures, classes, index rows of the classes that can be in a pair, and their sets."""
     described = materialized(prefixes(docs, size, percent))
     shared = described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "signature").agg(
         F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.min_by("matches", "doc_id").alias("matches"))
@@ -227,15 +227,49 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     postings = materialized(met.join(able, "doc").select(*met.columns, alone, lone))
     sets = materialized(sets_of(docs, able.select("doc"), size))
 
-    def possible(n: str, place: str, m: str, other_place: str, least: Column) -> Column:
-        """The sizes allow a link, also without the n-grams before this one that are not shared, and the n-gram is among those where the first ``least``
-        shared ones of a linked pair lie: the pair shares at least t / (1 + t) of the sum of its sizes."""
-        share = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
-        # of the n-grams before this one, those shared are as many on both sides, and prefixes hold them
-        before = F.expr(f"least({place} - lone, {other_place} - other_lone)")
-        fits = (F.col(n) - F.col(place) + before >= share) & (F.col(m) - F.col(other_place) + before >= share)
-        return fits & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(place) < F.col(n) - share + least) & (F.col(other_place) < F.col(m) - share + least)
+    return described, classes, postings, sets
+
+
+def possible(percent: int, n: str, place: str, m: str, other_place: str, least: Column) -> Column:
+    """The sizes allow a link, also without the n-grams before this one that are not shared, and the n-gram is among those where the first ``least``
+    shared ones of a linked pair lie: the pair shares at least t / (1 + t) of the sum of its sizes."""
+    share = F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+    # of the n-grams before this one, those shared are as many on both sides, and prefixes hold them
+    before = F.expr(f"least({place} - lone, {other_place} - other_lone)")
+    fits = (F.col(n) - F.col(place) + before >= share) & (F.col(m) - F.col(other_place) + before >= share)
+    return fits & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col(place) < F.col(n) - share + least) & (F.col(other_place) < F.col(m) - share + least)
+
 
+def candidates(rows: DataFrame, percent: int, wanted: Column) -> DataFrame:
+    """The pairs a < b of index rows that can link, of those ``wanted``."""
+    asks = F.least("matches", "asked")
+    other = rows.select("ngram", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("asked"), F.col("place").alias("other_place"), F.col("lone").alias("other_lone"), F.col("component").alias("other"))
+    pairs = rows.join(other, "ngram").filter((F.col("doc") < F.col("b")) & wanted & possible(percent, "n", "place", "m", "other_place", asks))
+    asked = pairs.groupBy(F.col("doc").alias("a"), "b", asks.alias("least")).count().filter(F.col("count") >= F.col("least"))
+    return asked.select("a", "b")
+
+
+def jaccard_links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links, verified, as pairs a < b of classes; and one row per document: doc_id, n_shingles, class_id, n_links.
+
+    A class is the smallest id of an equal set, its links those to other classes. A group of g near
+    copies of different sets has up to g (g - 1) / 2 links, all of which are in the result.
+    """
+    described, classes, postings, sets = prepared(docs, size, percent)
+    rows = materialized(postings.withColumn("component", F.col("doc")))
+    links = materialized(linked(candidates(rows, percent, F.lit(True)).distinct(), sets, percent).distinct())
+    counts = links.select(F.col("a").alias("_doc")).unionAll(links.select("b")).groupBy("_doc").agg(F.count("*").alias("_links"))
+    named = materialized(classes.join(counts, classes["doc"] == counts["_doc"], "left").filter("rows > 1 OR _links > 0").select(
+        "n", "signature", F.col("doc").alias("_class"), "_links"))
+    members = described.join(named, ["n", "signature"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("_links", F.lit(0).cast("long"))).alias("n_links"))
+    return links, members
+
+
+def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id of an equal set), component_id."""
+    described, classes, postings, sets = prepared(docs, size, percent)
     asks = F.least("matches", "asked")
     known = None  # node, component of every node linked so far
 
@@ -258,7 +292,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         pivots = pivots.filter("low < high").select(
             "ngram", "band", F.col("p.doc").alias("b"), F.col("p.component").alias("other"), F.col("p.n").alias("m"),
             F.col("p.matches").alias("asked"), F.col("p.place").alias("other_place"), F.col("p.lone").alias("other_lone"))
-        meet = rows.join(pivots, ["ngram", "band"]).filter((F.col("component") != F.col("other")) & possible("n", "place", "m", "other_place", asks))
+        meet = rows.join(pivots, ["ngram", "band"]).filter((F.col("component") != F.col("other")) & possible(percent, "n", "place", "m", "other_place", asks))
         enough = F.count("*") >= F.min(asks)
         best = meet.groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("count"), enough.alias("enough")).filter("enough").groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         links = materialized(linked(best, sets, percent))
@@ -269,10 +303,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     rows = placed()
     mixed = rows.groupBy("ngram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("ngram")
     left = materialized(rows.join(mixed, "ngram"))
-    other = left.select("ngram", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("matches").alias("asked"), F.col("place").alias("other_place"), F.col("lone").alias("other_lone"), F.col("component").alias("other"))
-    pairs = left.join(other, "ngram").filter((F.col("doc") < F.col("b")) & (F.col("component") != F.col("other")) & possible("n", "place", "m", "other_place", asks))
-    asked = pairs.groupBy(F.col("doc").alias("a"), "b", asks.alias("least")).count().filter(F.col("count") >= F.col("least"))
-    links = materialized(linked(asked.select("a", "b"), sets, percent))
+    links = materialized(linked(candidates(left, percent, F.col("component") != F.col("other")), sets, percent))
     if not links.isEmpty():
         known = joined(links)
 

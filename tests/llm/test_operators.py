@@ -130,6 +130,21 @@ def test_ngram_join_matches_all_pairs(spark, plain, docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_ngram_links_are_all_pairs(spark, docs, none):
+    texts = {}
+    for i in range(40):  # one group of near copies, all with different sets, and copies of ten of them
+        words = BASE.split()
+        words[3 * (i % 30)] = f"e{i % 30}"
+        texts[i] = " ".join(words)
+    sets = {i: {tuple(t.split()[k:k + 4]) for k in range(117)} for i, t in texts.items()}
+    expected = {(a, b) for a, b in itertools.combinations(range(30), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    links, members = ngram_join.jaccard_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    assert len(expected) > 400 and sorted(map(tuple, links.collect())) == sorted(expected)
+    degree = collections.Counter(x for pair in expected for x in pair)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in members.collect()} == {i: (i % 30, degree[i % 30]) for i in texts}
+    assert ngram_join.jaccard_links(docs)[1].count() == docs.count() and ngram_join.jaccard_links(none)[1].count() == 0
+
+
 def test_secret_spans_and_ledger(spark, docs, none):
     found = {r.path: r for r in secret_scan.scan(docs).collect()}
     assert len(found) and secret_scan.scan(none).count() == 0

@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import class_lm, exact_dedup, html_text, ngram_join, packing, piece_sampling, quality_rules, secret_scan, token_files, warc
+from ebbtide.llm import (
+    class_lm, exact_dedup, filter_audit, html_text, ngram_join, packing, piece_sampling, quality_rules, ranked_search, secret_scan, token_files,
+    vector_links, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +183,68 @@ def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:
     FROM documents""")
 def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
+
+
+@query("op11_filter_audit", """
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+             min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+      FROM documents),
+    k AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    m AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+      FROM d LEFT JOIN k USING (doc_id)),
+    c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+    o AS (SELECT a.f || b.f || x.f || y.f || z.f AS filter_order FROM l a, l b, l x, l y, l z
+          WHERE a.bit + b.bit + x.bit + y.bit + z.bit = 31 AND a.bit | b.bit | x.bit | y.bit | z.bit = 31),
+    s AS (SELECT filter_order, step, f, bit,
+                 (SELECT coalesce(sum(e.bit), 0) FROM l e WHERE strpos(filter_order, e.f) < step) AS before
+          FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o) JOIN l ON f = substr(filter_order, step, 1)),
+    p AS (SELECT DISTINCT before, bit FROM s),
+    g AS (
+      SELECT part, before, bit, sum(CASE WHEN mask & CAST(before + bit AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & CAST(before AS BIGINT) = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & CAST(before AS BIGINT) > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & CAST(before AS BIGINT) = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & CAST(before AS BIGINT) = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, p GROUP BY part, before, bit),
+    r AS (SELECT part, filter_order, step, f, g.* EXCLUDE (part, before, bit) FROM s JOIN g USING (before, bit))
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+    FROM r""")
+def filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audited(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op12_ranked_search", """
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+               FROM documents),
+    i AS (SELECT DISTINCT item_id, coalesce(text, '') AS t FROM benchmark),
+    q AS (SELECT item_id, t, term, count(*) AS c
+          FROM (SELECT item_id, t, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM i)
+          GROUP BY ALL),
+    n AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+    a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM n),
+    f AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY row, term),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, docs),
+    g AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // all_terms))) AS gain
+          FROM f JOIN n USING (row) JOIN w USING (term), a),
+    s AS (SELECT item_id, t, row, doc_id, CAST(sum(c * gain) AS BIGINT) AS score FROM q JOIN g USING (term) GROUP BY item_id, t, row, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id, t ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = ranked_search.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+@query("op13_vector_links")
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    importable(spark)
+    return vector_links.vector_links(spark.read.parquet(f"{folder}/embeddings.parquet"))

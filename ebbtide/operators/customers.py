@@ -10,8 +10,9 @@ from ebbtide.functions.calendar import elapsed_days, midnight, month_text
 from ebbtide.functions.scalars import (
     country_group, cut, label_at, quantile_bin, rank_bin, rfm_code, rfm_segment,
 )
-from ebbtide.operators.ordering import quantile_values, ranked
+from ebbtide.operators.ordering import ranked
 from ebbtide.operators.quality import is_purchase, is_return
+from ebbtide.operators.summaries import quantile_values
 from ebbtide.runtime import materialized, one_row, resolved_row
 
 
@@ -105,20 +106,20 @@ def with_segments(totals: DataFrame, strict: bool = False) -> DataFrame:
     """Spend quartile, frequency segment and the RFM scores, code and segment.
 
     Frequency is scored by rank, ties in customer order; recency and spend by quartile edges.
-    The customer rows are written once, in frequency order, and both the spend edges and the
-    result read them from there.
+    The customer rows are written once; the edges, the ranks and the result read them from there.
     """
-    spread = ranked(totals, ["unique_invoices", "customer_id"], "_frequency_rank")
+    totals = materialized(totals)
     facts = resolved_row(
-        spread.agg(F.count(F.lit(1)).alias("n"), F.max("last_purchase").alias("latest"))
+        totals.agg(F.count(F.lit(1)).alias("n"), F.max("last_purchase").alias("latest"))
     )
-    aged = spread.withColumn("recency_days", elapsed_days(F.col("last_purchase"), facts["latest"]))
+    spread = ranked(totals, ["unique_invoices", "customer_id"], "_frequency_rank")
     quartiles = [0.0, 0.25, 0.5, 0.75, 1.0]
-    spend_edges = quantile_values(spread, "total_spend", quartiles)
+    spend_edges = quantile_values(totals, "total_spend", quartiles)
     # day counts have few distinct values, so the built-in exact percentile is safe
-    recency_edges = aged.agg(F.percentile("recency_days", quartiles)).first()[0] or []
+    recency = elapsed_days(F.col("last_purchase"), facts["latest"])
+    recency_edges = totals.agg(F.percentile(recency, quartiles)).first()[0] or []
     spend_bin = quantile_bin(F.col("total_spend"), spend_edges, strict)
-    scored = aged.withColumns({
+    scored = spread.withColumn("recency_days", recency).withColumns({
         "frequency": F.col("unique_invoices"),
         "monetary": F.col("total_spend"),
         "r_score": (5 - quantile_bin(F.col("recency_days"), recency_edges, strict)).cast("int"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
 from ebbtide.functions.scalars import clip, split_by_type
-from ebbtide.operators.ordering import quantile_values, quantiles, running_sums, unpivoted
+from ebbtide.operators.ordering import running_sums
+from ebbtide.operators.summaries import exact_quantiles, per_column, quantile_values
 from ebbtide.runtime import resolved_row
 
 
@@ -17,48 +19,32 @@ def quantile_table(
     df: DataFrame, columns: Sequence[str], points: Sequence[float] = fv.SUMMARY_POINTS,
     approximate: bool = False,
 ) -> DataFrame:
-    """Quantiles, one row per column and one output column ``p<percent>`` per point.
+    """Quantiles, one row per column with values and one output column ``p<percent>`` per point.
 
     Exact by default; ``approximate`` gives actual values near them from one small sketch each.
     """
-    names = {f"{p * 100:g}": p for p in points}
+    names = [f"p{p * 100:g}" for p in points]
     if approximate:
-        stats = unpivoted(df, columns).groupBy("column").agg(
-            F.percentile_approx("value", list(points)).alias("q")
-        )
-        return stats.select("column", *[F.col("q")[i].alias(f"p{name}") for i, name in enumerate(names)])
-    at = lambda p: F.max(F.when(F.col("point") == p, F.col("quantile")))
-    return quantiles(df, columns, points).groupBy("column").agg(
-        *[at(p).alias(f"p{name}") for name, p in names.items()]
-    )
+        stats = per_column(df, columns, {"q": lambda c: F.percentile_approx(c, list(points))})
+        return stats.filter("q IS NOT NULL").select("column", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
+    found = exact_quantiles(df, columns, points)
+    rows = [(c, *values) for c, values in zip(columns, found) if values[0] is not None]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["column string", *(f"`{name}` double" for name in names)]))
 
 
 def tail_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quantiles far into the tails, minimum, maximum and percent of negative values."""
-    extremes = unpivoted(df, columns).groupBy("column").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    extremes = per_column(df, columns, {
+        "min": F.min, "max": F.max,
         # missing values count as not negative, over all rows
-        F.count_if(F.col("value") < 0).alias("_negative"),
-    )
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        quantile_table(df, columns, fv.TAIL_POINTS)
-        .join(extremes, "column")
-        .withColumn("negative_pct", F.col("_negative") * 100.0 / rows)
-        .drop("_negative")
-    )
+        "negative_pct": lambda c: F.count_if(c < 0) * 100.0 / F.count(F.lit(1)),
+    })
+    return quantile_table(df, columns, fv.TAIL_POINTS).join(extremes, "column")
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum per column."""
-    moments = unpivoted(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    moments = per_column(df, columns, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     return moments.join(quantile_table(df, columns, [0.25, 0.5, 0.75]), "column").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
@@ -151,54 +137,79 @@ def ecdf(df: DataFrame, column: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     placed = running_sums(counted, ["value"], ["n"])
-    rows = placed.agg(F.sum("n").alias("n")).scalar()
+    rows = counted.agg(F.sum("n").alias("n")).scalar()
     return placed.select("value", "n", (F.col("cum_n") / rows).alias("cumulative_share"))
 
 
 def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Box-plot numbers of log1p: quartiles, whiskers at 1.5 times their distance, outliers."""
     logs = df.select(*[F.log1p(c).alias(c) for c in columns])
-    quartiles = quantile_table(logs, columns, [0.25, 0.5, 0.75])
-    reach = 1.5 * (F.col("p75") - F.col("p25"))
-    # one row of quartiles per column
-    fenced = unpivoted(logs, columns).join(F.broadcast(quartiles), "column").withColumn(
-        "_inside",
-        (F.col("value") >= F.col("p25") - reach) & (F.col("value") <= F.col("p75") + reach),
-    )
-    return fenced.groupBy("column").agg(
-        F.max("p25").alias("p25"), F.max("p50").alias("p50"), F.max("p75").alias("p75"),
-        F.min(F.when(F.col("_inside"), F.col("value"))).alias("whisker_low"),
-        F.max(F.when(F.col("_inside"), F.col("value"))).alias("whisker_high"),
-        F.count_if(~F.col("_inside")).alias("outliers"),
-    )
+    found = {c: q for c, q in zip(columns, exact_quantiles(logs, columns, [0.25, 0.5, 0.75])) if q[0] is not None}
+    parts = []
+    for c, (p25, p50, p75) in found.items():
+        reach = 1.5 * (p75 - p25)
+        inside = F.col(c).between(p25 - reach, p75 + reach)
+        parts.append(F.struct(
+            F.lit(c).alias("column"), F.lit(p25).alias("p25"), F.lit(p50).alias("p50"), F.lit(p75).alias("p75"),
+            F.min(F.when(inside, F.col(c))).alias("whisker_low"), F.max(F.when(inside, F.col(c))).alias("whisker_high"),
+            F.count_if(~inside).alias("outliers"),
+        ))
+    if not parts:
+        return quantile_table(logs, columns, [0.25, 0.5, 0.75]).selectExpr(
+            "*", "p25 AS whisker_low", "p25 AS whisker_high", "0L AS outliers")
+    return logs.agg(F.array(*parts).alias("boxes")).select(F.inline("boxes"))
+
+
+#: Cells of the grid per bandwidth and over the whole range at most, and reach of a kernel in bandwidths.
+_CELLS, _MOST_CELLS, _REACH = 64, 1 << 16, 9
+
+
+def density_error(step: float, bandwidth: float) -> float:
+    """What linear binning can add to or take from a density at most: an eighth of the squared step
+    times the largest second derivative of the kernel."""
+    return step * step / 8 / (bandwidth ** 3 * math.sqrt(2 * math.pi))
+
+
+def density_step(lo: float, hi: float, bandwidth: float) -> float:
+    """Width of a cell: a power of two, so that whole numbers and their halves lie on the grid and are binned exactly."""
+    return 2.0 ** math.floor(math.log2(max(bandwidth / _CELLS, (hi - lo) / _MOST_CELLS)))
 
 
 def density(df: DataFrame, column: str, points: int = 200, cap: float | None = None) -> DataFrame:
     """Gaussian kernel density on an even grid over the values, Scott's bandwidth.
 
-    Meant for values with few distinct ones, such as capped days: equal values are counted
-    first, and each distinct value adds to every grid point.
+    Linear binning: a row divides its weight between the two cells beside it, so that the kernels are those of
+    the cells, ``2 ** 17`` at most, whatever the number of rows and distinct values. A cell
+    adds to the points within its reach. ``density_error`` bounds the difference from the exact sum.
     """
     value = F.col(column).cast("double")
     values = df.filter(value.isNotNull()).select(
         (value if cap is None else clip(value, hi=float(cap))).alias("value")
     )
-    facts = resolved_row(values.agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.stddev_samp("value").alias("std"),
-    ))
-    n, lo, hi, std = [facts[c] for c in ("n", "lo", "hi", "std")]
-    bandwidth = std * F.pow(n.cast("double"), F.lit(-0.2))
-    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("weight"))
-    spread = counted.select("value", "weight", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    at = lo + F.col("i") * (hi - lo) / (points - 1)
-    z = (at - F.col("value")) / bandwidth
-    return (
-        spread.groupBy("i")
-        .agg(F.sum(F.col("weight") * F.exp(-z * z / 2)).alias("_kernel"))
-        .select(
-            F.col("i").alias("point"), at.alias("grid_value"),
-            (F.col("_kernel") / (n * bandwidth * F.sqrt(2 * F.pi()))).alias("density"),
-        )
-        .orderBy("point")
-    )
+    facts = values.agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("std"),
+    ).first()
+    n, lo, hi, std = facts
+    if not std:  # no spread, no bandwidth
+        return df.sparkSession.range(0, points if n else 0, numPartitions=1).select(
+            F.col("id").cast("int").alias("point"), F.lit(lo).alias("grid_value"), F.lit(None).cast("double").alias("density"))
+    bandwidth = std * n ** -0.2
+    step, gap = density_step(lo, hi, bandwidth), (hi - lo) / (points - 1)
+    at = F.col("value") / step
+    left = F.floor(at)
+    share = at - left
+    cells = values.groupBy(left.alias("cell")).agg(F.sum(1 - share).alias("here"), F.sum(share).alias("next"))
+    # one row per cell from here on
+    near = lambda centre, side: F.floor((centre + side * _REACH * bandwidth - lo) / gap).cast("int")
+    weights = cells.select(F.inline(F.array(
+        F.struct((F.col("cell") * step).alias("centre"), F.col("here").alias("weight")),
+        F.struct(((F.col("cell") + 1) * step).alias("centre"), F.col("next").alias("weight"))))).filter("weight > 0")
+    reached = weights.select("*", F.explode(F.sequence(
+        F.greatest(near(F.col("centre"), -1), F.lit(0)), F.least(near(F.col("centre"), 1) + 1, F.lit(points - 1)))).alias("point"))
+    z = (lo + F.col("point") * gap - F.col("centre")) / bandwidth
+    kernels = reached.groupBy("point").agg(F.sum(F.col("weight") * F.exp(-z * z / 2)).alias("_kernel"))
+    grid = df.sparkSession.range(0, points, numPartitions=1).select(F.col("id").cast("int").alias("point"))
+    return grid.join(kernels, "point", "left").select(
+        "point", (F.lit(lo) + F.col("point") * gap).alias("grid_value"),
+        (F.coalesce("_kernel", F.lit(0.0)) / (n * bandwidth * math.sqrt(2 * math.pi))).alias("density"),
+    ).orderBy("point")

@@ -130,19 +130,17 @@ def classification_report(scored: DataFrame, threshold: float = 0.5) -> DataFram
     ])))
 
 
-def _descending(scored: DataFrame) -> DataFrame:
-    """Distinct scores from the top, with rows and positives at or above each."""
+def _descending(scored: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Distinct scores from the top, with rows and positives at or above each, and the totals."""
     stepped = _by_score(scored).withColumns({"_down": -F.col("y_prob"), "step": F.lit(1)})
-    return running_sums(stepped, ["_down"], ["pos", "neg", "step"])
+    totals = one_row(stepped.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("step").alias("steps")))
+    return running_sums(stepped, ["_down"], ["pos", "neg", "step"]), {c: totals[c] for c in ("pos", "neg", "steps")}
 
 
 def roc_curve(scored: DataFrame, drop_collinear: bool = True) -> DataFrame:
     """ROC points from (0, 0) on. A point halfway on a straight run can be left out."""
-    steps = _descending(scored)
-    facts = one_row(steps.agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("cum_step").alias("steps")
-    ))
-    total_pos, total_neg, last = [facts[c] for c in ("pos", "neg", "steps")]
+    steps, totals = _descending(scored)
+    total_pos, total_neg, last = totals["pos"], totals["neg"], totals["steps"]
     kept = steps
     if drop_collinear:
         following = steps.select(
@@ -166,8 +164,8 @@ def roc_curve(scored: DataFrame, drop_collinear: bool = True) -> DataFrame:
 
 def pr_curve(scored: DataFrame) -> DataFrame:
     """Precision and recall at every distinct score, and the closing point (1, 0)."""
-    steps = _descending(scored)
-    total_pos = steps.agg(F.sum("pos").alias("pos")).scalar()
+    steps, totals = _descending(scored)
+    total_pos = totals["pos"]
     points = steps.select(
         F.col("y_prob").alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),

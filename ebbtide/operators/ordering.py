@@ -1,53 +1,80 @@
-"""Global order without a one-task window: rank, running sums, look-back and exact quantiles.
+"""Global order without a one-task window, and without writing: rank, running sums, look-back.
 
-``Window.orderBy`` without a partition moves every row to one task. Here rows are range
-partitioned on the order instead, and sorted and numbered inside their partition. That frame is
-written to a table, because range bounds are sampled: computed twice, they could place a row
-differently. Per-partition totals (one row per partition) then give each partition's offset.
+``Window.orderBy`` without a partition moves every row to one task. Here the order is cut into parts at
+keys that are drawn once and become literals, and a row finds its part by a binary search within the
+expression: the same part wherever it is computed. So the totals of the parts are one map-side
+aggregation, and rows are shuffled once, by part, for the window that does the rest. A key that many
+rows share spans several parts where the order goes on after it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ebbtide.runtime import materialized
+#: Keys drawn per part, and parts per shuffle partition: several small parts even out their differences.
+_DRAWN, _PARTS = 16, 2
 
-# monotonically_increasing_id: partition number above bit 33, row position below
-_POSITION_BITS = 33
 
+def _cuts(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
+    """Ascending keys as literals, about as many distinct keys between any two.
+
+    The draw takes one key of each of a fixed number of hash buckets, so it is bounded whatever the
+    number of rows, needs no count first, and a key's copies do not add to its chance.
+    """
+    parts = _PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(*order_by), F.lit(_DRAWN * parts))
+    key = F.struct(F.xxhash64(F.lit(1), *order_by), *order_by)
+    drawn = df.groupBy(bucket.alias("_bucket")).agg(F.min(key).alias("_key")).select(*[F.col("_key")[c].alias(c) for c in order_by])
+    rows = drawn.repartition(1).sortWithinPartitions(*order_by).collect()
+    fields = drawn.schema.fields
+    return [_key([_literal(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows[_DRAWN::_DRAWN]]
+
+
+def _key(columns: Sequence[Column]) -> Column:
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
 
-def _spread(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Range partitioned rows with their partition ``_part`` and place ``_position`` in it."""
-    numbered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn(
-        "_id", F.monotonically_increasing_id()
-    )
-    return materialized(numbered).withColumns({
-        "_part": F.shiftright("_id", _POSITION_BITS),
-        "_position": F.col("_id").bitwiseAND((1 << _POSITION_BITS) - 1),
-    }).drop("_id")
+
+def _literal(value, kind: T.DataType) -> Column:
+    plain = value is None or isinstance(value, (bool, int, float, str, bytes))
+    return F.lit(value if plain else str(value)).cast(kind)
+
+
+def _parted(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Add ``_part``, the number of cuts that are not above the row's key."""
+    cuts = _cuts(df, order_by)
+    key, bounds = _key([F.col(c) for c in order_by]), F.array(*cuts)
+    # zero, but not a constant: without cuts the optimizer would make joins by part products
+    found = df.withColumn("_part", F.lit(0) if cuts else F.pmod(F.xxhash64(*order_by), F.lit(1)).cast("int"))
+    for bit in reversed(range(len(cuts).bit_length())):
+        reached = F.get(bounds, F.col("_part") + (1 << bit) - 1) <= key
+        found = found.withColumn("_part", F.col("_part") + F.when(reached, 1 << bit).otherwise(0))
+    return found
+
+
+def _offsets(parted: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Totals of all parts before each. One row per part, which bounds the broadcast."""
+    per_part = parted.groupBy("_part").agg(*[total.alias(name) for name, total in totals.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(per_part.select("_part", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in totals]))
 
 
 def ranked(df: DataFrame, order_by: Sequence[str], name: str = "global_rank") -> DataFrame:
     """Add the 1-based position of each row in the ascending order of ``order_by``.
 
-    End ``order_by`` with a unique column to make ties repeatable; that also lets the range
-    partitioning split a value shared by many rows.
+    End ``order_by`` with a unique column to make ties repeatable; that also lets a value shared by
+    many rows span several parts.
     """
-    tagged = _spread(df, order_by)
-    per_part = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-    )
-    # one row per partition, so the size of the broadcast is bounded
+    parted = _parted(df, order_by)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
     return (
-        tagged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_position") + 1)
-        .drop("_part", "_position", "_offset")
+        parted.withColumn(name, place)
+        .join(_offsets(parted, {"_rows": F.count(F.lit(1))}), "_part")
+        .withColumn(name, F.col("_rows") + F.col(name))
+        .drop("_part", "_rows")
     )
 
 
@@ -56,21 +83,14 @@ def running_sums(df: DataFrame, order_by: Sequence[str], sums: Sequence[str]) ->
 
     ``order_by`` must be unique; collapse equal values with a ``groupBy`` first.
     """
-    tagged = _spread(df, order_by)
-    per_part = tagged.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
-        "_part",
-        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_offset_{c}") for c in sums],
-    )
-    within = (
-        Window.partitionBy("_part").orderBy("_position")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    parted = _parted(df, order_by)
+    offsets = _offsets(parted, {f"_offset_{c}": F.sum(c) for c in sums})
+    within = Window.partitionBy("_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        tagged.join(F.broadcast(offsets), "_part")
-        .withColumns({f"cum_{c}": F.col(f"_offset_{c}") + F.sum(c).over(within) for c in sums})
-        .drop("_part", "_position", *[f"_offset_{c}" for c in sums])
+        parted.withColumns({f"cum_{c}": F.sum(c).over(within) for c in sums})
+        .join(offsets, "_part")
+        .withColumns({f"cum_{c}": F.col(f"_offset_{c}") + F.col(f"cum_{c}") for c in sums})
+        .drop("_part", *[f"_offset_{c}" for c in sums])
     )
 
 
@@ -80,99 +100,22 @@ def with_previous(
     """Add the ``value`` of the row before, in ``order_by`` within equal ``keys``.
 
     A window per key would put all rows of a key into one task. Here a key with many rows spans
-    several range partitions; the first row of a partition looks back at the last row of the
-    partition before it.
+    several parts; the first row of a part looks back at the last row of the part before it.
     """
-    tagged = _spread(df, [*keys, *order_by])
+    order = [*keys, *order_by]
+    parted = _parted(df, order)
     row = F.struct(*keys, value)
-    last_rows = tagged.groupBy("_part").agg(F.max_by(row, "_position").alias("_last"))
-    carried = last_rows.select(
-        "_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried")
-    )
-    within = Window.partitionBy("_part").orderBy("_position")
-    before = F.coalesce(F.lag(row).over(within), F.col("_carried"))
-    same_key = F.lit(True)
+    last_rows = parted.groupBy("_part").agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    carried = last_rows.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))
+    part = Window.partitionBy("_part").orderBy(*order)
+    looked_back = parted.withColumns({f"_before_{c}": F.lag(c).over(part) for c in (*keys, value)} | {"_place": F.row_number().over(part)})
+    before = {c: F.when(F.col("_place") == 1, F.col("_carried")[c]).otherwise(F.col(f"_before_{c}")) for c in (*keys, value)}
+    # no row is before the very first one
+    same_key = (F.col("_place") > 1) | F.col("_carried").isNotNull()
     for key in keys:
-        same_key = same_key & F.col("_before")[key].eqNullSafe(F.col(key))
+        same_key = same_key & before[key].eqNullSafe(F.col(key))
     return (
-        tagged.join(F.broadcast(carried), "_part")
-        .withColumn("_before", before)
-        .withColumn(name, F.when(same_key, F.col("_before")[value]))
-        .drop("_part", "_position", "_carried", "_before")
-    )
-
-
-def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Long form ``(column, value)`` of numeric columns, NULL left out."""
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
-    ])
-    return (
-        df.select(*keep, F.inline(pairs)).filter(F.col("value").isNotNull())
-    )
-
-
-def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles as rows ``(column, point, quantile)``.
-
-    ``F.percentile`` keeps every distinct value of a column in one task, which suits day counts
-    but not amounts. Here equal values are counted first and the counts are summed along a
-    distributed order, so no task holds a column. All columns share one pass.
-    """
-    counted = unpivoted(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counted, ["column", "value"], ["n"])
-    # one row per column and point
-    targets = (
-        placed.groupBy("column")
-        .agg(F.sum("n").alias("_n"), F.min(F.col("cum_n") - F.col("n")).alias("_base"))
-        .select("column", "_n", "_base", F.explode(F.array(*map(F.lit, points))).alias("point"))
-        .withColumn("_at", (F.col("_n") - 1) * F.col("point"))
-        .withColumns({
-            "_lo": F.col("_base") + F.floor("_at"),
-            "_hi": F.col("_base") + F.ceil("_at"),
-            "_part_way": F.col("_at") - F.floor("_at"),
-        })
-    )
-    starts = F.col("cum_n") - F.col("n")
-    holds = lambda place: (starts <= F.col(place)) & (F.col(place) < F.col("cum_n"))
-    return (
-        placed.join(F.broadcast(targets), "column")
-        .filter(holds("_lo") | holds("_hi"))
-        .groupBy("column", "point")
-        .agg(
-            F.max(F.when(holds("_lo"), F.col("value"))).alias("_a"),
-            F.max(F.when(holds("_hi"), F.col("value"))).alias("_b"),
-            F.max("_part_way").alias("_t"),
-        )
-        .select(
-            "column", "point",
-            (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).alias("quantile"),
-        )
-    )
-
-
-def quantile_values(df: DataFrame, column: str, points: Sequence[float]) -> list[float | None]:
-    """The quantiles of one column as numbers, one per point; None where there are no rows.
-
-    Ranks the values and fetches only those at the wanted places, two per point.
-    """
-    values = df.select(F.col(column).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    # values shared by many rows are counted, so that the range partitions stay even
-    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sums(counted, ["value"], ["n"])
-    rows = placed.agg(F.sum("n")).first()[0]
-    if not rows:
-        return [None] * len(points)
-    exact = [(rows - 1) * point for point in points]
-    places = sorted({bound(at) for at in exact for bound in (math.floor, math.ceil)})
-    first, behind = F.col("cum_n") - F.col("n"), F.col("cum_n")
-    wanted = F.array(*[F.lit(place) for place in places])
-    hits = (
-        placed.withColumn("place", F.explode(F.filter(wanted, lambda p: (p >= first) & (p < behind))))
-        .select("place", "value").collect()
+        looked_back.join(F.broadcast(carried), "_part")
+        .withColumn(name, F.when(same_key, before[value]))
+        .drop("_part", "_carried", "_place", *[f"_before_{c}" for c in (*keys, value)])
     )
-    value = {row["place"]: row["value"] for row in hits}
-    return [
-        value[math.floor(at)] + (value[math.ceil(at)] - value[math.floor(at)]) * (at - math.floor(at))
-        for at in exact
-    ]

@@ -8,35 +8,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.ordering import unpivoted
+from ebbtide.operators.summaries import per_column
 
 
-def _pearson(x: str, y: str) -> Column:
-    """NULL where a side is constant; the built-in ``corr`` would divide by zero."""
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.try_divide(F.covar_pop(x, y), spread)
+#: Pairs of columns whose sums are taken in one aggregation.
+PAIRS = 120
+
+
+class _Sums:
+    """Sums over all rows, each asked for once however many pairs need it."""
+
+    def __init__(self):
+        self.asked: dict[tuple, Column] = {}
+
+    def ask(self, key: tuple, value: Column) -> tuple:
+        self.asked.setdefault(key, value)
+        return key
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair, over the rows that have both; constant columns drop out.
 
-    Each row yields its pairs and partial aggregation reduces them at once to one group per
-    pair, so the shuffle carries at most (tasks x pairs) rows.
+    Mergeable co-moments: count, x, y, xx, yy and xy of each pair, about the columns' means so that
+    they stay small. No row is multiplied. A sum that a column's missing values do not touch is shared by all
+    its pairs, and ``PAIRS`` pairs go into one aggregation, of one row.
     """
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    names = F.array(*[F.lit(c) for c in columns])
-    values = F.array(*[F.col(c).cast("double") for c in columns]).alias("v")
-    return (
-        df.select(values)
-        .select("v", F.inline(grid))
-        .select("i", "j", F.col("v")[F.col("i")].alias("x"), F.col("v")[F.col("j")].alias("y"))
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("i", "j")
-        .agg(_pearson("x", "y").alias("correlation"))
-        .filter(F.col("correlation").isNotNull())
-        .select(names[F.col("i")].alias("var1"), names[F.col("j")].alias("var2"), "correlation")
-    )
+    value = {c: F.col(c).cast("double") for c in columns}
+    facts = df.agg(F.count(F.lit(1)), *[f for c in columns for f in (F.count(value[c]), F.avg(value[c]))]).first()
+    rows, full = facts[0], {c: facts[2 * i + 1] == facts[0] for i, c in enumerate(columns)}
+    about = {c: value[c] - F.lit(facts[2 * i + 2]) for i, c in enumerate(columns)}
+    usable = [c for i, c in enumerate(columns) if facts[2 * i + 1]]
+    pairs = [(a, b) for i, a in enumerate(usable) for b in usable[i + 1:]]
+    found = []
+    for at in range(0, len(pairs), PAIRS):
+        sums, needs = _Sums(), []
+        for a, b in pairs[at:at + PAIRS]:
+            x, y = about[a], about[b]
+            def one(c: str, other: str, power: int) -> tuple:
+                term = about[c] if power == 1 else about[c] * about[c]
+                if full[other]:
+                    return sums.ask((c, power), F.sum(term))
+                return sums.ask((c, other, power), F.sum(F.when(value[other].isNotNull(), term)))
+            count = sums.ask(("n", a, b), F.count(x * y)) if not (full[a] and full[b]) else None
+            needs.append((a, b, count, one(a, b, 1), one(b, a, 1), one(a, b, 2), one(b, a, 2), sums.ask((a, b), F.sum(x * y))))
+        result = dict(zip(sums.asked, df.agg(*[s.alias(str(i)) for i, s in enumerate(sums.asked.values())]).first()))
+        found += [(a, b, _pearson(rows if count is None else result[count], *[result[k] for k in keys])) for a, b, count, *keys in needs]
+    return df.sparkSession.createDataFrame(
+        [pair for pair in found if pair[2] is not None], "var1 string, var2 string, correlation double")
+
+
+def _pearson(n: int, *sums: float | None) -> float | None:
+    """From the sums of a pair; None without rows or where a side is constant."""
+    if not n or None in sums:
+        return None
+    x, y, xx, yy, xy = sums
+    left, right = xx - x * x / n, yy - y * y / n
+    # what rounding leaves of a constant
+    if left <= 1e-12 * xx or right <= 1e-12 * yy or left * right <= 0:
+        return None
+    return max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(left) / math.sqrt(right)))
 
 
 def corr_pairs(
@@ -53,21 +83,26 @@ def corr_pairs(
 
 def corr_with_label(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Correlation of each column with the label; NULL for a constant column."""
-    long = unpivoted(df, columns, keep=[F.col(label).cast("double").alias("_label")])
-    return long.groupBy(F.col("column").alias("feature")).agg(
-        _pearson("value", "_label").alias("correlation")
-    )
+    truth = F.col(label).cast("double")
+    both = lambda c: F.when(truth.isNotNull(), c)
+    labels = lambda c: F.when(c.isNotNull(), truth)
+    found = per_column(df, columns, {
+        "n": F.count,
+        # NULL where a side is constant; the built-in ``corr`` would divide by zero
+        "correlation": lambda c: F.try_divide(F.covar_pop(c, truth), F.stddev_pop(both(c)) * F.stddev_pop(labels(c))),
+    })
+    return found.filter("n > 0").select(F.col("column").alias("feature"), "correlation")
 
 
 def skew_rank(df: DataFrame, columns: Sequence[str], top: int = 8) -> DataFrame:
     """The most right-skewed columns, by the sample-size adjusted coefficient."""
-    n = F.col("_n")
-    adjusted = F.col("_skew") * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+    n = F.col("n")
+    adjusted = F.col("skewness") * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
     return (
-        unpivoted(df, columns).groupBy("column")
-        .agg(F.skewness("value").alias("_skew"), F.count(F.lit(1)).alias("_n"), F.stddev_pop("value").alias("_sd"))
+        per_column(df, columns, {"skewness": F.skewness, "n": F.count, "sd": F.stddev_pop})
+        .filter("n > 0")
         # a constant column has skewness 0
-        .select("column", F.when(F.col("_sd") == 0, 0.0).otherwise(adjusted).alias("skew"))
+        .select("column", F.when(F.col("sd") == 0, 0.0).otherwise(adjusted).alias("skew"))
         .orderBy(F.desc("skew"), "column")
         .limit(top)
     )
@@ -78,15 +113,10 @@ def welch_statistics(df: DataFrame, group: str, columns: Sequence[str]) -> DataF
 
     ``group`` is boolean; the rows where it holds are the first sample.
     """
-    def side(flag: bool) -> list[Column]:
-        inside = F.when(F.col(group) == flag, F.col("value"))
-        tag = "a" if flag else "b"
-        return [
-            F.avg(inside).alias(f"mean_{tag}"), F.var_samp(inside).alias(f"var_{tag}"),
-            F.count(inside).alias(f"n_{tag}"),
-        ]
-
-    stats = unpivoted(df, columns, keep=[group]).groupBy("column").agg(*side(True), *side(False))
+    stats = per_column(df, columns, {
+        f"{name}_{tag}": (lambda c, of=of, flag=flag: of(F.when(F.col(group) == flag, c)))
+        for tag, flag in (("a", True), ("b", False)) for name, of in (("mean", F.avg), ("var", F.var_samp), ("n", F.count))
+    }).filter("n_a + n_b > 0")
     ea, eb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
     return stats.select(
         F.col("column").alias("metric"), "mean_a", "mean_b",
@@ -98,32 +128,43 @@ def welch_statistics(df: DataFrame, group: str, columns: Sequence[str]) -> DataF
     )
 
 
+def _continued_fraction(a: float, b: float, x: float) -> float:
+    """The fraction of the incomplete beta function, by Lentz's method; it converges for x below the mean."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    total = d
+    for m in range(1, 10_000):
+        for term in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d, c = 1.0 + term * d, 1.0 + term / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            total *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return total
+
+
+def regularised_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function I_x(a, b)."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):  # beyond the mean the other tail converges
+        return 1.0 - regularised_beta(b, a, 1 - x)
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) / a * _continued_fraction(a, b, x)
+
+
 def t_two_sided(t: float, freedom: float) -> float:
-    """Two-sided p-value of Student's t, by integrating its density over the tail.
+    """Two-sided p-value of Student's t: I_x(f / 2, 1 / 2) at x = f / (f + t squared)."""
+    return regularised_beta(freedom / 2, 0.5, freedom / (freedom + t * t))
 
-    The tail ``|x| >= t`` becomes ``0..atan(sqrt(f) / t)`` under ``x = sqrt(f) / tan(u)``, where
-    the density is proportional to ``sin(u) ** (f - 1)``; Simpson's rule there.
-    """
-    if t == 0:
-        return 1.0
-    end = math.atan(math.sqrt(freedom) / abs(t))
-    log_scale = math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2) - 0.5 * math.log(math.pi)
-
-    def height(u: float) -> float:
-        return math.exp(log_scale + (freedom - 1) * math.log(math.sin(u))) if u > 0 else (
-            math.exp(log_scale) if freedom == 1 else 0.0
-        )
-
-    # the density falls off within a few 1/sqrt(f) of the upper end
-    start = max(0.0, end - 60 / math.sqrt(max(freedom, 1.0)))
-    steps = 4000
-    width = (end - start) / steps
-    inner = sum((4 if i % 2 else 2) * height(start + i * width) for i in range(1, steps))
-    return min(1.0, 2 * (height(start) + inner + height(end)) * width / 3)
-
-
-def welch_ttest(df: DataFrame, group: str, columns: Sequence[str], level: float = 0.05) -> DataFrame:
-    """The test with p-value and verdict. One row per metric comes to the driver, no more."""
+
+def welch_ttest(df: DataFrame, group: str, columns: Sequence[str], level: float = 0.05, places: int = 4) -> DataFrame:
+    """The test with p-value, rounded, and verdict. One row per metric comes to the driver, no more."""
     stats = welch_statistics(df, group, columns)
     rows = []
     for s in stats.collect():
@@ -131,7 +172,7 @@ def welch_ttest(df: DataFrame, group: str, columns: Sequence[str], level: float
         p = t_two_sided(s.t_statistic, s.degrees_of_freedom) if usable else None
         rows.append((
             s.metric, s.mean_a, s.mean_b, s.t_statistic, s.degrees_of_freedom,
-            None if p is None else round(p, 4),
+            None if p is None else round(p, places),
             "Yes" if p is not None and p < level else "No",
         ))
     return df.sparkSession.createDataFrame(

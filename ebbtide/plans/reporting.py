@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.concentration import gini
-from ebbtide.operators.ordering import quantile_values
+from ebbtide.operators.summaries import quantile_values
 from ebbtide.operators.quality import cleaning_counts
 from ebbtide.runtime import one_row
 

@@ -442,6 +442,16 @@ def _(spark, folder):
     return stable(statistics.welch_statistics(flagged(spark, folder), "ever_returned", ["total_spend", "total_orders"]))
 
 
-@register("welch_ttest")
-def _(spark, folder):
-    return stable(statistics.welch_ttest(flagged(spark, folder), "ever_returned", ["total_spend", "total_orders"]))
+# the two-sided p-value as an integral of the density's tail: with x = sqrt(v) / tan(u) it is proportional to sin(u) ** (v - 1)
+@register("welch_ttest", f"""
+  WITH w AS ({_union(map(_welch, ['total_spend', 'total_orders']))}),
+  e AS (SELECT *, atan(sqrt(v) / abs(t)) AS stop, greatest(0, atan(sqrt(v) / abs(t)) - 60 / sqrt(greatest(v, 1))) AS start FROM w),
+  p AS (SELECT metric, (any_value(stop) - any_value(start)) / 60000 * 2 * exp(lgamma((any_value(v) + 1) / 2) - lgamma(any_value(v) / 2)) / sqrt(pi())
+          * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+                * CASE WHEN start + i * (stop - start) / 20000 > 0 THEN exp((v - 1) * ln(sin(start + i * (stop - start) / 20000))) ELSE 0 END) AS p
+        FROM e, range(20001) g(i) GROUP BY metric)
+  SELECT metric, {r('ma')} AS mean_a, {r('mb')} AS mean_b, {r('t')} AS t_statistic, {r('v')} AS degrees_of_freedom,
+    {r('p', 6)} AS p_value, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM w JOIN p USING (metric)""")
+def _(spark, folder):
+    found = statistics.welch_ttest(flagged(spark, folder), "ever_returned", ["total_spend", "total_orders"], places=12)
+    return stable(found, p_value=6)

@@ -87,6 +87,29 @@ def test_density_equals_a_sum_of_kernels(frame, data):
     assert [r["density"] for r in got] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 37.7])
+def test_density_off_the_grid_is_within_its_bound(spark, scale):
+    values = np.random.default_rng(4).gamma(2.0, scale, 3000)
+    got = distributions.density(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", 64).collect()
+    h = values.std(ddof=1) * len(values) ** -0.2
+    at = np.linspace(values.min(), values.max(), 64)
+    want = np.exp(-((at[:, None] - values) / h) ** 2 / 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+    bound = distributions.density_error(distributions.density_step(values.min(), values.max(), h), h)
+    off = np.abs(np.array([r["density"] for r in got]) - want).max()
+    assert off <= bound + 1e-12 / scale and bound < 1e-4 * want.max()
+
+
+def test_density_of_little(spark):
+    of = lambda rows: distributions.density(spark.createDataFrame(rows, "v double"), "v", 5).collect()
+    assert of([]) == [] and [r["density"] for r in of([(2.0,), (2.0,)])] == [None] * 5
+
+
+@pytest.mark.parametrize("a, b, x, want", [(0.5, 0.5, 0.25, 1 / 3), (2.0, 3.0, 0.4, 0.5248), (1.0, 1.0, 0.7, 0.7), (5.0, 1.0, 0.5, 0.03125)])
+def test_regularised_beta_has_its_known_values(a, b, x, want):
+    assert statistics.regularised_beta(a, b, x) == pytest.approx(want, rel=1e-12)
+    assert statistics.regularised_beta(b, a, 1 - x) == pytest.approx(1 - want, rel=1e-12)
+
+
 def trapezoid_gini(values):
     x = np.sort(values)
     share, place = np.cumsum(x) / x.sum(), np.arange(1, len(x) + 1) / len(x)

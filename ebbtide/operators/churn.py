@@ -12,6 +12,7 @@ from ebbtide.functions.calendar import elapsed_days, midnight, minus_days
 from ebbtide.functions.scalars import as_flag, cut
 from ebbtide.operators.features import PRICE, WINDOW_FEATURE_COLUMNS, window_features
 from ebbtide.operators.gaps import purchase_gaps
+from ebbtide.operators.grains import holds
 from ebbtide.operators.quality import is_purchase
 from ebbtide.runtime import resolved_row
 
@@ -86,7 +87,7 @@ def modeling_dataset(clean: DataFrame, windows: Windows) -> DataFrame:
     """The 34-column labelled table. Features and label come out of the same aggregation."""
     ts = F.col("invoice_date")
     later = is_purchase("not_return", PRICE) & (ts > windows.snapshot) & (ts <= windows.label_end)
-    future_orders = F.count_distinct(F.when(later, F.col("invoice_no")))
+    future_orders = holds(F.when(later, F.col("invoice_no")).isNotNull())
     table = window_features(
         clean, windows.obs_start, windows.snapshot, {"future_orders": future_orders}
     )

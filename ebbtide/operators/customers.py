@@ -10,6 +10,7 @@ from ebbtide.functions.calendar import elapsed_days, midnight, month_text
 from ebbtide.functions.scalars import (
     country_group, cut, label_at, quantile_bin, rank_bin, rfm_code, rfm_segment,
 )
+from ebbtide.operators.grains import Distinct, Total, by_grains, holds
 from ebbtide.operators.ordering import ranked
 from ebbtide.operators.quality import is_purchase, is_return
 from ebbtide.operators.summaries import quantile_values
@@ -20,32 +21,43 @@ def _when(condition: Column | None, value: Column) -> Column:
     return value if condition is None else F.when(condition, value)
 
 
-def purchase_totals(where: Column | None = None) -> list[Column]:
-    """Purchase aggregates of one customer, over the rows that meet ``where``.
-
-    Several distinct counts make Spark expand the rows and aggregate twice, first per
-    (customer, value): no task ever holds the values of one customer.
-    """
+def purchase_totals(where: Column | None = None) -> tuple[dict[str, Total], dict[str, Distinct]]:
+    """Purchase aggregates of one customer over the rows that meet ``where``: totals of invoices, and distinct counts."""
     of = lambda name: _when(where, F.col(name))
-    return [
-        F.min(of("invoice_date")).alias("first_purchase"),
-        F.max(of("invoice_date")).alias("last_purchase"),
-        F.count(of("invoice_no")).alias("purchase_lines"),
-        F.count_distinct(of("invoice_no")).alias("unique_invoices"),
-        F.sum(of("quantity")).alias("total_quantity"),
-        F.sum(of("line_amount")).alias("total_spend"),
-        F.avg(of("price")).alias("avg_unit_price"),
-        F.count_distinct(of("country")).alias("countries"),
-        F.count_distinct(of("stock_code")).alias("distinct_products"),
-        F.count_distinct(_when(where, midnight(F.col("invoice_date")))).alias("days_active"),
-    ]
-
-
-def return_totals(where: Column | None = None) -> list[Column]:
-    return [
-        F.count(_when(where, F.col("invoice_no"))).alias("return_count"),
-        F.coalesce(F.sum(_when(where, F.col("line_amount"))), F.lit(0.0)).alias("return_value"),
-    ]
+    totals = {
+        "first_purchase": Total(F.min(of("invoice_date")), F.min),
+        "last_purchase": Total(F.max(of("invoice_date")), F.max),
+        "purchase_lines": Total(F.count(of("invoice_no"))),
+        "unique_invoices": holds(of("invoice_no").isNotNull()),
+        "total_quantity": Total(F.sum(of("quantity"))),
+        "total_spend": Total(F.sum(of("line_amount"))),
+        "_prices": Total(F.sum(of("price"))),
+        "_priced": Total(F.count(of("price"))),
+    }
+    return totals, {
+        "distinct_products": Distinct(of("stock_code")),
+        "days_active": Distinct(_when(where, midnight(F.col("invoice_date")))),
+    }
+
+
+def return_totals(where: Column | None = None) -> dict[str, Total]:
+    return {
+        "return_count": Total(F.count(_when(where, F.col("invoice_no")))),
+        "return_value": Total(F.sum(_when(where, F.col("line_amount"))), lambda c: F.coalesce(F.sum(c), F.lit(0.0))),
+    }
+
+
+PURCHASE_COLUMNS = [
+    "customer_id", "first_purchase", "last_purchase", "purchase_lines", "unique_invoices", "total_quantity",
+    "total_spend", "avg_unit_price", "countries", "distinct_products", "days_active", "primary_country",
+]
+
+
+def countries(df: DataFrame, key: str) -> DataFrame:
+    """Distinct countries and the most common one per key, from one count of (key, country)."""
+    counted = df.filter(F.col("country").isNotNull()).groupBy(key, "country").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(key).agg(
+        F.count(F.lit(1)).alias("countries"), F.min(F.struct(-F.col("_n"), F.col("country"))).getField("country").alias("primary_country"))
 
 
 def most_common(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -59,34 +71,34 @@ def most_common(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     )
 
 
+def _with_countries(totals: DataFrame, bought: DataFrame) -> DataFrame:
+    return totals.join(countries(bought, "customer_id"), "customer_id", "left").withColumns({
+        "countries": F.coalesce("countries", F.lit(0)), "avg_unit_price": F.try_divide("_prices", "_priced")})
+
+
 def customer_purchases(pur: DataFrame) -> DataFrame:
     """Purchase aggregates and main country per customer."""
-    return pur.groupBy("customer_id").agg(*purchase_totals()).join(
-        most_common(pur, "customer_id", "country", "primary_country"), "customer_id", "left"
-    )
+    totals, distinct = purchase_totals()
+    return _with_countries(by_grains(pur, "customer_id", "invoice_no", totals, distinct), pur).select(*PURCHASE_COLUMNS)
 
 
 def customer_returns(ret: DataFrame) -> DataFrame:
-    return ret.groupBy("customer_id").agg(*return_totals())
+    return ret.groupBy("customer_id").agg(*[total.of.alias(name) for name, total in return_totals().items()]).withColumn(
+        "return_value", F.coalesce("return_value", F.lit(0.0)))
 
 
 def customer_totals(clean: DataFrame) -> DataFrame:
-    """Purchase and return aggregates of every purchaser in one pass over the clean lines.
+    """Purchase and return aggregates of every purchaser.
 
     A cancelled invoice with a positive quantity counts on both sides. Customers that only
     returned have no row.
     """
     bought, sent_back = is_purchase(), is_return()
-    totals = (
-        clean.filter(bought | sent_back)
-        .groupBy("customer_id")
-        .agg(*purchase_totals(bought), *return_totals(sent_back))
-        .filter(F.col("purchase_lines") > 0)
-    )
-    main_country = most_common(
-        clean.filter(bought), "customer_id", "country", "primary_country"
-    )
-    return totals.join(main_country, "customer_id", "left")
+    totals, distinct = purchase_totals(bought)
+    found = by_grains(
+        clean.filter(bought | sent_back), "customer_id", "invoice_no", {**totals, **return_totals(sent_back)}, distinct,
+    ).filter(F.col("purchase_lines") > 0)
+    return _with_countries(found, clean.filter(bought)).select(*PURCHASE_COLUMNS, "return_count", "return_value")
 
 
 def with_ratios(totals: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ebbtide.functions.calendar import calendar_days, elapsed_days, midnight, month_text, plus_days
 from ebbtide.functions.scalars import as_flag, safe_ratio
 from ebbtide.operators.gaps import fill_gaps, gap_features, purchase_gaps
+from ebbtide.operators.grains import Distinct, Total, by_grains, holds
 from ebbtide.operators.quality import is_purchase, is_return
 
 PRICE = "unit_price"
@@ -17,42 +18,52 @@ def _at(where: Column, value: Column) -> Column:
     return F.when(where, value)
 
 
-def rfm_totals(bought: Column) -> list[Column]:
+def rfm_totals(bought: Column) -> dict[str, Total]:
     """Recency, frequency and spend aggregates over the purchase rows."""
-    return [
-        F.min(_at(bought, F.col("invoice_date"))).alias("first_purchase"),
-        F.max(_at(bought, F.col("invoice_date"))).alias("last_purchase"),
-        F.count_distinct(_at(bought, F.col("invoice_no"))).alias("frequency_orders"),
-        F.count(_at(bought, F.col("invoice_no"))).alias("purchase_lines"),
-        F.sum(_at(bought, F.col("line_amount"))).alias("monetary_total_spend"),
-        F.sum(_at(bought, F.col("quantity"))).alias("total_quantity"),
-    ]
-
-
-def mix_totals(bought: Column) -> list[Column]:
+    of = lambda name: _at(bought, F.col(name))
+    return {
+        "first_purchase": Total(F.min(of("invoice_date")), F.min),
+        "last_purchase": Total(F.max(of("invoice_date")), F.max),
+        "frequency_orders": holds(of("invoice_no").isNotNull()),
+        "purchase_lines": Total(F.count(of("invoice_no"))),
+        "monetary_total_spend": Total(F.sum(of("line_amount"))),
+        "total_quantity": Total(F.sum(of("quantity"))),
+    }
+
+
+def mix_totals(bought: Column) -> tuple[dict[str, Total], dict[str, Distinct]]:
     """Breadth of products, countries, prices and dates over the purchase rows."""
-    day = midnight(F.col("invoice_date"))
-    return [
-        F.count_distinct(_at(bought, F.col("stock_code"))).alias("unique_products"),
-        F.count_distinct(_at(bought, F.col("country"))).alias("unique_countries"),
-        F.avg(_at(bought, F.col(PRICE))).alias("avg_unit_price"),
-        F.max(_at(bought, F.col(PRICE))).alias("max_unit_price"),
-        F.count_distinct(_at(bought, day)).alias("distinct_active_days"),
-        F.count_distinct(_at(bought, month_text(day))).alias("active_months"),
-    ]
-
-
-def return_totals(sent_back: Column, negatives_only: bool) -> list[Column]:
+    of = lambda name: _at(bought, F.col(name))
+    prices = {
+        "_prices": Total(F.sum(of(PRICE))), "_priced": Total(F.count(of(PRICE))), "max_unit_price": Total(F.max(of(PRICE)), F.max),
+    }
+    return prices, {
+        "unique_products": Distinct(of("stock_code")),
+        "unique_countries": Distinct(of("country")),
+        "distinct_active_days": Distinct(_at(bought, midnight(F.col("invoice_date"))), ("active_months", month_text)),
+    }
+
+
+def return_totals(sent_back: Column, negatives_only: bool) -> dict[str, Total]:
     """Return aggregates. ``negatives_only`` adds up negative quantities and amounts;
     otherwise every return row counts by its absolute value."""
     size = lambda c: F.when(F.col(c) < 0, -F.col(c)) if negatives_only else F.abs(c)
-    total = lambda c: F.coalesce(F.sum(_at(sent_back, size(c))).cast("double"), F.lit(0.0))
-    return [
-        F.count(_at(sent_back, F.col("invoice_no"))).alias("return_lines"),
-        F.count_distinct(_at(sent_back, F.col("invoice_no"))).alias("return_invoices"),
-        total("quantity").alias("returned_quantity"),
-        total("line_amount").alias("return_value"),
-    ]
+    total = lambda c: Total(F.sum(_at(sent_back, size(c))), lambda name: F.coalesce(F.sum(name).cast("double"), F.lit(0.0)))
+    return {
+        "return_lines": Total(F.count(_at(sent_back, F.col("invoice_no")))),
+        "return_invoices": holds(_at(sent_back, F.col("invoice_no")).isNotNull()),
+        "returned_quantity": total("quantity"),
+        "return_value": total("line_amount"),
+    }
+
+
+def _per_customer(lines: DataFrame, totals: dict[str, Total], distinct: dict[str, Distinct] | None = None) -> DataFrame:
+    """One row per customer with an id, from the invoice grain and the pairs to count."""
+    named = lines.filter(F.col("customer_id").isNotNull())
+    found = by_grains(named, "customer_id", "invoice_no", totals, distinct or {})
+    if "_prices" in totals:
+        found = found.withColumn("avg_unit_price", F.try_divide("_prices", "_priced")).drop("_prices", "_priced")
+    return found
 
 
 def with_rfm_ratios(totals: DataFrame, snapshot: Column) -> DataFrame:
@@ -88,17 +99,16 @@ def descriptive_snapshot(observation_date: Column) -> Column:
 
 
 def rfm_features(pur: DataFrame, snapshot: Column) -> DataFrame:
-    return with_rfm_ratios(pur.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(*rfm_totals(F.lit(True))), snapshot)
+    return with_rfm_ratios(_per_customer(pur, rfm_totals(F.lit(True))), snapshot)
 
 
 def mix_features(pur: DataFrame) -> DataFrame:
-    return pur.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(
-        *mix_totals(F.lit(True)), F.count_distinct("description").alias("unique_descriptions")
-    )
+    prices, distinct = mix_totals(F.lit(True))
+    return _per_customer(pur, prices, {**distinct, "unique_descriptions": Distinct(F.col("description"))})
 
 
 def return_features(ret: DataFrame, negatives_only: bool = True) -> DataFrame:
-    return ret.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(*return_totals(F.lit(True), negatives_only))
+    return _per_customer(ret, return_totals(F.lit(True), negatives_only))
 
 
 FEATURE_COLUMNS = [
@@ -116,20 +126,15 @@ FEATURE_COLUMNS = [
 def customer_features(clean: DataFrame, snapshot: Column) -> DataFrame:
     """The 33-column descriptive table over the full history.
 
-    One aggregation covers purchases, product mix and returns; a second, narrow one the gaps.
-    Both are keyed on the customer, so their join needs no further shuffle.
+    Invoices carry purchases and returns, tables of pairs the product mix; the gaps are a narrow aggregation.
+    All are keyed on the customer, so their join needs no further shuffle.
     """
     bought, sent_back = is_purchase("positive", PRICE), is_return("any_price", PRICE)
-    totals = (
-        clean.filter((bought | sent_back) & F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(
-            *rfm_totals(bought), *mix_totals(bought),
-            F.count_distinct(_at(bought, F.col("description"))).alias("unique_descriptions"),
-            *return_totals(sent_back, negatives_only=True),
-        )
-        .filter(F.col("purchase_lines") > 0)
-    )
+    prices, distinct = mix_totals(bought)
+    totals = _per_customer(
+        clean.filter(bought | sent_back), {**rfm_totals(bought), **prices, **return_totals(sent_back, negatives_only=True)},
+        {**distinct, "unique_descriptions": Distinct(_at(bought, F.col("description")))},
+    ).filter(F.col("purchase_lines") > 0)
     gaps = gap_features(purchase_gaps(clean.filter(bought), "timestamp"))
     wide = with_return_ratios(with_rfm_ratios(totals, snapshot), "null_to_zero")
     return (
@@ -152,29 +157,22 @@ WINDOW_FEATURE_COLUMNS = [
 
 
 def window_features(
-    clean: DataFrame, obs_start: Column, snapshot: Column, future: dict[str, Column] | None = None
+    clean: DataFrame, obs_start: Column, snapshot: Column, future: dict[str, Total] | None = None
 ) -> DataFrame:
     """Features from what happened between ``obs_start`` and ``snapshot``, both included.
 
-    ``future`` may add aggregates over other rows of the same customers, so that a label can be
+    ``future`` may add totals over other rows of the same customers' invoices, so that a label can be
     computed in the same pass.
     """
     ts = F.col("invoice_date")
     seen = (ts >= obs_start) & (ts <= snapshot)
     bought = is_purchase("not_return", PRICE) & seen
     sent_back = is_return("any_price", PRICE) & seen
-    lines = clean.filter(F.col("customer_id").isNotNull())
-    if future is None:
-        lines = lines.filter(seen)
-    totals = (
-        lines.groupBy("customer_id")
-        .agg(
-            *rfm_totals(bought), *mix_totals(bought),
-            *return_totals(sent_back, negatives_only=False),
-            *[column.alias(name) for name, column in (future or {}).items()],
-        )
-        .filter(F.col("purchase_lines") > 0)
-    )
+    prices, distinct = mix_totals(bought)
+    lines = clean if future else clean.filter(seen)
+    totals = _per_customer(
+        lines, {**rfm_totals(bought), **prices, **return_totals(sent_back, negatives_only=False), **(future or {})}, distinct,
+    ).filter(F.col("purchase_lines") > 0)
     gaps = gap_features(purchase_gaps(clean.filter(bought), "day"))
     wide = with_return_ratios(with_rfm_ratios(totals, snapshot), "tiny")
     return fill_gaps(wide.join(gaps, "customer_id", "left"), F.col("tenure_since_first")).select(

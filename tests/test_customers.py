@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
-from ebbtide.operators import customers, gaps, quality, trends
+from ebbtide.operators import customers, gaps, grains, quality, trends
 
 
 @pytest.fixture(scope="module")
@@ -157,3 +158,21 @@ def test_products_and_growth(lines):
     assert [r["orders_mom_pct"] for r in growth.collect()] == [None, 200.0]
     assert trends.growth_summary(growth).first()["peak_month"] == "2020-02"
     assert [r["country"] for r in trends.country_summary(pur, "customers", exclude="X").collect()] == ["Y"]
+
+
+def test_grains_count_like_one_aggregation(spark):
+    """Invoices over several days, days with several invoices, missing values and a hot customer."""
+    rng = np.random.default_rng(8)
+    rows = [(
+        "hot" if rng.random() < 0.4 else f"c{rng.integers(30)}", None if rng.random() < 0.05 else f"i{rng.integers(200)}",
+        None if rng.random() < 0.05 else f"s{rng.integers(40)}", int(rng.integers(90)), float(rng.integers(1, 50)),
+    ) for _ in range(3000)]
+    lines = spark.createDataFrame(rows, "k string, i string, s string, d int, v double").repartition(5)
+    odd = F.col("d") % 2 == 1
+    got = grains.by_grains(
+        lines, "k", "i", {"total": grains.Total(F.sum(F.when(odd, F.col("v")))), "top": grains.Total(F.max("v"), F.max), "orders": grains.holds(odd & F.col("i").isNotNull())},
+        {"items": grains.Distinct(F.when(odd, F.col("s"))), "days": grains.Distinct(F.col("d"), ("weeks", lambda c: F.floor(c / 7)))})
+    want = lines.groupBy("k").agg(
+        F.sum(F.when(odd, F.col("v"))).alias("total"), F.max("v").alias("top"), F.count_distinct(F.when(odd, F.col("i"))).alias("orders"),
+        F.count_distinct(F.when(odd, F.col("s"))).alias("items"), F.count_distinct("d").alias("days"), F.count_distinct(F.floor(F.col("d") / 7)).alias("weeks"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from ebbtide.operators import churn, concentration, customers, distributions, evaluation, gaps, ordering, quality, returns, statistics, summaries, trends
+from ebbtide.operators import churn, concentration, customers, distributions, evaluation, features, gaps, ordering, quality, returns, statistics, summaries, trends
 from ebbtide.runtime import materialized
 
 
@@ -120,3 +120,13 @@ def test_rows_are_multiplied_after_aggregation_alone(clean, of):
     generated = [n for n in nodes if "Generate\n" in n.split("Input")[0]]
     assert all("quantity#" not in n.split("Arguments")[0] for n in generated), generated
     assert not any("hashpartitioning(column" in n for n in nodes) or not scans
+
+
+@pytest.mark.parametrize("of", [
+    customers.customer_totals, customers.customer_purchases,
+    lambda c: features.customer_features(c.withColumnRenamed("price", "unit_price"), F.lit("2020-03-01").cast("timestamp_ntz")),
+    lambda c: churn.modeling_dataset(c.withColumnRenamed("price", "unit_price"), churn.derived_windows(c.withColumnRenamed("price", "unit_price"))),
+])
+def test_distinct_counts_do_not_multiply_rows(clean, of):
+    text = plan(of(clean))
+    assert "Expand" not in text and "partial_count(distinct" not in text

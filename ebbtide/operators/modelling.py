@@ -16,15 +16,17 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import (
     ElementwiseProduct, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide import fixed_values as fv
 from ebbtide.functions.scalars import split_by_type
-from ebbtide.operators.distributions import describe_categorical, quantile_table
+from ebbtide.operators.distributions import describe_categorical
 from ebbtide.operators.evaluation import binary_metrics, score
 from ebbtide.operators.splitting import with_class_weight, with_folds
+from ebbtide.operators.summaries import exact_quantiles
 from ebbtide.runtime import materialized
 
 WEIGHT = "class_weight"
@@ -39,16 +41,21 @@ def _literal(value) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else f"{value!r}D"
 
 
-def numeric_prep(train: DataFrame, columns: Sequence[str]) -> list:
+def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact training medians, 0 where a column has no value."""
+    return {c: 0.0 if m is None else m for c, (m,) in zip(columns, exact_quantiles(train, columns, [0.5]))}
+
+
+def numeric_prep(train: DataFrame, columns: Sequence[str], middle: dict[str, float] | None = None) -> list:
     """Exact training medians for missing values, then zero mean and unit population deviation.
 
-    The ML ``Imputer`` only approximates medians, so they are computed here and written into an
+    The ML ``Imputer`` only approximates medians, so they are computed here, unless given, and written into an
     SQL stage. ``StandardScaler`` divides by the sample deviation; the last stage corrects that.
     """
-    medians = {r["column"]: r["p50"] for r in quantile_table(train, columns, [0.5]).collect()}
+    middle = medians(train, columns) if middle is None else middle
     rows = train.count()
     filled = ", ".join(
-        f"coalesce(cast(`{c}` AS double), {_literal(medians.get(c, 0.0))}) AS `{c}__filled`" for c in columns
+        f"coalesce(cast(`{c}` AS double), {_literal(middle[c])}) AS `{c}__filled`" for c in columns
     )
     correction = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
     return [
@@ -82,11 +89,13 @@ def categorical_prep(train: DataFrame, columns: Sequence[str]) -> list:
     ]
 
 
-def preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> Pipeline:
+def preprocessor(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), middle: dict[str, float] | None = None
+) -> Pipeline:
     """Both branches into one ``features`` vector."""
     stages, parts = [], []
     if numeric:
-        stages += numeric_prep(train, numeric)
+        stages += numeric_prep(train, numeric, middle)
         parts.append("numeric_features")
     if categorical:
         stages += categorical_prep(train, categorical)
@@ -118,6 +127,7 @@ PARAM_GRIDS = {
 }
 
 BASELINES = tuple(PARAM_GRIDS)
+SLOWEST_FIRST = ("hist_gradient_boosting", "random_forest", "gradient_boosting", "logistic_regression")
 
 
 def param_grid(name: str) -> list[dict]:
@@ -178,37 +188,41 @@ class Trial:
         return candidate(self.model, weight_sum, **dict(self.params))
 
 
-@dataclass(frozen=True)
-class _Fold:
-    """One fold's training rows, ready for a classifier, and its held-out rows."""
+def _in_threads(function: Callable, items: Sequence, parallelism: int, spark: SparkSession) -> list:
+    """Run several fits at once: each is a series of small Spark jobs."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(function), items, chunksize=1)
 
-    number: int
-    ready: DataFrame
-    held_out: DataFrame
-    weight_sum: float
 
+def fold_medians(folded: DataFrame, columns: Sequence[str], k: int) -> list[dict[str, float]]:
+    """The medians of every fold's training rows, all folds in the same passes."""
+    outside = folded.select(*[
+        F.when(F.col("fold") != fold, F.col(c)).alias(f"{fold}_{i}") for fold in range(k) for i, c in enumerate(columns)
+    ])
+    found = list(medians(outside, outside.columns).values())
+    return [dict(zip(columns, found[fold * len(columns):(fold + 1) * len(columns)])) for fold in range(k)]
 
-def _prepare_fold(folded: DataFrame, fold: int) -> _Fold:
-    """Preparation fitted on the other folds only."""
-    train = folded.filter(F.col("fold") != fold).drop("fold")
-    weighted = with_class_weight(train)
-    prepared = preprocessor(train, *feature_columns(train)).fit(weighted)
-    ready = prepared.transform(weighted).select("features", fv.LABEL, WEIGHT).cache()
-    held_out = prepared.transform(folded.filter(F.col("fold") == fold)).select("features", fv.LABEL)
-    return _Fold(fold, ready, held_out, float(ready.agg(F.sum(WEIGHT)).first()[0]))
 
+def prepared_folds(train: DataFrame, k: int = 5, seed: int = fv.SEED, parallelism: int = 8) -> DataFrame:
+    """Every fold's rows, prepared by what its training rows say: fold, held_out, features, label, weight.
 
-def _held_out_scores(fold: _Fold, trial: Trial) -> DataFrame:
-    model = trial.build(fold.weight_sum).fit(fold.ready)
-    return score(PipelineModel(stages=[model]), fold.held_out).select(
-        F.lit(trial.label).alias("model"), F.lit(fold.number).alias("fold"), "y_true", "y_prob"
-    )
+    Written once, a folder per fold and side, so that all fits of a fold read its vectors and nothing
+    else, in as many partitions as its size asks for.
+    """
+    spark = train.sparkSession
+    folded = materialized(with_folds(train, k=k, seed=seed))
+    numeric, categorical = feature_columns(folded)
+    middle = fold_medians(folded, numeric, k)
 
+    def prepare(fold: int) -> DataFrame:
+        outside, inside = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold).drop("fold")
+        weighted = with_class_weight(outside)
+        prepared = preprocessor(outside, numeric, categorical, middle[fold]).fit(weighted)
+        side = lambda df, held_out: prepared.transform(df).select(
+            F.lit(fold).alias("fold"), F.lit(held_out).alias("held_out"), "features", fv.LABEL, F.col(WEIGHT).cast("double").alias(WEIGHT))
+        return side(weighted, False).unionByName(side(inside.withColumn(WEIGHT, F.lit(None)), True))
 
-def _in_threads(function: Callable, items: Sequence, parallelism: int, spark: SparkSession) -> list:
-    """Run several fits at once: each is a series of small Spark jobs."""
-    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
-        return pool.map(inheritable_thread_target(spark)(function), items)
+    return materialized(reduce(DataFrame.unionByName, _in_threads(prepare, range(k), parallelism, spark)), ["fold", "held_out"])
 
 
 def out_of_fold_scores(
@@ -219,13 +233,22 @@ def out_of_fold_scores(
     The loop runs over folds and settings, never over rows.
     """
     spark = train.sparkSession
-    folded = with_folds(train, k=k, seed=seed)
-    folds = _in_threads(lambda fold: _prepare_fold(folded, fold), range(k), parallelism, spark)
-    fits = [(fold, trial) for trial in trials for fold in folds]
-    frames = _in_threads(lambda pair: _held_out_scores(*pair), fits, parallelism, spark)
-    scores = materialized(reduce(DataFrame.unionByName, frames))
-    for fold in folds:
-        fold.ready.unpersist()
+    folds = prepared_folds(train, k, seed, parallelism)
+    sums = {row["fold"]: row["weights"] for row in folds.filter("NOT held_out").groupBy("fold").agg(F.sum(WEIGHT).alias("weights")).collect()}
+    of = lambda fold, held_out: folds.filter((F.col("fold") == fold) & (F.col("held_out") == held_out)).select("features", fv.LABEL, WEIGHT)
+    ready = {fold: of(fold, False).cache() for fold in sums}
+
+    def scored(pair: tuple[Trial, int]) -> DataFrame:
+        trial, fold = pair
+        model = trial.build(sums[fold]).fit(ready[fold])
+        return score(PipelineModel(stages=[model]), of(fold, True)).select(
+            F.lit(trial.label).alias("model"), F.lit(fold).alias("fold"), "y_true", "y_prob")
+
+    # the slow kinds first, so that none of them is left over at the end
+    order = sorted(trials, key=lambda trial: SLOWEST_FIRST.index(trial.model))
+    scores = materialized(reduce(DataFrame.unionByName, _in_threads(scored, [(t, f) for t in order for f in sums], parallelism, spark)))
+    for frame in ready.values():
+        frame.unpersist()
     return scores
 
 
@@ -284,3 +307,23 @@ def tune(train: DataFrame, name: str, **options) -> PipelineModel:
 def evaluate(model: PipelineModel, test: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1 and ROC-AUC on held-out rows."""
     return binary_metrics(score(model, test).select("y_true", "y_prob"), threshold)
+
+
+def logistic_gradient(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """The optimality certificate of a fitted logistic regression, in one row: ``weights``, their number
+    with the intercept, and ``largest_gradient``, the largest size of a partial derivative of the objective there.
+
+    The objective is the mean loss by class weight and the penalty; it is convex, so it is at its least
+    where all derivatives are 0. One aggregation over the rows gives them all.
+    """
+    *prepared, fitted = model.stages
+    size, strength = fitted.numFeatures, fitted.getRegParam()
+    ready = PipelineModel(stages=prepared).transform(with_class_weight(train))
+    x, weight = vector_to_array(F.col("features")), F.col(WEIGHT)
+    rows = ready.select(x.alias("x"), weight.alias("w"), F.col(fv.LABEL).cast("double").alias("y"))
+    margin = reduce(lambda a, b: a + b, [F.get("x", F.lit(i)) * float(c) for i, c in enumerate(fitted.coefficients)], F.lit(float(fitted.intercept)))
+    wrong = rows.select("x", "w", (F.col("w") * (1 / (1 + F.exp(-margin)) - F.col("y"))).alias("wrong"))
+    slopes = wrong.agg(
+        F.sum("w").alias("all"), F.sum("wrong").alias("intercept"), *[F.sum(F.col("wrong") * F.get("x", F.lit(i))).alias(f"g{i}") for i in range(size)])
+    of = [F.abs(F.col("intercept") / F.col("all"))] + [F.abs(F.col(f"g{i}") / F.col("all") + strength * float(c)) for i, c in enumerate(fitted.coefficients)]
+    return slopes.select(F.lit(size + 1).alias("weights"), F.array_max(F.array(*of)).alias("largest_gradient"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,17 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
     """Write to a parquet table in the shared folder and read it back.
 
     Cuts the lineage for results that several later passes read. Unlike a checkpoint the table
     is computed once and is columnar: each pass reads only its columns, and its filters reach
-    the scan.
+    the scan. With ``folders`` each value of those columns has files of its own, of the usual size.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ebbtide/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if folders:
+        df = df.hint("rebalance", *folders)
+    df.write.partitionBy(*folders).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def resolved_row(df: DataFrame) -> dict[str, Column]:

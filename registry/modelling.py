@@ -207,6 +207,25 @@ def _(spark, folder):
     return modelling.cross_validate(train, modelling.baseline_trials())
 
 
+# rows scored per setting and fold, each row once and by a model that did not see it
+@register("cv_scored_rows", """
+  WITH p AS (SELECT row_number() OVER (ORDER BY churn_label, customer_id) - 1 AS i, churn_label FROM model)
+  SELECT s.model, CAST(i % 5 AS INTEGER) AS fold, churn_label AS y_true, count(*) AS rows
+  FROM p, (SELECT unnest(['C=0.1', 'C=1']) AS model) s GROUP BY ALL""")
+def _(spark, folder):
+    trials = [modelling.Trial(f"C={c:g}", "logistic_regression", (("C", c),)) for c in (0.1, 1.0)]
+    scores = modelling.out_of_fold_scores(stored_model_table(spark, folder), trials)
+    return scores.groupBy("model", "fold", "y_true").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# at the least of a convex objective every derivative is 0
+@register("logistic_gradient", f"""SELECT {len(MODEL_FEATURES) + 1} AS weights, round(0.0 * count(*), 3) AS largest_gradient FROM model""")
+def _(spark, folder):
+    table = stored_model_table(spark, folder)
+    found = modelling.logistic_gradient(modelling.fit(table, "logistic_regression"), table)
+    return found.withColumn("largest_gradient", F.round("largest_gradient", 3))
+
+
 @register("randomized_search")
 def _(spark, folder):
     train, _test = splitting.stratified_split(stored_model_table(spark, folder))

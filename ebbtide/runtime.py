@@ -24,6 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/ebbtide/{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
     """Write to a parquet table in the shared folder and read it back.
 
@@ -32,7 +37,7 @@ def materialized(df: DataFrame, folders: Sequence[str] = ()) -> DataFrame:
     the scan. With ``folders`` each value of those columns has files of its own, of the usual size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/ebbtide/{uuid.uuid4().hex}"
+    path = new_path(spark)
     if folders:
         df = df.hint("rebalance", *folders)
     df.write.partitionBy(*folders).parquet(path)

@@ -165,3 +165,22 @@ def test_scores_flag_at_the_threshold(table):
     model = modelling.fit(table, "logistic_regression")
     out = score(model, table, threshold=0.3)
     assert out.filter((F.col("y_prob") >= 0.3) != (F.col("y_pred") == 1)).count() == 0
+
+
+def test_the_gradient_vanishes_at_the_fit_alone(table):
+    model = modelling.fit(table, "logistic_regression")
+    assert modelling.logistic_gradient(model, table).first()["largest_gradient"] < 1e-4
+    early = modelling.fit(table, "logistic_regression", maxIter=1)
+    assert modelling.logistic_gradient(early, table).first()["largest_gradient"] > 1e-3
+
+
+def test_folds_are_prepared_by_their_training_rows(spark, table):
+    folds = modelling.prepared_folds(table, k=3)
+    numeric, _ = modelling.feature_columns(table)
+    for fold in range(3):
+        rows = folds.filter((F.col("fold") == fold) & ~F.col("held_out")).select("features", "class_weight").toPandas()
+        x = np.array([f.toArray() for f in rows["features"]])[:, :len(numeric)]
+        assert x.mean(axis=0) == pytest.approx(0, abs=1e-9)
+        assert all(s == pytest.approx(1) or s == pytest.approx(0) for s in x.std(axis=0)) and rows["class_weight"].notna().all()
+    held = folds.filter("held_out")
+    assert held.count() == table.count() and held.filter("class_weight IS NOT NULL").count() == 0

@@ -3,7 +3,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ebbtide.runtime import materialized, one_row, resolved_row
-from ebbtide.sources import sinks
+from ebbtide.sources import ingest, sinks
 from ebbtide.sources import transactions as src
 
 
@@ -81,3 +81,51 @@ def test_materialized_reads_what_was_written(spark):
     stored = materialized(spark.range(10).withColumn("x", F.col("id") * 2))
     assert stored.agg(F.sum("x")).first()[0] == 90
     assert spark.conf.get("spark.checkpoint.dir") in stored.inputFiles()[0]
+
+
+def delivery(spark, tmp_path, *lines, header="Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country", **options):
+    folder = tmp_path / "delivery"
+    folder.mkdir()
+    (folder / "part.csv").write_text("\n".join([header, *lines]) + "\n")
+    return ingest.ingest(spark, str(folder), **options)
+
+
+def test_bad_rows_are_set_apart_with_all_their_reasons(spark, tmp_path):
+    found = delivery(
+        spark, tmp_path, "1,A,pen,2,2020-01-01 10:00:00,3.5,7.0,X", "2,A,,,,,,", "3,A,pen,two,soon,3.5,8,X", "4,A,pen,1,2020-01-01 10:00:00,3.5,n/a,X",
+        ",A,pen,1,2020-01-01 10:00:00,free,9,X", "6,A,pen,1,2020-01-01 10:00:00,3.5,9,X,more", "7,A", '8,A,"a, b",1,2020-01-01 10:00:00,3.5,9,X')
+    good = {r["invoice_no"]: r for r in found.good.collect()}
+    assert set(good) == {"1", "2", "8"} and good["1"]["line_amount"] == 7.0 and good["8"]["description"] == "a, b"
+    assert good["2"]["quantity"] is None and dict(found.good.dtypes)["invoice_date"] == "timestamp_ntz"
+    bad = {r["invoice_no"]: (r["reasons"], r["delivered_line"]) for r in found.rejected.collect()}
+    assert bad["3"] == (["bad quantity", "bad date"], None) and bad["4"] == (["bad customer id"], None)
+    assert bad[None] == (["bad price", "no invoice"], None)
+    assert bad["6"][0] == ["malformed line"] and bad["6"][1].endswith(",more") and bad["7"][0] == ["malformed line"]
+    assert {r["outcome"]: r["rows"] for r in found.counts().collect()} == {
+        "accepted": 3, "rejected": 5, "malformed line": 2, "bad quantity": 1, "bad date": 1, "bad price": 1, "bad customer id": 1, "no invoice": 1}
+
+
+def test_headers_in_another_order_and_other_names(spark, tmp_path):
+    found = delivery(spark, tmp_path, "X,7,3.5,2020-01-01 10:00:00,2,pen,A,1", header="country,customer_id,price,invoice_date,quantity,description,stock_code,invoice_no")
+    assert found.good.first()["quantity"] == 2 and found.good.first()["invoice_no"] == "1" and found.rejected.count() == 0
+
+
+def test_a_header_without_a_field_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="price, customer_id"):
+        delivery(spark, tmp_path, "1,A,pen,2,2020-01-01 10:00:00,X", header="Invoice,StockCode,Description,Quantity,InvoiceDate,Country")
+
+
+def test_a_delivery_without_rows(spark, tmp_path):
+    found = delivery(spark, tmp_path)
+    assert found.good.count() == 0 and {r["rows"] for r in found.counts().collect()} == {0}
+
+
+def test_own_rules(spark, tmp_path):
+    found = delivery(spark, tmp_path, "1,A,pen,2,2020-01-01 10:00:00,3.5,K7,X", checks=ingest.rules(r"^K[0-9]+$") | {"too few": F.col("quantity").cast("int") < 3})
+    assert found.good.count() == 0 and found.rejected.first()["reasons"] == ["too few"]
+
+
+def test_folders_of_a_table_are_read_alone(spark):
+    table = materialized(spark.range(60).selectExpr("id % 3 AS kind", "id"), ["kind"])
+    assert table.columns == ["kind", "id"] and table.filter("kind = 1").count() == 20
+    assert all("kind=1" in path for path in table.filter("kind = 1").select(F.input_file_name()).distinct().toPandas().iloc[:, 0])

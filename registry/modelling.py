@@ -249,6 +249,29 @@ def _(spark, folder):
     return _importance(spark, folder)[1]
 
 
+# margins moved by weight x (donor - own) rank the rows as scoring all changed rows again does
+@register("importance_recomputed", f"""
+  SELECT feature, 0.0 AS difference FROM (SELECT unnest([{', '.join(f"'{c}'" for c in MODEL_FEATURES)}]) AS feature), (SELECT count(*) AS n FROM model) WHERE n > 0""")
+def _(spark, folder):
+    table = stored_model_table(spark, folder)
+    model = modelling.fit(table, "logistic_regression")
+    found = drivers.permutation_importance(model, table, MODEL_FEATURES, repeats=2).withColumnRenamed("importance_mean", "by_margin")
+    again = drivers.rescored_importance(model, table, MODEL_FEATURES, repeats=2)
+    return materialized(found).join(materialized(again), "feature").select("feature", (F.round(F.abs(F.col("by_margin") - F.col("importance_mean")), 6) + 0.0).alias("difference"))
+
+
+# a permutation keeps a feature's values
+@register("permuted_values", f"""
+  SELECT feature, CAST(repeat AS INTEGER) AS repeat, n, {r('total', 2)} AS total, least, most FROM ({' UNION ALL '.join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, sum({c}) AS total, {r(f'CAST(min({c}) AS DOUBLE)', 2)} AS least, {r(f'CAST(max({c}) AS DOUBLE)', 2)} AS most FROM model" for c in ("recency_days", "avg_gap_days", "net_spend"))}),
+    (SELECT unnest([0, 1]) AS repeat)""")
+def _(spark, folder):
+    columns = ["recency_days", "avg_gap_days", "net_spend"]
+    rows = drivers.permuted(stored_model_table(spark, folder), columns, 2, 7, "customer_id")
+    value = F.coalesce(*[F.when(F.col("feature") == c, F.col(c).cast("double")) for c in columns])
+    return stable(rows.groupBy("feature", "repeat").agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most")), 2)
+
+
 # what a feature's name says it measures
 FAMILIES = {"recency": "recency", "frequency": "frequency", "unique": "breadth", "gap": "gaps", "return": "returns", "spend": "spend"}
 

@@ -184,3 +184,22 @@ def test_folds_are_prepared_by_their_training_rows(spark, table):
         assert all(s == pytest.approx(1) or s == pytest.approx(0) for s in x.std(axis=0)) and rows["class_weight"].notna().all()
     held = folds.filter("held_out")
     assert held.count() == table.count() and held.filter("class_weight IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("name, params", [("logistic_regression", {}), ("random_forest", {"numTrees": 4, "maxDepth": 3}), ("gradient_boosting", {"maxIter": 2})])
+def test_importance_equals_scoring_all_changed_rows(spark, table, name, params):
+    numeric, categorical = modelling.feature_columns(table)
+    columns = [*numeric, *categorical]
+    model = modelling.fit(table, name, **params)
+    found = {r["feature"]: r["importance_mean"] for r in drivers.permutation_importance(model, table, columns, repeats=2).collect()}
+    again = {r["feature"]: r["importance_mean"] for r in drivers.rescored_importance(model, table, columns, repeats=2).collect()}
+    assert set(found) == set(columns) and found == pytest.approx(again, abs=1e-9)
+
+
+def test_places_of_columns_in_the_vector(spark):
+    frame = spark.createDataFrame([(str(i), i % 2, float(i), "abc"[i % 3], float(i * i)) for i in range(12)], "customer_id string, churn_label int, a double, kind string, b double")
+    model = modelling.fit(frame, "logistic_regression")
+    assert drivers.feature_places(model) == {"a": range(0, 1), "b": range(1, 2), "kind": range(2, 5)}
+    found = drivers.permutation_importance(model, frame, ["a", "b", "kind"], repeats=2).collect()
+    again = {r["feature"]: r["importance_mean"] for r in drivers.rescored_importance(model, frame, ["a", "b", "kind"], repeats=2).collect()}
+    assert {r["feature"]: r["importance_mean"] for r in found} == pytest.approx(again, abs=1e-9)

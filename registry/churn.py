@@ -20,14 +20,19 @@ def stored_bought(spark, folder):
     return quality.purchases(stored_unit(spark, folder), "positive", features.PRICE)
 
 
+def stored_events(spark, folder):
+    """What the gaps need of the purchase lines, written once: an order over them passes them several times."""
+    return materialized(gaps.purchase_events(pur(spark, folder), "invoice")).withColumnRenamed("purchased_at", "invoice_date")
+
+
 @register("purchase_gaps_invoice", "SELECT customer_id, invoice_no, purchased_at, previous_at, gap_days FROM invgap")
 def _(spark, folder):
-    return gaps.purchase_gaps(pur(spark, folder), "invoice")
+    return gaps.purchase_gaps(stored_events(spark, folder), "invoice")
 
 
 @register("purchase_gaps_timestamp", "SELECT customer_id, purchased_at, previous_at, gap_days FROM tsgap")
 def _(spark, folder):
-    return gaps.purchase_gaps(pur(spark, folder), "timestamp")
+    return gaps.purchase_gaps(stored_events(spark, folder), "timestamp")
 
 
 @register("purchase_gaps_day", "SELECT customer_id, purchased_at, previous_at, gap_days FROM daygap")

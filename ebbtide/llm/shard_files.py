@@ -24,14 +24,15 @@ CELLS = 4096
 MANIFEST = "shard int, number int, temporary string, bytes long, sha256 string, records long, items long"
 
 
-def in_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[DataFrame, int]:
-    """Rows with a column ``shard``: consecutive ranges of a whole-number key of about ``target`` in size.
+def shard_of(df: DataFrame, key: str, size: Column, target: int) -> tuple[Column, int]:
+    """The shard of a row by its whole-number key, as a column, and the number of shards.
 
-    The ranges follow from the data alone, not from samples or partitions. A null key is in shard 0.
+    Shards are consecutive ranges of the key of about ``target`` in size. They follow from the data
+    alone, not from samples or partitions. A null key is in shard 0.
     """
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return df.withColumn("shard", F.lit(0)), 1
+        return F.lit(0), 1
     width = (high - low) // CELLS + 1
     cell = F.coalesce(F.expr(f"int((cast({key} as decimal(38, 0)) - ({low})) div {width})"), F.lit(0))
     sizes = dict(df.groupBy(cell.alias("cell")).agg(F.sum(size)).collect())
@@ -41,7 +42,13 @@ def in_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[DataF
         total += sizes.get(c) or 0
     first = {s: i for i, s in enumerate(dict.fromkeys(shards))}  # no numbers left out
     table = F.array(*[F.lit(first[s]) for s in shards])
-    return df.withColumn("shard", F.element_at(table, cell + 1)), len(first)
+    return F.element_at(table, cell + 1), len(first)
+
+
+def in_shards(df: DataFrame, key: str, size: Column, target: int) -> tuple[DataFrame, int]:
+    """Rows with a column ``shard``; see ``shard_of``."""
+    shard, shards = shard_of(df, key, size, target)
+    return df.withColumn("shard", shard), shards
 
 
 class ShardFile:
@@ -65,7 +72,7 @@ class ShardFile:
                 "sha256": self.hash.hexdigest(), "records": self.records, "items": self.items}
 
 
-def written(rows: DataFrame, shards: int, order: list[str], write: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
+def written(rows: DataFrame, shards: int, order: list[str | Column], write: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """Send each shard to a task in order; ``write`` turns its rows into files. Returns the manifest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in write(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm.shard_files import ShardFile, committed, contents, in_shards, written
+from ebbtide.llm.shard_files import ShardFile, committed, contents, shard_of, written
 from ebbtide.llm.shared import new_folder, slices, whole_text
 
 SUFFIX = ".warc.gz"
@@ -78,27 +78,28 @@ def member(data: bytes, level: int) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def with_revisits(pages: DataFrame, least_revisit: int) -> DataFrame:
-    """page_id, url, html, refers_to (null for responses)."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), whole_text("html").alias("html"))
-    long = F.octet_length("html") >= least_revisit
-    keyed = rows.select(F.when(long, F.sha2("html", 256)).alias("payload"), "page_id")
-    groups = keyed.filter("payload IS NOT NULL").groupBy("payload").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-    # only pages that do refer to another; the pages themselves do not move for this
-    revisits = keyed.join(groups.filter("n > 1 AND response IS NOT NULL"), "payload").filter(
-        ~F.col("page_id").eqNullSafe(F.col("response"))).select(F.col("page_id").alias("_page"), F.col("response").alias("refers_to"), "payload")
-    revisits = revisits.dropDuplicates(["_page", "payload"]).withColumnRenamed("payload", "_payload")
-    digest = F.when(long, F.sha2("html", 256))
-    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (digest == F.col("_payload")), "left").drop("_page", "_payload")
+def revisits(rows: DataFrame, least_revisit: int) -> DataFrame:
+    """page_id, payload (its SHA-256), refers_to: the pages that are revisits, without their html."""
+    keyed = rows.filter(F.octet_length("html") >= least_revisit).select(F.sha2("html", 256).alias("payload"), "page_id")
+    groups = keyed.groupBy("payload").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
+    found = keyed.join(groups.filter("n > 1 AND response IS NOT NULL"), "payload").filter(~F.col("page_id").eqNullSafe(F.col("response")))
+    return found.select("page_id", "payload", F.col("response").alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, shard_bytes: int = 32 << 20,
                    roll_bytes: int = 16 << 20, level: int = 5) -> DataFrame:
-    """Write all pages; returns the manifest of the committed files."""
-    rows, shards = in_shards(with_revisits(pages, least_revisit), "page_id", F.octet_length("html") + 500, shard_bytes)
+    """Write all pages; returns the manifest of the committed files.
+
+    The html moves once, to its shard. What a revisit refers to is sent there as a row of its own, ahead of its
+    page, instead of being joined to it.
+    """
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), whole_text("html").alias("html"))
+    shard, shards = shard_of(rows, "page_id", F.octet_length("html") + 500, shard_bytes)
+    both = rows.unionByName(revisits(rows, least_revisit), allowMissingColumns=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         file = None
+        told_of, told = None, {}  # a page_id, and payload to response of its revisits
 
         def begun(shard: int, number: int) -> ShardFile:
             new = ShardFile(folder, shard, number)
@@ -106,7 +107,14 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, sha
             return new
 
         for batch in slices(batches, 128):
-            for page_id, url, html, refers_to, shard in zip(*(c.to_pylist() for c in batch.columns)):
+            for values in zip(*batch.columns):
+                page_id, url, html, payload, refers_to, shard = (v.as_py() for v in values)
+                if told_of != (page_id, shard):
+                    told_of, told = (page_id, shard), {}
+                if html is None:
+                    told[payload] = refers_to
+                    continue
+                refers_to = told.get(hashlib.sha256(html.encode()).hexdigest()) if told else None
                 data = member(page_record(page_id, url, html, refers_to), level)
                 if file is None or file.shard != shard:
                     if file:
@@ -121,8 +129,8 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 1000, sha
         if file:
             yield file.close()
 
-    ordered = rows.select("page_id", "url", "html", "refers_to", "shard")
-    return committed(written(ordered, shards, ["page_id", "url", "html"], write), folder, SUFFIX)
+    ahead = both.withColumn("shard", shard).select("page_id", "url", "html", "payload", "refers_to", "shard")
+    return committed(written(ahead, shards, ["page_id", F.desc_nulls_last("payload"), "url", "html"], write), folder, SUFFIX)
 
 
 def members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:

@@ -10,65 +10,66 @@ from ebbtide.operators.summaries import quantile_values
 from ebbtide.operators.quality import cleaning_counts
 from ebbtide.runtime import one_row
 
+#: The rule that makes each column; p: purchase lines, r: return lines, ref: the reference date.
 DESCRIPTIONS = {
-    "customer_id": "Customer number",
-    "first_purchase": "Time of the first purchase",
-    "last_purchase": "Time of the latest purchase",
-    "first_purchase_date": "Time of the first purchase",
-    "last_purchase_date": "Time of the latest purchase",
-    "purchase_lines": "Purchase lines",
-    "unique_invoices": "Distinct orders",
-    "frequency_orders": "Distinct orders",
-    "total_quantity": "Units bought",
-    "total_spend": "Spend before returns",
-    "monetary_total_spend": "Spend before returns",
-    "avg_unit_price": "Mean unit price over purchase lines",
-    "max_unit_price": "Highest unit price paid",
-    "countries": "Distinct countries ordered from",
-    "unique_countries": "Distinct countries ordered from",
-    "distinct_products": "Distinct stock codes bought",
-    "unique_products": "Distinct stock codes bought",
-    "unique_descriptions": "Distinct product texts bought",
-    "days_active": "Distinct days with a purchase",
-    "distinct_active_days": "Distinct days with a purchase",
-    "active_months": "Distinct months with a purchase",
-    "primary_country": "Most common country of the purchase lines",
-    "return_count": "Return lines",
-    "return_lines": "Return lines",
-    "return_invoices": "Distinct return invoices",
-    "returned_quantity": "Units sent back",
-    "return_value": "Value sent back (negative in the customer base, absolute elsewhere)",
-    "customer_tenure_days": "Whole days from first to latest purchase",
-    "tenure_days": "Whole days from first to latest purchase",
-    "tenure_since_first": "Days from first purchase to snapshot",
-    "net_spend": "Spend after returns",
-    "avg_basket_size": "Purchase lines per order",
-    "avg_order_value": "Spend per order",
-    "avg_qty_per_order": "Units per order",
-    "return_rate": "Return lines per order",
-    "return_invoice_ratio": "Return invoices per order",
-    "return_value_ratio": "Value sent back per spend, may exceed 1",
-    "first_purchase_month": "Month of the first purchase, the cohort",
-    "country_group": "UK, EU or Other",
-    "spend_quartile": "Quartile of spend",
-    "frequency_segment": "Segment by number of orders",
-    "recency_days": "Days from latest purchase to the reference date",
-    "frequency": "Orders, as scored",
-    "monetary": "Spend, as scored",
-    "r_score": "Recency score, 4 is most recent",
-    "f_score": "Frequency score, 4 is most often",
-    "m_score": "Spend score, 4 is most",
-    "rfm_score": "The three scores as one number",
-    "rfm_segment": "Segment from the three scores",
-    "is_one_time_buyer": "1 for exactly one order",
-    "purchase_frequency_rate": "Orders per day since the first purchase",
-    "recency_to_tenure_ratio": "Share of the relationship since the latest purchase",
-    "avg_gap_days": "Mean days between purchases, age where there is one purchase",
-    "median_gap_days": "Median days between purchases, age where there is one purchase",
-    "max_gap_days": "Longest gap in days, age where there is one purchase",
-    "snapshot_date": "Reference date of the features",
-    "future_orders": "Orders in the label window",
-    "churn_label": "1 if nothing was bought in the label window",
+    "customer_id": "key, canonical text",
+    "first_purchase": "min(p.invoice_date)",
+    "last_purchase": "max(p.invoice_date)",
+    "first_purchase_date": "min(p.invoice_date)",
+    "last_purchase_date": "max(p.invoice_date)",
+    "purchase_lines": "count(p.invoice_no)",
+    "unique_invoices": "count(distinct p.invoice_no)",
+    "frequency_orders": "count(distinct p.invoice_no)",
+    "total_quantity": "sum(p.quantity)",
+    "total_spend": "sum(p.line_amount)",
+    "monetary_total_spend": "sum(p.line_amount)",
+    "avg_unit_price": "avg(price of p)",
+    "max_unit_price": "max(price of p)",
+    "countries": "count(distinct p.country)",
+    "unique_countries": "count(distinct p.country)",
+    "distinct_products": "count(distinct p.stock_code)",
+    "unique_products": "count(distinct p.stock_code)",
+    "unique_descriptions": "count(distinct p.description)",
+    "days_active": "count(distinct date of p)",
+    "distinct_active_days": "count(distinct date of p)",
+    "active_months": "count(distinct month of p)",
+    "primary_country": "mode(p.country), smallest on ties",
+    "return_count": "count(r.invoice_no)",
+    "return_lines": "count(r.invoice_no)",
+    "return_invoices": "count(distinct r.invoice_no)",
+    "returned_quantity": "sum(abs(r.quantity)), or of negative ones alone",
+    "return_value": "sum(r.line_amount), by size in the feature tables",
+    "customer_tenure_days": "floor(last - first) in days",
+    "tenure_days": "floor(last - first) in days",
+    "tenure_since_first": "date(ref) - date(first) in days",
+    "net_spend": "spend with returns taken off",
+    "avg_basket_size": "purchase_lines / unique_invoices",
+    "avg_order_value": "spend / orders",
+    "avg_qty_per_order": "total_quantity / orders",
+    "return_rate": "return_count / unique_invoices",
+    "return_invoice_ratio": "return_invoices / orders",
+    "return_value_ratio": "return_value / spend, unbounded",
+    "first_purchase_month": "yyyy-MM of first",
+    "country_group": "group of primary_country",
+    "spend_quartile": "label of m_score",
+    "frequency_segment": "label of orders, cut at 1, 3, 10",
+    "recency_days": "ref - last in days",
+    "frequency": "unique_invoices",
+    "monetary": "total_spend",
+    "r_score": "5 - quartile(recency_days)",
+    "f_score": "quartile(rank of orders)",
+    "m_score": "quartile(total_spend)",
+    "rfm_score": "100 r + 10 f + m",
+    "rfm_segment": "label of r, f, m",
+    "is_one_time_buyer": "orders = 1",
+    "purchase_frequency_rate": "orders / tenure_since_first",
+    "recency_to_tenure_ratio": "recency_days / tenure_since_first",
+    "avg_gap_days": "avg(gap), tenure_since_first without gaps",
+    "median_gap_days": "median(gap), tenure_since_first without gaps",
+    "max_gap_days": "max(gap), tenure_since_first without gaps",
+    "snapshot_date": "ref",
+    "future_orders": "count(distinct invoice_no after ref, up to the label end)",
+    "churn_label": "future_orders = 0",
 }
 
 

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.shared import over_batches, whole_text
-from ebbtide.llm.word_encoding import encoder
+from ebbtide.llm.shared import over_batches, slices, whole_text
+from ebbtide.llm.word_encoding import ROWS, encoder
 from ebbtide.runtime import materialized
 
 LIMIT, ROUNDS, STEP = 1024, 60, 0.05
@@ -36,12 +36,12 @@ END = np.uint32(2).tobytes()
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids, task, nth: every piece, with its rank in its task and length."""
     def cut(batches):
-        encode, task, seen = encoder(tokenizer, True).encode, TaskContext.get().partitionId(), Counter()
+        encode, task, seen = encoder(tokenizer, True).encode_all, TaskContext.get().partitionId(), Counter()
 
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
             source, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text) + END
+            for i, ids in enumerate(encode(batch.column(1).to_pylist())):
+                ids += END
                 n = len(ids) // 4
                 ends = range((n - 1) % limit + 1, n + 1, limit)
                 for k, end in enumerate(ends):
@@ -55,10 +55,9 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
                 [batch.column(0).take(pa.array(source)), *columns], names=["doc_id", "piece", "start", "length", "ids", "task", "nth"])
         return of
 
-    from ebbtide.llm.shared import slices
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return narrow.mapInArrow(
-        lambda batches: map(cut(batches), slices(batches)),
+        lambda batches: map(cut(batches), slices(batches, ROWS)),
         "doc_id long, piece int, start long, length long, ids binary, task int, nth long")
 
 

@@ -37,11 +37,16 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of so many rows, which bounds what a worker makes at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of at most so many rows and bytes, or one row, which bounds what a worker makes at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, rows)
+            while some.num_rows > 1 and some.nbytes > size:
+                some = some.slice(0, (some.num_rows + 1) // 2)
+            yield some
+            at += some.num_rows
 
 
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -6,7 +6,7 @@ A frame holds a document's ids as little-endian unsigned 32-bit integers. The di
 the files, named by its hash. A reader that wants one document reads the index and one frame.
 
 The dictionary is trained on the ids of at most ``SAMPLE`` documents of at most ``SAMPLE_CHARS``
-characters, those of lowest hash; it changes sizes, never contents. Files follow ascending ``doc_id``,
+characters, those of lowest hash among those below a bound that follows from the number of rows; it changes sizes, never contents. Files follow ascending ``doc_id``,
 null first, repeated ids in the order of their texts. A null text has the end id alone. An empty table
 gives no file and an empty result. Other columns are not read.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.shard_files import ShardFile, committed, contents, in_shards, written
 from ebbtide.llm.shared import filesystem, new_folder, slices, whole_text
-from ebbtide.llm.word_encoding import encoder
+from ebbtide.llm.word_encoding import ROWS, encoder
 
 MAGIC, VERSION, SUFFIX = b"TOKZ", 1, ".tok"
 HEADER, FOOTER = "<4sI32s", "<Q4s"
@@ -37,9 +37,12 @@ END = np.uint32(2).tobytes()
 
 def trained_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """From the bounded sample; raw sample bytes where there is too little to train on."""
-    short = docs.select(whole_text().alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    texts = [r.text for r in short.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()]
-    serialized = [encoder(tokenizer, False).encode(t) + END for t in texts]
+    drawn = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    # about four times the sample passes, so that tasks need not send a sample each
+    most = min(4 * SAMPLE * 2**64 // max(docs.count(), 1), 2**64 - 1) - 2**63
+    short = docs.select(whole_text().alias("text"), "doc_id").filter(F.length("text").between(1, SAMPLE_CHARS) & (drawn <= most))
+    texts = [r.text for r in short.orderBy(drawn, "text").select("text").limit(SAMPLE).collect()]
+    serialized = [ids + END for ids in encoder(tokenizer, False).encode_all(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, serialized).as_bytes()
     except zstandard.ZstdError:
@@ -58,7 +61,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, shard_chars:
     rows, shards = in_shards(texts, "doc_id", F.length("text") + 16, shard_chars)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = encoder(tokenizer, False).encode
+        encode = encoder(tokenizer, False).encode_all
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data)).compress
         file, index = None, []
 
@@ -67,14 +70,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, shard_chars:
             file.write(struct.pack(FOOTER, len(index), MAGIC))
             return file.close()
 
-        for batch in slices(batches):
-            for doc_id, text, shard in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in slices(batches, ROWS):
+            doc_ids, texts, shards = (c.to_pylist() for c in batch.columns)
+            for doc_id, ids, shard in zip(doc_ids, encode(texts), shards):
                 if file is None or file.shard != shard:
                     if file:
                         yield finish()
                     file, index = ShardFile(folder, shard, 0), []
                     file.write(struct.pack(HEADER, MAGIC, VERSION, digest))
-                ids = encode(text) + END
+                ids += END
                 frame = pack(ids)
                 index.append((doc_id is not None, doc_id or 0, file.bytes, len(frame), len(ids) // 4))
                 file.write(frame)

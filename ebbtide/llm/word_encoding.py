@@ -1,52 +1,38 @@
 """Encoding whole texts with a tokenizer of the tokenizers library, one distinct word at a time.
 
 Both kinds of tokenizer used here split a text by a pattern before merging, and no piece reaches
-across a single white-space character between two others. So the ids of a text are those of its
-words put together, and a worker encodes each distinct word once. Texts with white space of any
-other kind are encoded whole. Strings of special tokens in a text are ordinary text.
+across a single white-space character between two others, nor from letters into the symbols behind
+them. So the ids of a text are those of its words put together. Texts are taken a few at a time: their
+words are numbered, each distinct one is looked up once, and those a worker has not met are
+encoded in one call. Texts with white space of any other kind
+are encoded whole. Strings of special tokens in a text are ordinary text.
 
 A worker keeps at most ``KEPT`` words: when half of that is new, the older half goes, unless it was
-asked for meanwhile. This bounds memory and changes no id. Where the tokenizer lowers case and drops
-white space, letters and the mark behind them are pieces of their own.
+asked for meanwhile. A text of more than ``CHARS`` characters is taken in parts cut before words. Both bound
+memory and change no id.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-KEPT = 700_000
-MARKS = frozenset(".,;:!?")
-
-
-class _Known(dict):
-    """Word to the bytes of its ids; asks the tokenizer for words that are not there."""
-
-    def __init__(self, encode, prefix: str, lower: bool) -> None:
-        super().__init__()
-        self.encode, self.prefix, self.lower, self.older = encode, prefix, lower, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if self.lower:  # such words are not kept: their parts are
-            if word[-1:] in MARKS and word[:-1].isalpha():
-                return self[word[:-1]] + self[word[-1]]
-            if word.isascii() and word.lower() != word:
-                return self[word.lower()]
-        ids = self.older.pop(word, None)
-        if ids is None:
-            ids = self.encode(self.prefix + word)
-        if len(self) >= KEPT // 2:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+KEPT, CHARS, CALL = 300_000, 8 << 20, 1000
+#: Texts to take together: the more, the fewer look-ups of a word.
+ROWS = 2560
+#: ASCII symbols that are a piece of their own behind letters; the apostrophe may join letters after it.
+SYMBOLS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 class WordEncoder:
     """``spaced``: a word takes the space before it along and a line feed is a piece of its own, as
-    in byte-level vocabularies; otherwise the tokenizer drops white space."""
+    in byte-level vocabularies; otherwise the tokenizer drops white space and lowers case."""
 
     def __init__(self, path: str, spaced: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,33 +41,100 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.heads = _Known(self.direct, "", False)
-        # the kind that drops white space is also the one that lowers case
-        self.words = _Known(self.direct, " ", False) if spaced else _Known(self.direct, "", True)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails = {"": b""}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words: of a word's letters with the white space before, and of the symbols behind."""
+        ids = list(map(self.known.get, words))
+        if len(self.known) >= KEPT // 2:
+            self.older, self.known = self.known, {}
+        if len(self.tails) >= KEPT // 8:
+            self.tails = {"": b""}
+        known, older, tails, lower = self.known, self.older, self.tails, not self.spaced
+        pending, bodies, ends = [], {}, {}
+        for place in [i for i, found in enumerate(ids) if found is None]:
+            word = words[place]
+            body = word.rstrip(SYMBOLS)
+            end = word[len(body):]
+            if end and not body.removeprefix("\n").isalpha():
+                body, end = word, ""
+            if lower and body.isascii():
+                body = body.lower()
+            if body not in known:
+                if body in older:
+                    known[body] = older[body]
+                else:
+                    bodies[body] = None
+            if end not in tails:
+                ends[end] = None
+            pending.append((place, body, end))
+        for into, asked, space in ((known, bodies, " " if self.spaced else ""), (tails, ends, "")):
+            self._ask(into, list(asked), space)
+        for place, body, end in pending:
+            ids[place] = known[body] + tails[end] if end else known[body]
+        return ids
+
+    def _ask(self, into: dict[str, bytes], parts: list[str], space: str) -> None:
+        """Encode parts of words, the first of a line as it is and others behind the space."""
+        for at in range(0, len(parts), CALL):
+            some = parts[at:at + CALL]
+            found = self.tokenizer.encode_batch_fast([p if p[0] == "\n" else space + p for p in some], add_special_tokens=False)
+            for part, of in zip(some, found):
+                into[part] = array("I", of.ids).tobytes()
+
+    def _segments(self, text: str) -> Iterator[str]:
+        """Parts of an evenly spaced text, cut at spaces; the first word of a line begins with its line feed."""
+        text = ("\n" + text).replace("\n", " \n")[1:] if self.spaced else text.replace("\n", " ")
+        at = 0
+        while len(text) - at > CHARS and (end := text.find(" ", at + CHARS)) >= 0:
+            yield text[at:end]
+            at = end + 1
+        yield text[at:]
+
+    def _together(self, segments: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pa.array(segments, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        look = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist()).__getitem__
+        code, cuts = words.indices.to_numpy(), split.offsets.to_pylist()
+        return [b"".join(map(look, code[a:b].tolist())) for a, b in zip(cuts, cuts[1:])]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, source, chars = [], [], 0
+        # the line feed put before a text is dropped from its ids
+        feed = len(self.direct("\n")) if self.spaced else 0
+
+        def flush() -> None:
+            for i, ids in zip(source, self._together(waiting) if waiting else ()):
+                out[i].append(ids if out[i] or not feed else ids[feed:])
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if " ".join(text.split()) != text.replace("\n", " "):
+                out[i].append(self.direct(text))
+                continue
+            for segment in self._segments(text):
+                if waiting and chars + len(segment) > CHARS:
+                    flush()
+                    waiting, source, chars = [], [], 0
+                waiting.append(segment)
+                source.append(i)
+                chars += len(segment)
+        flush()
+        return [b"".join(parts) for parts in out]
+
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        if " ".join(words) != text.replace("\n", " "):
-            return self.direct(text)
-        look = self.words.__getitem__
-        if not self.spaced:
-            return b"".join(map(look, words))
-        feed, at, parts = self.heads["\n"], 0, []
-        for line in text.split("\n"):
-            if at:
-                parts.append(feed)
-            end = at + line.count(" ") + 1
-            parts += [self.heads[w] for w in words[at:at + 1]]
-            parts += map(look, words[at + 1:end])
-            at = end
-        return b"".join(parts)
-
-
-@lru_cache(maxsize=2)
+        return self.encode_all([text])[0]
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str, spaced: bool) -> WordEncoder:
-    """One per worker and tokenizer, kept between tasks."""
+    """The worker's encoder, kept between tasks of one tokenizer."""
     return WordEncoder(path, spaced)

@@ -10,12 +10,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from ebbtide.llm import (
-    class_lm, exact_dedup, html_text, ngram_join, packing, piece_sampling, quality_rules, secret_scan, token_files, warc, word_encoding,
+    class_lm, exact_dedup, html_text, ngram_join, packing, piece_sampling, quality_rules, secret_scan, shared, token_files, warc, word_encoding,
 )
 from ebbtide.llm.shared import new_folder
 
@@ -279,13 +280,31 @@ def test_token_files(spark, docs, none):
 
 
 @pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_words_encode_like_whole_texts(name, spaced):
+def test_words_encode_like_whole_texts(name, spaced, monkeypatch):
     path = public_tokenizers.path(name)
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     odd = ["ΑΣ ΣΑ.", "it's I'M we'll.", "é́ x", "x\x1cy", "a\n\nb", " a", "a \nb", "İstanbul.", "1 2,3 33. ..", "A.b? c!"]
-    for text in [*odd, *(r[1] or "" for r in rows())]:
-        assert np.frombuffer(word_encoding.encoder(path, spaced).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    odd += ["", "\n", "Foo's &&& 'x'... (A) b.\nNew!? ÉCOLE&&& ǅ#", "a,b,; c1.. 12,3.\n... ...a", "\u0301a ́b&", "<|endoftext|> x", "_a _ a_ `` ~a~", "w\n'S. x's;", "ab " * 3000 + "x"]
+    texts = [*odd, *(r[1] or "" for r in rows())]
+    whole = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    ids = lambda found: np.frombuffer(found, "<u4").tolist()
+    assert [ids(word_encoding.encoder(path, spaced).encode(text)) for text in texts] == whole
+    assert list(map(ids, word_encoding.encoder(path, spaced).encode_all(texts))) == whole
+    # texts in parts, a small memory of words and small calls change nothing
+    for name, value in {"CHARS": 40, "KEPT": 16, "CALL": 3}.items():
+        monkeypatch.setattr(word_encoding, name, value)
+    small = word_encoding.WordEncoder(path, spaced)
+    assert list(map(ids, small.encode_all(texts))) == whole
+    assert list(map(ids, small.encode_all(texts[::-1]))) == whole[::-1]
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    texts = ["a" * n for n in (10, 5000, 3, 9, 2500, 1, 1, 1, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(shared.slices(iter([batch]), 4, 1000))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows <= 4 and (p.num_rows == 1 or p.nbytes <= 1000) for p in parts)
 
 
 def test_class_model(docs, plain, none):

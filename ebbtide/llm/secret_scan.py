@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.shared import new_folder, whole_text
+from ebbtide.llm.shared import new_folder, unused, whole_text
 
 SPAN = "array<struct<start: bigint, end: bigint, kind: string, rule: string>>"
 LEDGER = f"blob string, scanned array<string>, findings {SPAN}"
@@ -137,11 +137,16 @@ def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """All rows and columns, with the secrets in ``text`` replaced and ``n_chars`` counted anew there."""
+    """All rows and columns, with the secrets in ``text`` replaced; ``n_chars``, where it is a column, is
+    counted anew there and keeps its type."""
     ledger = new_folder(docs.sparkSession, "secrets")
     scan_into(docs, ledger, rules)
-    hits = read_ledger(docs, ledger).filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.array_sort("findings").alias("_found"))
-    joined = docs.join(hits, F.sha2(whole_text(), 256) == F.col("_blob"), "left")
-    text = F.when(F.col("_found").isNotNull(), masked(F.col("text"), F.col("_found"), mask)).otherwise(F.col("text"))
-    size = F.when(F.col("_found").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return joined.withColumn("text", text).withColumn("n_chars", size).select(*docs.columns)
+    blob, found = unused("_blob", docs), unused("_found", docs)
+    hits = read_ledger(docs, ledger).filter(F.size("findings") > 0).select(F.col("blob").alias(blob), F.array_sort("findings").alias(found))
+    joined = docs.join(hits, F.sha2(whole_text(), 256) == F.col(blob), "left")
+    hit = F.col(found).isNotNull()
+    changed = joined.withColumn("text", F.when(hit, masked(F.col("text"), F.col(found), mask)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(hit, size).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)

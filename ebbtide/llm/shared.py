@@ -55,7 +55,16 @@ def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
     return df.mapInArrow(lambda batches: map(function, slices(batches)), schema)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Rows of ``docs`` whose keys, columns of ``dropped`` by name, are together in no row there; null equals null."""
-    gone = dropped.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct()
-    return docs.join(gone, reduce(and_, [of.eqNullSafe(F.col(f"_gone_{k}")) for k, of in keys.items()]), "left_anti")
+    names = {k: unused(f"_gone_{k}", docs) for k in keys}
+    gone = dropped.select(*[F.col(k).alias(name) for k, name in names.items()]).distinct()
+    return docs.join(gone, reduce(and_, [of.eqNullSafe(F.col(names[k])) for k, of in keys.items()]), "left_anti")

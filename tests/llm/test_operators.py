@@ -386,6 +386,26 @@ def test_pipeline_drops_only_the_rows_judged(spark):
         sort([*clean, (3, e), (4, f), (5, near(words[3], 11)), (None, g)])
 
 
+def test_pipeline_columns_of_clashing_names_and_repeated_rows(spark):
+    import corpus_pipeline
+    functions = dict(corpus_pipeline.STAGES)
+    names = ["_blob", "_found", "__found", "_gone_doc_id", "_gone_text_sha256", "_gone__sha256", "_kept", "_node", "_sha256", "blob"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    other = " ".join(f"v{i}" for i in range(100)) + " secret = abcdefgh12345678"
+    made = lambda *keys: spark.createDataFrame([(*k, "en", "s", *names) for k in keys], schema).repartition(3)
+    table = made((1, BASE), (1, BASE), (1, BASE), (2, other), (2, other), (None, "x " * 9), (None, "x " * 9))
+    for name, kept in (("quality rules", [1, 1, 1, 2, 2]), ("exact dedup", [1, 2, None]), ("n-gram jaccard join", None), ("secret scan", [1, 1, 1, 2, 2, None, None])):
+        got = functions[name](spark, table, "")
+        found = got.collect()
+        assert got.columns == table.columns and all(list(r)[4:] == names for r in found)
+        assert kept is None or sorted(r.doc_id or 9 for r in found) == sorted(i or 9 for i in kept), name
+    short = spark.createDataFrame([(1, other, 7), (2, "plain", 7)], "doc_id long, text string, n_chars int")
+    sized = secret_scan.redacted(short)
+    assert dict(sized.dtypes)["n_chars"] == "int"
+    assert {(r.doc_id, r.n_chars == len(r.text), r.n_chars) for r in sized.collect()} == {(1, True, len(other) - len("secret = abcdefgh12345678") + 8), (2, False, 7)}
+    assert secret_scan.redacted(short.drop("n_chars")).columns == ["doc_id", "text"]
+
+
 def test_registered_queries_match_their_sql(spark):
     from ebbtide.llm.queries import ORACLES, QUERIES
     folder = "/root/testdata/sf0.001"

@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, folder) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of docs. A row is judged and dropped
 by itself: it is known by its ``doc_id``, null like another, and its text, so that rows which share an
-id do not go with one that is rejected. Near copies are those of Jaccard ``PERCENT`` over ``WORDS`` words.
+id do not go with one that is rejected. Rows repeated with id and text are one document: the exact dedup
+keeps one of them, with the other columns it has. Near copies are those of Jaccard ``PERCENT`` over ``WORDS`` words.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import exact_dedup, ngram_join, packing, quality_rules, secret_scan
 from ebbtide.llm.queries import documents
-from ebbtide.llm.shared import new_folder, whole_text, without
+from ebbtide.llm.shared import new_folder, unused, whole_text, without
 
 WORDS, PERCENT = 5, 80
 
@@ -36,8 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document of largest id of each group of equal texts."""
-    return without(docs, exact_dedup.exact_groups(docs).filter(~F.col("kept")), {"doc_id": row_id(), "text_sha256": text_hash()})
+    """The document of largest id of each group of equal texts; of rows with the same id and text, one."""
+    left = without(docs, exact_dedup.exact_groups(docs).filter(~F.col("kept")), {"doc_id": row_id(), "text_sha256": text_hash()})
+    return left.dropDuplicates(["doc_id", "text"])
 
 
 def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -47,8 +49,9 @@ def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     parts = found.select(F.col("doc_id").alias("_node"), "component_id").distinct()
     ids = docs.select(node.alias("_node"), row_id().alias("_id")).distinct()
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_node").alias("first"))
-    kept = ids.join(parts, "_node").groupBy("component_id").agg(first.alias("first")).select(F.col("first._node").alias("_kept"))
-    return docs.join(kept, node == F.col("_kept"), "left_semi")
+    name = unused("_kept", docs)
+    kept = ids.join(parts, "_node").groupBy("component_id").agg(first.alias("first")).select(F.col("first._node").alias(name))
+    return docs.join(kept, node == F.col(name), "left_semi")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -5,9 +5,13 @@ the relative error of a quantile by 1/64. Two sketches merge by adding counts, i
 the same result; so the limits do not depend on how the rows are partitioned, and a hot source is
 summed map-side like any count.
 
-A measure passes up to ``q75 + max(3 * (q75 - q25), spread)`` of its group; ``spread`` keeps groups
-whose quartiles coincide from rejecting whatever differs at all. A group of fewer than ``min_group``
-rows uses the merged sketch of its language, and if that is small too, the one of all rows.
+The sketches take the rows that pass the base rules, so that junk of that kind moves no limit; those of
+repetition take values above zero, as most texts repeat nothing. A measure passes up to
+``q75 + max(REACH * (q75 - q50), LEAST)`` of its group, word length also down to the mirror image below
+``q25``. Median and quartile stay in place while less than a quarter of the values are junk. ``LEAST`` is what
+a difference must come to where the quartiles coincide. A group of fewer than ``min_group`` values takes the
+limit from the merged sketch of its language, and if that is small too, from the one of all rows; without any
+value, everything passes.
 
 Null text has no words. Null language or source is a group like another. A null or repeated
 ``doc_id`` is judged row by row. Empty input gives an empty result. Other columns are not read.
@@ -25,8 +29,10 @@ from ebbtide.llm.shared import SPACES, over_batches, whole_text
 from ebbtide.runtime import materialized
 
 SYMBOLS = "#*$%&|<>"
-#: Least distance, in thousandths, between a group's upper quartile and its limit.
-SPREADS = {"symbols": 100, "duplicate_lines": 400, "repeated_words": 350, "word_length": 2500}
+#: Units of the distance between median and quartile from the quartile to the limit.
+REACH = 8
+#: Least distance, in thousandths, between a quartile and the limit.
+LEAST = {"symbols": 100, "duplicate_lines": 100, "repeated_words": 100, "word_length": 500}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -84,6 +90,12 @@ MEASURES = {
     "symbols": ("n_symbols", "n_words"), "duplicate_lines": ("n_dup_lines", "n_lines"),
     "repeated_words": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words"),
 }
+ABOVE_ZERO = ("duplicate_lines", "repeated_words")
+LIMITS = (*(f"limit_{m}" for m in MEASURES), "least_word_length")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def coarse(value: Column) -> Column:
@@ -101,7 +113,8 @@ def sketches(counts: DataFrame) -> DataFrame:
         F.struct(F.lit(name).alias("measure"), coarse(_thousandths(*of)).alias("value")) for name, of in MEASURES.items()
     ]))
     fine = (
-        counts.select("lang", "source", entries.alias("e")).groupBy("lang", "source", "e.measure", "e.value")
+        counts.filter(~base_failed()).select("lang", "source", entries.alias("e"))
+        .filter((F.col("e.value") > 0) | ~F.col("e.measure").isin(*ABOVE_ZERO)).groupBy("lang", "source", "e.measure", "e.value")
         .agg(F.count("*").alias("n")).withColumn("level", F.lit(0))
     )
     none = F.lit(None).cast("string")
@@ -110,41 +123,42 @@ def sketches(counts: DataFrame) -> DataFrame:
     return fine.unionByName(language).unionByName(everything)
 
 
-def limits(sketch: DataFrame, spreads: dict[str, int] = SPREADS) -> DataFrame:
-    """level, lang, source, n and one limit in thousandths per measure, from the sketches."""
+def limits(sketch: DataFrame, min_group: int, least: dict[str, int] = LEAST) -> DataFrame:
+    """level, lang, source and the limits in thousandths, from the sketches; null where a sketch is small."""
     group = Window.partitionBy("level", "lang", "source", "measure")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("rows", F.sum("n").over(group))
     quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("rows"), F.col("value")))
-    spread = F.create_map(*[F.lit(x) for pair in spreads.items() for x in pair])
+    reach = lambda distance: F.greatest(REACH * distance, F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("measure")].cast("long"))
     per_measure = ranked.groupBy("level", "lang", "source", "measure").agg(
-        F.max("rows").alias("n"), quartile(1).alias("q1"), quartile(3).alias("q3"),
-    ).withColumn("limit", F.col("q3") + F.greatest(3 * (F.col("q3") - F.col("q1")), spread[F.col("measure")].cast("long")))
+        F.max("rows").alias("n"), quartile(1).alias("q1"), quartile(2).alias("q2"), quartile(3).alias("q3"),
+    ).filter((F.col("n") >= min_group) | (F.col("level") == 2)).withColumns({
+        "most": F.col("q3") + reach(F.col("q3") - F.col("q2")), "fewest": F.col("q1") - reach(F.col("q2") - F.col("q1"))})
+    of = lambda m, bound: F.max(F.when(F.col("measure") == m, F.col(bound)))
     return per_measure.groupBy("level", "lang", "source").agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in MEASURES],
-    )
+        *[of(m, "most").alias(f"limit_{m}") for m in MEASURES], of("word_length", "fewest").alias("least_word_length"))
 
 
-def quality(docs: DataFrame, min_group: int = 100, spreads: dict[str, int] = SPREADS, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, min_group: int = 100, least: dict[str, int] = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: counts, the columns to carry along, the limits that applied, base_failed and kept."""
     counts = materialized(measured(docs, carry))
-    table = materialized(limits(sketches(counts), spreads))
-    names = [f"limit_{m}" for m in MEASURES]
+    table = materialized(limits(sketches(counts), min_group, least))
 
     def level(number: int, *keys: str) -> DataFrame:
-        chosen = table.filter((F.col("level") == number) & ((F.col("n") >= min_group) | F.lit(number == 2)))
-        return chosen.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*names).alias(f"level{number}"))
+        return table.filter(F.col("level") == number).select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*LIMITS).alias(f"level{number}"))
 
     # the three levels meet per group, so that the rows are joined once
     groups = counts.select("lang", "source").distinct()
     same = lambda k: F.col(k).eqNullSafe(F.col(f"_{k}"))
+    everything = level(2).scalar()
     chosen = (
         groups.join(level(0, "lang", "source"), same("lang") & same("source"), "left").drop("_lang", "_source")
         .join(level(1, "lang"), same("lang"), "left")
-        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.coalesce("level0", "level1", level(2).scalar()).alias("limits"))
+        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
+                *[F.coalesce(f"level0.{x}", f"level1.{x}", everything[x]).alias(x) for x in LIMITS])
     )
-    judged = counts.join(chosen, same("lang") & same("source"), "left").select("doc_id", "lang", "source", *COUNTS, *carry, "limits.*")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    passes = F.lit(True)
+    judged = counts.join(chosen, same("lang") & same("source"), "left").select("doc_id", "lang", "source", *COUNTS, *carry, *LIMITS)
+    no_limit = F.lit(True)
+    passes = F.coalesce(_thousandths(*MEASURES["word_length"]) >= F.col("least_word_length"), no_limit)
     for m, of in MEASURES.items():
-        passes = passes & (_thousandths(*of) <= F.col(f"limit_{m}"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & passes)
+        passes = passes & F.coalesce(_thousandths(*of) <= F.col(f"limit_{m}"), no_limit)
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & passes)

@@ -145,24 +145,26 @@ QUALITY_SQL = """
       FROM d LEFT JOIN rep USING (doc_id)),
     v AS (SELECT *, 1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS duplicate_lines,
                  1000 * n_repeat_words // greatest(n_words, 1) AS repeated_words, 1000 * word_chars // greatest(n_words, 1) AS word_length FROM c),
-    e AS (SELECT lang, source, unnest(['symbols', 'duplicate_lines', 'repeated_words', 'word_length']) AS measure,
+    e AS (SELECT lang, source, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS failed, unnest(['symbols', 'duplicate_lines', 'repeated_words', 'word_length']) AS measure,
                  unnest([symbols, duplicate_lines, repeated_words, word_length]) AS exact FROM v),
-    s AS (SELECT lang, source, measure, (exact >> greatest(length(format('{:b}', exact)) - 7, 0)) << greatest(length(format('{:b}', exact)) - 7, 0) AS value FROM e),
+    s AS (SELECT lang, source, measure, (exact >> greatest(length(format('{:b}', exact)) - 7, 0)) << greatest(length(format('{:b}', exact)) - 7, 0) AS value FROM e
+          WHERE NOT failed AND (exact > 0 OR measure IN ('symbols', 'word_length'))),
     lv AS (SELECT 0 AS level, lang, source, measure, value FROM s UNION ALL SELECT 1, lang, NULL, measure, value FROM s
            UNION ALL SELECT 2, NULL, NULL, measure, value FROM s),
     k AS (SELECT *, count(*) OVER (PARTITION BY level, lang, source, measure ORDER BY value) AS upto,
                  count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM lv),
     q AS (SELECT level, lang, source, measure, max(n) AS n, min(CASE WHEN 4 * upto >= n THEN value END) AS q1,
-                 min(CASE WHEN 4 * upto >= 3 * n THEN value END) AS q3 FROM k GROUP BY ALL),
-    t AS (SELECT level, lang, source, measure, n, q3 + greatest(3 * (q3 - q1), CASE measure WHEN 'symbols' THEN 100
-                 WHEN 'duplicate_lines' THEN 400 WHEN 'repeated_words' THEN 350 ELSE 2500 END) AS lim FROM q WHERE n >= 100 OR level = 2),
-    j AS (SELECT e.*, coalesce(a.lim, b.lim, z.lim) AS lim FROM (
+                 min(CASE WHEN 4 * upto >= 2 * n THEN value END) AS q2,
+                 min(CASE WHEN 4 * upto >= 3 * n THEN value END) AS q3, CASE measure WHEN 'word_length' THEN 500 ELSE 100 END AS least FROM k GROUP BY ALL),
+    t AS (SELECT level, lang, source, measure, n, q3 + greatest(8 * (q3 - q2), least) AS lim,
+                 CASE measure WHEN 'word_length' THEN q1 - greatest(8 * (q2 - q1), least) ELSE 0 END AS low FROM q WHERE n >= 100 OR level = 2),
+    j AS (SELECT e.*, coalesce(a.lim, b.lim, z.lim, exact) AS lim, coalesce(a.low, b.low, z.low, exact) AS low FROM (
             SELECT doc_id, lang, source, unnest(['symbols', 'duplicate_lines', 'repeated_words', 'word_length']) AS measure,
                    unnest([symbols, duplicate_lines, repeated_words, word_length]) AS exact FROM v) e
           LEFT JOIN t a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM e.lang AND a.source IS NOT DISTINCT FROM e.source AND a.measure = e.measure
           LEFT JOIN t b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM e.lang AND b.measure = e.measure
           LEFT JOIN t z ON z.level = 2 AND z.measure = e.measure),
-    ok AS (SELECT doc_id, bool_and(exact <= lim) AS passes FROM j GROUP BY doc_id)
+    ok AS (SELECT doc_id, bool_and(exact <= lim AND exact >= low) AS passes FROM j GROUP BY doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
            (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND passes AS kept

@@ -169,6 +169,25 @@ def test_secret_spans_and_ledger(spark, docs, none):
     assert redacted[7].text == BASE and redacted[0].text is None and list(secret_scan.redacted(docs).columns) == docs.columns
 
 
+def test_secret_spans_and_masks_of_many_hits(spark):
+    generator = np.random.default_rng(4)
+    texts = ["".join(generator.choice(["0af1" * 5, "é", " ", "token=" + "a1" * 8, "AKIA" + "A" * 16, "\n"], n)) for n in (1, 2, 255, 256, 257, 700, 2000)]
+    texts += [("0123456789abcdef" + "x") * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.path: r.findings for r in secret_scan.scan(docs).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    for i, text in enumerate(texts):
+        expected = sorted((m.start(), place, m.end(), rule.kind) for place, rule in enumerate(secret_scan.RULES)
+                          for m in re.finditer(rule.pattern, text) if len(m[rule.group]) >= rule.least)
+        assert [(f.start, f.end, f.kind) for f in found[i]] == [(s, e, k) for s, _, e, k in expected]
+        out, at = [], -1
+        for start, _, end, _ in expected:
+            if start > at:
+                out.append(text[max(at, 0):start] + "[SECRET]")
+            at = max(at, end)
+        assert masked[i] == "".join(out) + text[max(at, 0):]
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     pages = spark.createDataFrame(
@@ -347,6 +366,24 @@ def test_quality_rules(spark, docs, none):
     assert all(kept[i].kept for i, *_ in clean) and not any(kept[i].kept for i, *_ in junk)
 
 
+def test_quality_limits_follow_the_group(spark):
+    generator = np.random.default_rng(2)
+    made = lambda size: " ".join("".join(generator.choice(list("abcdefgh"), size + generator.integers(0, 2))) for _ in range(90))
+    row = lambda i, text, source: (i, text, "en", source, 0)
+    table = [row(i, made(5 if i % 2 else 10), "ab"[i % 2 == 0]) for i in range(400)]
+    table += [row(1000, made(10), "a"), row(1001, made(5), "b"), row(1002, made(5), "a"), row(1003, made(10), "b"), row(1004, made(16), "small")]
+    table += [row(2000 + i, "junk " * i, "a") for i in range(90)]  # fails the base rules, and moves no limit
+    got = by_id(quality_rules.quality(spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)))
+    assert all(got[i].kept for i in (*range(400), 1002, 1003)) and not any(got[i].kept for i in (1000, 1001, *range(2000, 2090)))
+    coarse = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
+    for source, i in (("a", 1), ("b", 0)):
+        values = sorted(coarse(1000 * r.word_chars // r.n_words) for r in got.values() if r.source == source and not r.base_failed)
+        q1, q2, q3 = (values[math.ceil(q * len(values) / 4) - 1] for q in (1, 2, 3))
+        assert (got[i].limit_word_length, got[i].least_word_length) == (q3 + max(8 * (q3 - q2), 500), q1 - max(8 * (q2 - q1), 500))
+    # no text repeats a line: no limit, and all pass
+    assert got[0].limit_duplicate_lines is None and got[1004].limit_word_length is not None
+
+
 def test_exact_groups_and_colliding_fingerprints(docs, none):
     weak = lambda chunk, attempt: hashlib.sha256(chunk).digest()[:1 if attempt == 0 else 16]
     for identify in (exact_dedup.fingerprint, weak):

@@ -12,6 +12,7 @@ columns are read; `redacted` keeps all columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,32 @@ RULES = (
 )
 
 
+#: Elements of an array that are taken together, so that no accumulator is copied once per element of the whole.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas within use it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def blocks(values: Column) -> Column:
+    """The array cut into arrays of ``BLOCK`` elements."""
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(BLOCK)), lambda i: F.slice(v, i, BLOCK))
+    return let(values, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(F.slice(F.array(v), 1, 0)))
+
+
+def before_each(values: Column, combine: Callable[[Column, Column], Column], start: int) -> Column:
+    """For each whole number of an array, the numbers before it combined, from ``start``, which changes nothing."""
+    start = F.lit(start).cast("bigint")
+    begin = F.struct(start.alias("at"), F.lit([]).cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct(combine(acc.at, x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
+    within = lambda part: F.aggregate(part, begin, step, lambda acc: acc.out)
+    whole = lambda parts: within(F.transform(parts, lambda part: F.aggregate(part, start, combine)))
+    return let(blocks(values), lambda parts: F.flatten(F.zip_with(
+        parts, whole(parts), lambda part, earlier: F.transform(within(part), lambda x: combine(earlier, x)))))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """The rule's spans in a text: leftmost, without overlap, the short ones left out.
 
@@ -63,17 +90,16 @@ def spans(text: Column, rule: Rule) -> Column:
     """
     pattern = F.lit(rule.pattern)
     whole, part = (F.regexp_extract_all(text, pattern, F.lit(g)) for g in (0, rule.group))
-    between = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))
-    rows = F.zip_with(between, F.zip_with(whole, part, lambda w, p: F.struct(
-        F.length(w).alias("size"), F.length(p).alias("part"))), lambda b, w: F.struct(F.length(b).alias("skip"), w.size.alias("size"), w.part.alias("part")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit([]).cast(SPAN).alias("out"))
-    found = lambda acc, x: F.array(F.struct(
-        (acc.at + x.skip).alias("start"), (acc.at + x.skip + x.size).alias("end"),
-        F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))).cast(SPAN)
-    step = lambda acc, x: F.struct(
-        (acc.at + x.skip + x.size).alias("at"),
-        F.when(x.part >= rule.least, F.concat(acc.out, found(acc, x))).otherwise(acc.out).alias("out"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, start, step, lambda acc: acc.out)).otherwise(F.lit([]).cast(SPAN))
+    between = F.split(text, rule.pattern, -1)  # the text after the last match comes last
+    sizes = F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("size"), F.length(p).alias("part")))
+    skips = let(sizes, lambda all_sizes: F.zip_with(F.slice(between, 1, F.size(all_sizes)), all_sizes, lambda b, w: F.struct(
+        F.length(b).alias("skip"), w.size.alias("size"), w.part.alias("part"))))
+    ends = lambda rows: before_each(F.transform(rows, lambda x: (x.skip + x.size).cast("bigint")), lambda a, b: a + b, 0)
+    placed = let(skips, lambda rows: F.zip_with(rows, ends(rows), lambda x, at: F.struct(
+        (at + x.skip).alias("start"), (at + x.skip + x.size).alias("end"), x.part.alias("part"))))
+    found = F.transform(F.filter(placed, lambda x: x.part >= rule.least), lambda x: F.struct(
+        x.start.alias("start"), x.end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule")))
+    return F.when(text.rlike(rule.pattern), found.cast(SPAN)).otherwise(F.lit([]).cast(SPAN))
 
 
 def paths_of(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,14 +152,20 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    between = lambda acc, to: F.substring(text, (acc.at + 1).cast("int"), (to - acc.at).cast("int"))
-    step = lambda acc, f: F.struct(
-        F.greatest(acc.at, f.end).alias("at"),
-        F.when((f.start >= acc.at) & ((acc.out == "") | (f.start > acc.at)) | (acc.at == 0), F.concat(acc.out, between(acc, f.start), F.lit(mask))).otherwise(acc.out).alias("out"))
-    done = F.aggregate(found, start, step, lambda acc: F.concat(acc.out, F.substring(text, (acc.at + 1).cast("int"), F.length(text))))
-    return done
+    """The text with every span, or run of spans that overlap or touch, replaced. Spans come by start.
+
+    A run begins where a span starts after all earlier ones have ended. Texts between runs are taken from
+    the text that a block of runs covers, since a position in a text is found by reading up to it.
+    """
+    ends = F.transform(found, lambda f: f.end)
+    after = before_each(ends, lambda a, b: F.greatest(a, b), -1)
+    runs = F.filter(F.zip_with(found, after, lambda f, at: F.struct(at.alias("at"), f.start.alias("start"))), lambda r: r.start > r.at)
+    runs = F.transform(runs, lambda r: F.struct(F.greatest(r.at, F.lit(0)).cast("int").alias("at"), r.start.cast("int").alias("start")))
+    pieces = lambda part, covered: F.array_join(F.transform(part, lambda r: F.concat(
+        F.substring(covered, r.at - part[0].at + 1, r.start - r.at), F.lit(mask))), "")
+    covered = lambda part: F.substring(text, part[0].at + 1, F.element_at(part, -1).start - part[0].at)
+    joined = F.array_join(F.transform(blocks(runs), lambda part: let(covered(part), lambda c: pieces(part, c))), "")
+    return F.concat(joined, F.substring(text, F.coalesce(F.array_max(ends), F.lit(0)).cast("int") + 1, F.length(text)))
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:

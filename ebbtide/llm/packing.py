@@ -2,10 +2,13 @@
 
 Documents longer than a sequence are cut into full pieces, of which the first takes the remainder.
 A configuration says how many pieces of each length share a sequence. The program covers the
-histogram of lengths with as few configurations as it can: multiplicative weights price the lengths,
-a knapsack dynamic program finds the configurations of highest price, and lengths that a round leaves
-short gain weight. Rounds are rounded to whole sequences: whole multiples of their configurations,
-and best fit, longest first, for the pieces left. The rounding with the fewest sequences is used.
+histogram of lengths with as few configurations as it can, in fractions: multiplicative weights price the
+lengths, a knapsack dynamic program finds the configurations of highest price, a round uses them as far as
+the counts of their lengths go, and lengths that it leaves short grow in price by the share they lack. The
+average of the rounds, with what it lacks covered at the last prices, is a solution whose distance from the
+bound of the dual program is known; rounds end when it is below ``GAP``. It is rounded down to whole
+sequences, with best fit, longest first, for the pieces left. Where counts are small and rounding down leaves
+most of them, whole configurations by price can be fewer; the fewest are used, those of the program on ties.
 
 The driver holds the histogram (one count per length) and the configurations, whatever the number of
 documents. A piece finds its place from its rank among pieces of its length: its rank within its
@@ -29,7 +32,12 @@ from ebbtide.llm.shared import over_batches, slices, whole_text
 from ebbtide.llm.word_encoding import ROWS, encoder
 from ebbtide.runtime import materialized
 
-LIMIT, ROUNDS, STEP = 1024, 60, 0.05
+LIMIT = 1024
+#: Rounds at most, how much dearer a round makes a length it leaves out, how far below the best price a
+#: configuration may be to be used, and the gap between solution and bound at which rounds end.
+ROUNDS, STEP, SLACK, GAP = 60, 0.3, 0.05, 0.002
+#: Fractions of a sequence below this count as none.
+TINY = 1e-9
 END = np.uint32(2).tobytes()
 
 
@@ -89,39 +97,73 @@ def configuration(first: int, last: np.ndarray, limit: int) -> dict[int, int]:
 Plan = list[tuple[dict[int, int], int]]
 
 
-def configuration_program(histogram: np.ndarray, limit: int = LIMIT, rounds: int = ROUNDS, step: float = STEP) -> tuple[list[Plan], np.ndarray, float]:
-    """Near-optimal covers of the histogram, one per round, and a lower bound of the program.
+Fractions = dict[tuple[tuple[int, int], ...], float]
 
-    A round prices every length by its weight and solves the knapsack. Each length, longest first,
-    then offers its best configuration if that costs within ``step`` of the best of all, and takes it
-    as often as the counts allow. Weights of lengths that were left short grow, the others shrink.
-    The prices over the knapsack's value are a solution of the dual program, hence the bound.
+
+def priced_cover(counts: np.ndarray, price: np.ndarray, limit: int, target: float) -> tuple[Fractions, np.ndarray, float]:
+    """Configurations of high price, up to ``target`` of them and to the counts; what is left; the highest price.
+
+    Each length, longest first, offers its best configuration. The knapsack is solved anew without the
+    lengths that have run out, until nothing is left or the target is reached.
+    """
+    left, offered, cover, total, highest = counts.astype(float), price.copy(), {}, 0.0, None
+    while total < target - TINY and left.max() > TINY:
+        value, last = knapsack(offered, limit)
+        highest = value[limit] if highest is None else highest
+        sizes = np.flatnonzero(left > TINY)[::-1]
+        worth = offered[sizes] + value[limit - sizes]
+        for size in sizes[worth >= (1 - SLACK) * worth.max()].tolist():
+            content = configuration(size, last, limit)
+            times = min(target - total, *(left[s] / n for s, n in content.items()))
+            if times > TINY:
+                key = tuple(sorted(content.items()))
+                cover[key] = cover.get(key, 0.0) + times
+                total += times
+                for s, n in content.items():
+                    left[s] -= n * times
+        left[left <= TINY] = 0.0
+        offered[left == 0] = -1.0
+    return cover, left, highest
+
+
+def configuration_program(histogram: np.ndarray, limit: int = LIMIT, rounds: int = ROUNDS) -> tuple[Fractions, np.ndarray, float]:
+    """A near-optimal fractional cover of the histogram, the prices, and a lower bound of every cover.
+
+    Prices over the knapsack's value are a solution of the dual program, hence the bound; the first one
+    is the volume. A round has as many sequences as the bound, so that what it leaves out shows its price.
     """
     lengths = np.flatnonzero(histogram)
     if not len(lengths):
-        return [], np.zeros(limit + 1), 0.0
-    price, plans, bound = np.full(limit + 1, -1.0), [], 0.0
+        return {}, np.zeros(limit + 1), 0.0
+    count = histogram[lengths]
+    bound = float((count * lengths).sum() / limit)
+    price, sums, load = np.full(limit + 1, -1.0), {}, np.zeros(limit + 1)
     price[lengths] = lengths / limit * (1 + lengths / limit / 10)  # a piece twice as long is worth more than two
-    for k in range(rounds):
-        value, last = knapsack(price, limit)
-        bound = max(bound, float((histogram[lengths] * price[lengths]).sum() / value[limit]))
-        left, plan = histogram.copy(), []
-        for size in lengths[::-1].tolist():
-            if left[size] and price[size] + value[limit - size] >= (1 - step) * value[limit]:
-                counts = configuration(size, last, limit)
-                times = min(int(left[s]) // n for s, n in counts.items())
-                if times:
-                    plan.append((counts, times))
-                    for s, n in counts.items():
-                        left[s] -= n * times
-        plans.append(plan)
-        short = left[lengths] / histogram[lengths]
-        price[lengths] *= np.exp(step / 10 / (1 + k) * (short - short.mean()))
-    return plans, price, bound
+    solution, fewest = {}, np.inf
+    for k in range(1, rounds + 1):
+        cover, left, highest = priced_cover(histogram, price, limit, bound)
+        bound = max(bound, float((count * price[lengths]).sum() / highest))
+        for content, times in cover.items():
+            sums[content] = sums.get(content, 0.0) + k * times
+        load += k * (histogram - left)
+        price[lengths] *= (1 + STEP) ** (left[lengths] / count / np.sqrt(k))
+        price[lengths] /= price[lengths].max()
+        if k & (k - 1) == 0 or k % 8 == 0 or k == rounds:
+            weight = k * (k + 1) / 2  # later rounds know the prices better and count more
+            average = {content: times / weight for content, times in sums.items()}
+            lacking = np.maximum(histogram - load / weight, 0.0)
+            offered = np.where(lacking > TINY, price, -1.0)
+            for content, times in priced_cover(lacking, offered, limit, np.inf)[0].items():
+                average[content] = average.get(content, 0.0) + times
+            if sum(average.values()) < fewest:
+                solution, fewest = average, sum(average.values())
+            if fewest <= (1 + GAP) * bound:
+                break
+    return solution, price, bound
 
 
 def rounded(histogram: np.ndarray, cover: Plan, limit: int = LIMIT) -> Plan:
-    """A round's configurations, then best fit for the pieces they leave; uses every piece once."""
+    """Whole configurations, then best fit for the pieces they leave; uses every piece once."""
     left, plan = histogram.copy(), list(cover)
     for counts, times in cover:
         for size, n in counts.items():
@@ -194,15 +236,11 @@ def rounded_by_price(histogram: np.ndarray, price: np.ndarray, limit: int = LIMI
 
 
 def solved(histogram: np.ndarray, limit: int = LIMIT) -> Plan:
-    """The rounding with the fewest sequences: of the program's prices, its rounds, or best fit."""
-    plans, price, bound = configuration_program(histogram, limit)
-    best = rounded(histogram, [], limit)
-    candidates = (rounded_by_price(histogram, price, limit), *(rounded(histogram, cover, limit) for cover in plans[::-1]))
-    for plan in candidates:
-        best = min(best, plan, key=lambda p: sum(t for _, t in p))
-        if sum(t for _, t in best) <= np.ceil(bound - 1e-6):
-            break
-    return best
+    """The program's cover rounded down and completed, or where that takes more, by price, or best fit alone."""
+    cover, price, _ = configuration_program(histogram, limit)
+    whole = [(dict(content), int(times + TINY)) for content, times in cover.items() if times + TINY >= 1]
+    candidates = (rounded(histogram, whole, limit), rounded_by_price(histogram, price, limit), rounded(histogram, [], limit))
+    return min(candidates, key=lambda p: sum(t for _, t in p))
 
 
 def places(plan: Plan) -> dict[int, np.ndarray]:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with missing, empty, repeated and clashing input."""
 
 import collections
+import functools
 import glob
 import hashlib
 import itertools
@@ -243,6 +244,56 @@ def test_packing_is_no_worse_than_best_fit(seed):
     assert math.ceil((np.arange(257) * histogram).sum() / 256) <= count(plan) <= count(packing.rounded(histogram, [], 256))
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+def test_configuration_program_covers_near_its_bound(times):
+    generator = np.random.default_rng(1)
+    histogram = times * np.bincount(np.clip(generator.lognormal(4, 0.5, 3000).astype(int), 1, 255), minlength=257)
+    cover, price, bound = packing.configuration_program(histogram, 256)
+    used = np.zeros(257)
+    for content, amount in cover.items():
+        assert amount > 0 and sum(s * n for s, n in content) <= 256
+        for s, n in content:
+            used[s] += n * amount
+    assert (used >= histogram * (1 - 1e-9)).all() and bound <= sum(cover.values()) <= 1.01 * bound
+    # prices divided by the dearest configuration are dual feasible: no cover takes less than they sum to
+    value = packing.knapsack(price, 256)[0][256]
+    assert (np.maximum(price, 0) * histogram).sum() / value <= sum(cover.values()) * (1 + 1e-9)
+    count = lambda plan: sum(t for _, t in plan)
+    whole = [(dict(content), int(amount)) for content, amount in cover.items() if amount >= 1]
+    from_program, best_fit = packing.rounded(histogram, whole, 256), packing.rounded(histogram, [], 256)
+    assert count(packing.solved(histogram, 256)) <= count(best_fit)
+    if times > 1:  # large counts: rounding down costs next to nothing, and the program decides
+        assert count(whole) > 0.99 * count(from_program) and count(from_program) <= 1.01 * bound
+        assert count(from_program) == count(packing.solved(histogram, 256)) < count(best_fit)
+
+
+def test_configuration_program_of_few_and_no_lengths():
+    assert packing.solved(np.zeros(257, np.int64), 256) == []
+    for sizes in ([(200, 7)], [(1, 5)], [(150, 10), (100, 4), (60, 7)]):
+        histogram = np.zeros(257, np.int64)
+        for size, n in sizes:
+            histogram[size] = n
+        cover, _, bound = packing.configuration_program(histogram, 256)
+        assert sum(cover.values()) >= bound - 1e-9
+        # by brute force: the fewest sequences of 256 that hold the pieces
+        pieces = [size for size, n in sizes for _ in range(n)]
+
+        @functools.cache
+        def fewest(left):
+            if not left:
+                return 0
+            best = math.inf
+            for others in {c for k in range(4) for c in itertools.combinations(left[1:], k)}:
+                if left[0] + sum(others) <= 256:
+                    rest = list(left[1:])
+                    for x in others:
+                        rest.remove(x)
+                    best = min(best, 1 + fewest(tuple(rest)))
+            return best
+        if sizes[0][0] > 1:
+            assert sum(t for _, t in packing.solved(histogram, 256)) == fewest(tuple(sorted(pieces, reverse=True)))
+
+
 def test_html_extraction(spark):
     page = lambda k, body: f"<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><ul><li>Menu</li></ul></nav>{body}<div class='comments'><p>nice {k}</p></div><footer>c</footer></body></html>"
     bodies = [f"<div id='content'><h1>H{k}</h1><p>Text &amp;  more\n{k} <b>b{k}</b>old{k}<br>x{k}</p><p>Second {k} of some length</p></div><div class='box'>Always here</div>" for k in range(6)]

@@ -32,7 +32,7 @@ SYMBOLS = "#*$%&|<>"
 #: Units of the distance between median and quartile from the quartile to the limit.
 REACH = 8
 #: Least distance, in thousandths, between a quartile and the limit.
-LEAST = {"symbols": 100, "duplicate_lines": 100, "repeated_words": 100, "word_length": 500}
+LEAST = {"symbols": 100, "duplicate_lines": 100, "repeated_words": 350, "word_length": 500}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 

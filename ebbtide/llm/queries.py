@@ -155,7 +155,7 @@ QUALITY_SQL = """
                  count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM lv),
     q AS (SELECT level, lang, source, measure, max(n) AS n, min(CASE WHEN 4 * upto >= n THEN value END) AS q1,
                  min(CASE WHEN 4 * upto >= 2 * n THEN value END) AS q2,
-                 min(CASE WHEN 4 * upto >= 3 * n THEN value END) AS q3, CASE measure WHEN 'word_length' THEN 500 ELSE 100 END AS least FROM k GROUP BY ALL),
+                 min(CASE WHEN 4 * upto >= 3 * n THEN value END) AS q3, CASE measure WHEN 'word_length' THEN 500 WHEN 'repeated_words' THEN 350 ELSE 100 END AS least FROM k GROUP BY ALL),
     t AS (SELECT level, lang, source, measure, n, q3 + greatest(8 * (q3 - q2), least) AS lim,
                  CASE measure WHEN 'word_length' THEN q1 - greatest(8 * (q2 - q1), least) ELSE 0 END AS low FROM q WHERE n >= 100 OR level = 2),
     j AS (SELECT e.*, coalesce(a.lim, b.lim, z.lim, exact) AS lim, coalesce(a.low, b.low, z.low, exact) AS low FROM (

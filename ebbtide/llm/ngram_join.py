@@ -23,7 +23,6 @@ result. Other columns are not read. N-gram hashes have 64 bits, set signatures 1
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.shared import over_batches, slices, whole_text
+from ebbtide.llm.shared import kept, over_batches, slices, whole_text
 from ebbtide.runtime import materialized
 
 WORDS, PERCENT = 4, 85
@@ -48,10 +47,9 @@ class _Hashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> _Hashes:
     """One per worker, kept between tasks."""
-    return _Hashes()
+    return kept("word hashes", _Hashes)
 
 
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
@@ -104,17 +102,21 @@ def frequent_ngrams(docs: DataFrame, size: int, limit: int) -> tuple[np.ndarray,
     def count(batches):
         parts, held = [], 0
         def merged():
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+            every = np.concatenate(parts)
+            parts.clear()
+            every.sort()  # in place, and only the starts of runs beside it
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            counts = np.diff(starts, append=len(every))
             often = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], names=["ngram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(every[starts[often]]), pa.array(counts[often])], names=["ngram", "n"])
         for batch in slices(batches):
             for text in batch.column(0):
                 parts.append(shingles(text.as_py(), size))
                 held += len(parts[-1])
             if held > 4_000_000:
                 yield merged()
-                parts, held = [], 0
-        if parts:
+                held = 0
+        if held:
             yield merged()
 
     counts = docs.select(whole_text().alias("text")).mapInArrow(count, "ngram long, n long")
@@ -214,15 +216,21 @@ def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     # ones, which are kept as they are, so the window sees small groups alone.
     met = index_rows(own, "rare").withColumn("docs", F.count("*").over(Window.partitionBy("ngram"))).filter("docs > 1").drop("docs")
     facts = classes.select("doc", "n", "matches")
-    band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100))).cast("int").alias("band")
+    # linked sets lie in one band of sizes or in neighbouring ones; the margin is far above the rounding of logarithms
+    band = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - F.log(F.lit(percent / 100)))).cast("int").alias("band")
     met = materialized(met.unionAll(index_rows(own, "often")).join(facts, "doc").select("ngram", "doc", "place", "n", "matches", band))
+    # n-grams that no other document of such a size has in its prefix can make no pair either
+    held = met.groupBy("ngram", "band").agg(F.min("matches").alias("fewest"), F.count("*").alias("docs"))
+    around = held.select("ngram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "fewest", "docs")
+    around = around.groupBy("ngram", "band").agg(F.min("fewest").alias("fewest"), F.sum("docs").alias("docs")).filter("docs > 1").drop("docs")
+    met = materialized(met.join(around, ["ngram", "band"]).select(*met.columns, "fewest"))
     # a document whose shared n-grams are fewer than it and each of its partners ask for is in no pair
-    fewest = met.groupBy("ngram").agg(F.min("matches").alias("fewest"), F.count("*").alias("docs")).filter("docs > 1")
-    able = met.join(fewest, "ngram").groupBy("doc").agg(F.count("*").alias("shared"), F.min("fewest").alias("fewest"), F.first("matches").alias("m"))
+    able = met.groupBy("doc").agg(F.count("*").alias("shared"), F.min("fewest").alias("fewest"), F.first("matches").alias("m"))
     able = materialized(able.filter("shared >= least(fewest, m)").select("doc", "shared"))
+    met = met.drop("fewest")
     # the fewer n-grams of its prefix a document has to itself, the better a pivot it is
     alone = (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("matches") - F.col("shared")).alias("alone")
-    # n-grams before this one in the document's order that no other prefix has; a window per document
+    # n-grams before this one in the document's order that no other prefix in question has; a window per document
     lone = (F.col("place") - F.row_number().over(Window.partitionBy("doc").orderBy("place")) + 1).alias("lone")
     postings = materialized(met.join(able, "doc").select(*met.columns, alone, lone))
     sets = materialized(sets_of(docs, able.select("doc"), size))

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
-from functools import lru_cache
 from random import Random
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ebbtide.llm.shared import over_batches, whole_text
+from ebbtide.llm.shared import kept, over_batches, whole_text
 
 SPACE, OFFSET, LONG = "▁", 10.0, 64
 PARTS = re.compile(r" *[^ \n]+| +|\n")
@@ -251,10 +250,9 @@ class PieceSampler:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()[1:]
 
 
-@lru_cache(maxsize=1)
 def sampler(path: str, theta: float) -> PieceSampler:
     """One per worker, kept between tasks."""
-    return PieceSampler(path, theta)
+    return kept((path, theta), lambda: PieceSampler(path, theta))
 
 
 def row_seed(key: int | str | None, text: str, seed: int) -> int:

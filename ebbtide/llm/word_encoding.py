@@ -17,12 +17,13 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ebbtide.llm.shared import kept
+
 KEPT, CHARS, CALL = 300_000, 8 << 20, 1000
 #: Texts to take together: the more, the fewer look-ups of a word.
 ROWS = 2560
@@ -134,7 +135,6 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, spaced: bool) -> WordEncoder:
     """The worker's encoder, kept between tasks of one tokenizer."""
-    return WordEncoder(path, spaced)
+    return kept((path, spaced), lambda: WordEncoder(path, spaced))

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import duckdb
@@ -20,6 +21,7 @@ from ebbtide.llm import (
     class_lm, exact_dedup, html_text, ngram_join, packing, piece_sampling, quality_rules, secret_scan, shared, token_files, warc, word_encoding,
 )
 from ebbtide.llm.shared import new_folder
+from ebbtide.runtime import CLEANUP, materialized
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank string, component long, n int, row long, blob string"
 BASE = " ".join(f"w{i}" for i in range(120))
@@ -132,6 +134,34 @@ def test_ngram_join_matches_all_pairs(spark, plain, docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_ngram_sets_are_of_documents_with_partners_of_their_size(spark):
+    long = " ".join(f"v{i}" for i in range(3000))
+    texts = [long, BASE, BASE.replace("w60 ", "x60 "), *[" ".join(f"v{i}" for i in range(k * 60, k * 60 + 60)) for k in range(20)]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = ngram_join.prepared(table, 4, 85)[3]
+    assert {r.doc for r in sets.collect()} == {1, 2}
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table).collect()} == {i: 1 if i == 2 else i for i in range(len(texts))}
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: disk.getAllFiles().mkString(",").count("shuffle_")
+    before = files()
+    table = materialized(spark.range(1000).repartition(5, "id"))
+    for _ in range(50):  # they are removed behind the write
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 1000 and spark.conf.get(CLEANUP) == "false"
+
+
+def test_workers_keep_one_thing():
+    first = shared.kept("a", list)
+    first.append(1)
+    assert shared.kept("a", list) is first
+    assert shared.kept("b", dict) == {} and shared.kept("a", list) == []
+
+
 def test_ngram_links_are_all_pairs(spark, docs, none):
     texts = {}
     for i in range(40):  # one group of near copies, all with different sets, and copies of ten of them

@@ -3,17 +3,21 @@
 log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(token | class). The end of
 a text is a class of its own, which also stands before the first token.
 
-Exchange units are the ``UNITS`` most frequent words of the training texts, each alone, and all other
-words by their ending, in ``ENDINGS`` groups; so every word, seen or not, has a class. The clustering
-moves one unit after the other to the class that raises the likelihood of the class bigrams most,
-until a sweep moves none or ``SWEEPS`` are done. Its input, the counts of neighbouring units, has at
-most (UNITS + ENDINGS + 1) squared rows whatever the corpus, and is all that the driver holds.
+The clustering has two steps. The first gives a start: the ``UNITS`` most frequent words of the training
+texts, each alone, and all others in ``ENDINGS`` groups of one ending move one after the other to the class
+that raises the likelihood of the class bigrams most, until a sweep moves none or ``SWEEPS`` are done. Its input,
+the counts of neighbouring units, has at most (UNITS + ENDINGS + 1) squared rows whatever the corpus, and
+is all that the driver holds. In the second step every other word of the training texts, however rare, leaves its
+group and moves by itself: tasks add up how often each class stands before and behind it, and put it
+into the class that raises the same likelihood most against the first step's table. These words move
+at once, so the model's counts are taken anew afterwards, from the classes of all training tokens. Words not
+seen in training have no neighbours to go by, and the class of their ending.
 
 P(class | before) adds ``ADD_CLASS`` to each count. P(word | class) adds ``ADD_WORD`` to each, with one
 place per class for all words not seen in training; a class's probabilities sum to one.
 
-Words and counts cover every training text. The ``KNOWN`` most frequent counts reach the tasks as a
-list of bounded size; counts of the others are joined by word. Null text is the empty text, which is
+Words and counts cover every training text. The ``KNOWN`` most frequent words reach the tasks as a
+list of bounded size; counts and classes of the others are joined by word. Null text is the empty text, which is
 its end alone. A null ``doc_id`` is in the training part. Rows are scored one by one, also where they
 repeat. An empty table gives an empty result. Other columns are not read.
 """
@@ -27,15 +31,17 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.shared import slices, whole_text
+from ebbtide.llm.shared import over_batches, slices, whole_text
 from ebbtide.runtime import materialized
 
 UNITS, ENDINGS, CLASSES, SWEEPS = 1024, 1023, 48, 4
 KNOWN, ADD_WORD, ADD_CLASS, ADD_BASE = 1 << 16, 0.1, 0.5, 0.1
 END = b""  # no word is empty
+OPEN = 255  # stands for a class that is joined by word
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -155,72 +161,208 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def neighbours(training: DataFrame, units: dict[bytes, int], classes: np.ndarray) -> DataFrame:
+    """word, codes, counts: per task, how often a class stands before (its number) and behind (and ``CLASSES``) each word that is no unit."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        names, of, moves, parts, size = [], [], [], [], 0
+        own = classes.tolist()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            words, codes = np.divmod(keys, 2 * CLASSES)
+            starts = np.flatnonzero(np.diff(words, prepend=-1))
+            for at in range(0, len(starts), 10_000):
+                some = starts[at:at + 10_000]
+                end = starts[at + 10_000] if at + 10_000 < len(starts) else len(keys)
+                cuts = pa.array(np.append(some, end) - some[0], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([names[w] for w in words[some].tolist()], pa.binary()),
+                    pa.ListArray.from_arrays(cuts, pa.array(codes[some[0]:end], pa.int32())),
+                    pa.ListArray.from_arrays(cuts, pa.array(n[some[0]:end], pa.int64()))], names=["word", "codes", "counts"])
+
+        for batch in slices(batches):
+            words = [w for text in batch.column(0) for w in tokens(text.as_py())]
+            for w in words:
+                if w not in number:
+                    number[w] = len(number)
+                    names.append(w)
+                    of.append(own[unit_of(w, units)])
+                    moves.append(w != END and w not in units)
+            code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            found = np.array(of)[code]  # every text ends with the class that stands before the next one
+            at = np.flatnonzero(np.array(moves)[code])
+            parts += [code[at] * 2 * CLASSES + np.concatenate([[0], found])[at], code[at] * 2 * CLASSES + CLASSES + np.append(found, 0)[at + 1]]
+            size += 2 * len(at)
+            if size > 4_000_000 or len(number) > 500_000:
+                yield from out()
+                number.clear()
+                names, of, moves, parts, size = [], [], [], [], 0
+        if size:
+            yield from out()
+    return training.select("text").mapInArrow(count, "word binary, codes array<int>, counts array<bigint>")
+
+
+def best_classes(around: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word, by its counts of classes before and behind it, and the one it is in now."""
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    cells = np.concatenate([table, table.T])  # row: class before or behind; column: class of the word
+    word, code = np.nonzero(around)
+    n = around[word, code][:, None]
+    change = f(cells[code] + n) - f(cells)[code]
+    entry = np.arange(len(word)), own[word]
+    change[entry] = f(cells[code, own[word]]) - f(np.maximum(cells[code, own[word]] - n[:, 0], 0))  # it is counted there already
+    each, total, mine = np.arange(len(around)), around[:, :table.shape[0]].sum(1), own
+    gain = np.add.reduceat(change, np.searchsorted(word, each))  # sorted by word, and every word has neighbours
+    for margin in (table.sum(1), table.sum(0)):
+        step = f(margin + total[:, None]) - f(margin)
+        step[each, mine] = f(margin[mine]) - f(np.maximum(margin[mine] - total, 0))
+        gain -= step
+    gain[:, 0] = -np.inf
+    gain[:, table.sum(0) == 0] = -np.inf  # words that move at once would all meet in one empty class
+    best = np.argmax(gain, 1)
+    return np.where(gain[each, best] > gain[each, own] + 1e-9, best, own)
+
+
+def moved(training: DataFrame, units: dict[bytes, int], classes: np.ndarray, table: np.ndarray) -> DataFrame:
+    """word, n, class of every training word that is no unit."""
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(words: list[bytes], around: np.ndarray) -> pa.RecordBatch:
+            own = classes[[1 + UNITS + ending(w) for w in words]]
+            found = best_classes(around, own, table)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(around[:, :CLASSES].sum(1).astype(np.int64)), pa.array(found, pa.int32())], names=["word", "n", "class"])
+
+        last, sums = None, None  # the word that the next batch may go on with
+        for batch in slices(batches):
+            words = batch.column(0).to_pylist()
+            new = np.array([True, *(a != b for a, b in zip(words, words[1:]))])
+            group = np.repeat(np.cumsum(new) - 1, batch.column(1).value_lengths().to_numpy())
+            codes, counts = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            names = [words[i] for i in np.flatnonzero(new).tolist()]
+            around = np.bincount(group * 2 * CLASSES + codes, counts, len(names) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            if names[0] == last:
+                around[0] += sums
+            elif last is not None:
+                names.insert(0, last)
+                around = np.concatenate([sums[None], around])
+            last, sums = names[-1], around[-1]
+            if len(names) > 1:
+                yield out(names[:-1], around[:-1])
+        if last is not None:
+            yield out([last], sums[None])
+    return neighbours(training, units, classes).repartition("word").sortWithinPartitions("word").mapInArrow(move, "word binary, n long, class int")
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), whole_text().alias("text"))
     training = texts.filter(~F.col("held_out"))
-    counts = materialized(word_counts(training))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    known = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).toLocalIterator()}
-    units = {w: i for i, w in enumerate([w for w in known if w != END][:UNITS], 1)}
+    counts = word_counts(training).filter("word != X''").orderBy(F.desc("n"), "word").limit(UNITS)
+    units = {bytes(r.word): i for i, r in enumerate(counts.toLocalIterator(), 1)}
     pairs = unit_pairs(training, units)
     classes = exchange(pairs)
     member = np.eye(CLASSES)[classes]
-    table = member.T @ pairs @ member
-    transition = np.log10((table + ADD_CLASS) / (table.sum(1, keepdims=True) + ADD_CLASS * CLASSES))
-
-    # words per class: units are known here, the others by group of endings
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 + UNITS + ENDINGS, np.int64)
-        for batch in slices(batches, 10_000):
-            np.add.at(seen, [unit_of(w.as_py(), units) for w in batch.column(0)], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen)), pa.array(seen[seen > 0])], names=["unit", "n"])
-    distinct_words = np.zeros(len(classes))
-    for row in counts.select("word").mapInArrow(groups, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect():
-        distinct_words[row.unit] = row.n
-    types, mass = member.T @ distinct_words, member.T @ pairs.sum(0)
+    # the units' counts are the margins of their pairs; the end of a text is unit 0
+    alone = [(w, int(pairs[:, i].sum()), int(classes[i])) for w, i in {END: 0, **units}.items() if pairs[:, i].any()]
+    vocabulary = materialized(moved(training, units, classes, member.T @ pairs @ member).unionAll(
+        spark.createDataFrame(alone, "word binary, n long, class int")))
+    known = {bytes(r.word): (r.n, r["class"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(KNOWN).toLocalIterator()}
+    types, mass = np.zeros(CLASSES), np.zeros(CLASSES)
+    for row in vocabulary.groupBy("class").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
+        types[row["class"]], mass[row["class"]] = row.words, row.n
+    total, distinct = int(mass.sum()), int(types.sum())
     emission_total = np.log10(mass + ADD_WORD * (types + 1))
-    model = docs.sparkSession.sparkContext.broadcast((known, units, classes, transition, emission_total))  # of bounded size
-
     base_total = log10(total + ADD_BASE * (distinct + 1)) if total else log10(ADD_BASE)
+    model = spark.sparkContext.broadcast((known, classes))  # of bounded size
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the bounded counts decide of each text, and its other words with how often they occur."""
-        known, units, classes, transition, emission_total = model.value
-        cache = {}
+        """What the bounded list decides of each text, the classes of its tokens as bytes, and its other words with their places."""
+        known, classes = model.value
+        number: dict[bytes, int] = {}
+        names, table = [], np.empty((0, 4))
         for batch in slices(batches):
-            rows, bags = [], []
-            for text in batch.column(2):
-                words = tokens(text.as_py())
+            rows, bags, facts = [], [], []
+            each = [tokens(text.as_py()) for text in batch.column(2)]
+            for words in each:
                 for w in words:
-                    if w not in cache:
-                        n, c = known.get(w), int(classes[unit_of(w, units)])
-                        cache[w] = (c, log10(n + ADD_BASE), log10(n + ADD_WORD), 1) if n else (c, 0.0, 0.0, 0)
-                facts = np.array([cache[w] for w in words])
-                chain = np.concatenate([[0], facts[:, 0].astype(np.int64)])
-                model_score = transition[chain[:-1], chain[1:]].sum() - emission_total[chain[1:]].sum() + facts[:, 2].sum()
-                rows.append((len(words), int(facts[:, 3].sum()), float(facts[:, 1].sum()), float(model_score)))
-                bag = Counter(w for w, k in zip(words, facts[:, 3].tolist()) if not k)
-                bags.append([{"word": w, "n": n} for w, n in bag.items()])
-                if len(cache) > 300_000:
-                    cache = {}
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                    if w not in number:
+                        n, c = known.get(w, (0, OPEN))
+                        number[w] = len(number)
+                        names.append(w)
+                        facts.append((c, log10(n + ADD_BASE), log10(n + ADD_WORD), 1) if n else (OPEN, 0.0, 0.0, 0))
+            if facts:
+                table = np.concatenate([table, np.array(facts)])
+            for words in each:
+                code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                found = table[code]
+                places: dict[int, list[int]] = {}
+                for i in np.flatnonzero(found[:, 3] == 0).tolist():
+                    places.setdefault(int(code[i]), []).append(i)
+                bags.append([{"word": names[k], "class": int(classes[1 + UNITS + ending(names[k])]), "at": at} for k, at in places.items()])
+                rows.append((len(words), int(found[:, 3].sum()), float(found[:, 1].sum()), float(found[:, 2].sum()), found[:, 0].astype(np.uint8).tobytes()))
+            if len(number) > 300_000:
+                number.clear()
+                names, table = [], np.empty((0, 4))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
+            bag = pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("at", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *columns, pa.array(bags, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "bag"])
+                [*batch.columns[:2], *columns, pa.array(bags, bag)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "classes", "bag"])
 
     partial = materialized(texts.mapInArrow(
-        part, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, bag array<struct<word: binary, n: bigint>>"
-    ).withColumn("row", F.monotonically_increasing_id()))
-    bagged = partial.select("row", F.explode("bag").alias("b")).select("row", "b.word", F.col("b.n").alias("times"))
-    counted = bagged.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+        part, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, classes binary, "
+        "bag array<struct<word: binary, class: int, at: array<int>>>").withColumn("row", F.monotonically_increasing_id()))
+    bagged = partial.select("row", F.explode("bag").alias("b")).select("row", "b.word", F.col("b.class").alias("unseen"), "b.at")
+    counted = bagged.join(vocabulary, "word", "left").withColumn("c", F.coalesce("n", F.lit(0))).withColumn("times", F.size("at"))
     rest = counted.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(F.col("c") + ADD_BASE)).alias("more_base"),
-        F.sum(F.col("times") * F.log10(F.col("c") + ADD_WORD)).alias("more_model"))
+        F.sum(F.col("times") * F.log10(F.col("c") + ADD_WORD)).alias("more_emitted"),
+        F.collect_list(F.struct(F.coalesce("class", "unseen").alias("class"), "at")).alias("open"))  # one text's words
+
+    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The classes of all tokens of each text."""
+        held = batch.column(5).to_pylist()
+        cuts = np.cumsum([0, *map(len, held)])
+        every = np.frombuffer(b"".join(held), np.uint8).copy()
+        of, at = batch.column(6).flatten().flatten()
+        start = np.repeat(cuts[:-1], pc.fill_null(batch.column(6).value_lengths(), 0).to_numpy())
+        sizes = at.value_lengths().to_numpy()
+        every[np.repeat(start, sizes) + at.flatten().to_numpy()] = np.repeat(of.to_numpy(), sizes)
+        closed = pa.array([every[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], closed], names=["doc_id", "held_out", "n_tokens", "n_known", "sums", "classes"])
+
     zero = F.lit(0.0)
-    return partial.drop("bag").join(rest, "row", "left").select(
+    whole = partial.join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * F.lit(base_total)).alias("base_score"),
-        (F.col("model") + F.coalesce("more_model", zero)).alias("score"))
+        F.struct((F.col("base") + F.coalesce("more_base", zero)).alias("base"), (F.col("emitted") + F.coalesce("more_emitted", zero)).alias("emitted")).alias("sums"),
+        "classes", "open")
+    closed = materialized(over_batches(
+        whole, close, "doc_id long, held_out boolean, n_tokens long, n_known long, sums struct<base: double, emitted: double>, classes binary"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often a class follows another; a text ends with the class that stands before the next one."""
+        seen = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in slices(batches):
+            every = np.frombuffer(b"\0" + b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            seen += np.bincount(every[:-1] * CLASSES + every[1:], minlength=len(seen))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], names=["pair", "n"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    for row in closed.filter(~F.col("held_out")).select("classes").mapInArrow(follow, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[row.pair] = row.n
+    table = table.reshape(CLASSES, CLASSES)
+    transition = np.log10((table + ADD_CLASS) / (table.sum(1, keepdims=True) + ADD_CLASS * CLASSES)) - emission_total
+
+    def chained(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = batch.column(5).to_pylist()
+        every = np.frombuffer(b"\0" + b"".join(held), np.uint8)
+        sums = np.add.reduceat(transition[every[:-1], every[1:]], np.cumsum([0, *map(len, held[:-1])]))
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "sums", "chain"])
+
+    scored = over_batches(
+        closed, chained, "doc_id long, held_out boolean, n_tokens long, n_known long, sums struct<base: double, emitted: double>, chain double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("sums.base") - F.col("n_tokens") * F.lit(base_total)).alias("base_score"), (F.col("sums.emitted") + F.col("chain")).alias("score"))

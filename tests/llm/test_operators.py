@@ -420,6 +420,28 @@ def test_class_model(docs, plain, none):
     assert class_lm.scores(docs).count() == docs.count() and class_lm.scores(none).count() == 0
 
 
+def test_every_word_has_a_class_of_its_own_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "KNOWN", 30)
+    generator = np.random.default_rng(3)
+    # rare words share one ending, but stand in two kinds of places
+    one, two = ([f"{kind}{i}same" for i in range(40)] for kind in "ab")
+    texts = [" ".join(w for _ in range(25) for w in ("le", generator.choice([*one, *["p"] * 20]), "x", "un", generator.choice([*two, *["q"] * 20]), "y")) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    training = table.filter(~class_lm.held_out())
+    units = {bytes(w): i for i, w in enumerate([b"le", b"p", b"q", b"un", b"x", b"y"], 1)}
+    pairs = class_lm.unit_pairs(training, units)
+    classes = class_lm.exchange(pairs)
+    member = np.eye(class_lm.CLASSES)[classes]
+    got = {bytes(r.word): r for r in class_lm.moved(training, units, classes, member.T @ pairs @ member).collect()}
+    words = [w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in t.encode().split()]
+    assert {w: r.n for w, r in got.items()} == {w: n for w, n in collections.Counter(words).items() if w not in units}
+    kinds = [{got[w.encode()]["class"] for w in some if w.encode() in got} for some in (one, two)]
+    assert not kinds[0] & kinds[1]
+    scored = by_id(class_lm.scores(table))
+    held = [r for r in scored.values() if r.held_out]
+    assert len(scored) == 60 and held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_exchange_raises_the_likelihood():
     generator = np.random.default_rng(0)
     kind = np.array([0, *generator.integers(1, 4, 60)])

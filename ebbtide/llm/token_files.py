@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.shard_files import ShardFile, committed, contents, in_shards, written
+from ebbtide.llm.shard_files import ShardFile, committed, in_shards, written
 from ebbtide.llm.shared import filesystem, new_folder, slices, whole_text
 from ebbtide.llm.word_encoding import ROWS, encoder
 
@@ -33,6 +33,8 @@ FOOTER_SIZE = struct.calcsize(FOOTER)
 ENTRY = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u8"), ("tokens", "<u8")])
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 8000, 112_640, 3
 END = np.uint32(2).tobytes()
+#: Documents and tokens that a reader unpacks at a time; a longer document is read alone.
+READ_ROWS, READ_TOKENS = 512, 1 << 21
 
 
 def trained_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
@@ -61,7 +63,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, shard_chars:
     rows, shards = in_shards(texts, "doc_id", F.length("text") + 16, shard_chars)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = encoder(tokenizer, False).encode_all
+        words = encoder(tokenizer, False)
+        encode = words.encode_all
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data)).compress
         file, index = None, []
 
@@ -86,17 +89,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, shard_chars:
                 file.items += len(ids) // 4
         if file:
             yield finish()
+        # an executor has more workers than tasks, and those that wait would keep their words
+        words.forget()
+        pa.default_memory_pool().release_unused()
 
     return committed(written(rows, shards, ["doc_id", "text"], write), folder, SUFFIX)
 
 
-def opened(content: bytes) -> tuple[bytes, np.ndarray]:
-    """The dictionary's hash and the index of a file."""
-    magic, version, digest = struct.unpack_from(HEADER, content)
-    entries, end = struct.unpack_from(FOOTER, content, len(content) - FOOTER_SIZE)
+def opened(file: pa.NativeFile) -> tuple[bytes, np.ndarray]:
+    """The dictionary's hash and the index of a file; no frame is read."""
+    size, head = file.size(), struct.calcsize(HEADER)
+    magic, version, digest = struct.unpack(HEADER, file.read_at(head, 0))
+    entries, end = struct.unpack(FOOTER, file.read_at(FOOTER_SIZE, size - FOOTER_SIZE))
     if (magic, version, end) != (MAGIC, VERSION, MAGIC):
         raise ValueError("not a token file of this version")
-    return digest, np.frombuffer(content, ENTRY, entries, len(content) - FOOTER_SIZE - entries * ENTRY.itemsize)
+    return digest, np.frombuffer(file.read_at(entries * ENTRY.itemsize, size - FOOTER_SIZE - entries * ENTRY.itemsize), ENTRY)
 
 
 def dictionary(folder: str, digest: bytes) -> zstandard.ZstdCompressionDict:
@@ -112,10 +119,7 @@ def read_document(folder: str, name: str, doc_id: int) -> np.ndarray:
     """The ids of one document of one file: reads header, index and that frame only."""
     fs, base = filesystem(folder)
     with fs.open_input_file(f"{base}/{name}") as file:
-        size = file.size()
-        digest = struct.unpack(HEADER, file.read_at(struct.calcsize(HEADER), 0))[2]
-        entries = struct.unpack(FOOTER, file.read_at(FOOTER_SIZE, size - FOOTER_SIZE))[0]
-        index = np.frombuffer(file.read_at(entries * ENTRY.itemsize, size - FOOTER_SIZE - entries * ENTRY.itemsize), ENTRY)
+        digest, index = opened(file)
         entry = index[np.flatnonzero((index["doc_id"] == doc_id) & (index["has_id"] == 1))[0]]
         frame = file.read_at(int(entry["size"]), int(entry["offset"]))
     return np.frombuffer(zstandard.ZstdDecompressor(dict_data=dictionary(folder, digest)).decompress(frame), "<u4")
@@ -125,23 +129,32 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary) of every document, from the files."""
     # one row per file, not per document
     before = Window.orderBy("shard", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("shard", "number", F.coalesce(F.sum("items").over(before), F.lit(0)).alias("file_start"))
+    files = manifest.select("name", F.coalesce(F.sum("items").over(before), F.lit(0)).alias("file_start"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file_start, content in ((r.column(0)[0].as_py(), r.column(1)[0].as_py()) for r in slices(batches, 1)):
-            digest, index = opened(content)
-            unpack = zstandard.ZstdDecompressor(dict_data=dictionary(folder, digest)).decompress
-            start = file_start + np.concatenate([[0], np.cumsum(index["tokens"].astype(np.int64))[:-1]])
-            for at in range(0, len(index), 512):
-                part = index[at:at + 512]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part["doc_id"], mask=part["has_id"] == 0), pa.array(start[at:at + 512]),
-                    pa.array(part["tokens"].astype(np.int64)),
-                    pa.array([unpack(content[o:o + s]) for o, s in zip(part["offset"].tolist(), part["size"].tolist())], pa.binary()),
-                ], names=["doc_id", "start", "n_tokens", "ids"])
-
-    files = contents(manifest, folder, SUFFIX).join(starts, ["shard", "number"])
-    return files.select("file_start", "content").mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
+        """A task reads a file's index, and then so many frames at a time: never a whole file."""
+        fs, base = filesystem(folder)
+        for name, file_start in ((r.column(0)[0].as_py(), r.column(1)[0].as_py()) for r in slices(batches, 1)):
+            with fs.open_input_file(f"{base}/{name}") as file:
+                digest, index = opened(file)
+                unpack = zstandard.ZstdDecompressor(dict_data=dictionary(folder, digest)).decompress
+                ends = np.cumsum(index["tokens"].astype(np.int64))
+                at = 0
+                while at < len(index):
+                    to = np.searchsorted(ends, (ends[at - 1] if at else 0) + READ_TOKENS, "right")
+                    part = index[at:min(max(to, at + 1), at + READ_ROWS)]
+                    first = int(part["offset"][0])
+                    frames = memoryview(file.read_at(int(part["offset"][-1] + part["size"][-1]) - first, first))
+                    cuts = zip((part["offset"].astype(np.int64) - first).tolist(), part["size"].tolist())
+                    tokens = part["tokens"].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(part["doc_id"], mask=part["has_id"] == 0), pa.array(file_start + ends[at:at + len(part)] - tokens),
+                        pa.array(tokens), pa.array([unpack(frames[o:o + s]) for o, s in cuts], pa.binary()),
+                    ], names=["doc_id", "start", "n_tokens", "ids"])
+                    at += len(part)
+
+    files = files.repartition(max(manifest.count(), 1))
+    return files.mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:

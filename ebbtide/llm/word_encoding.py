@@ -4,7 +4,8 @@ Both kinds of tokenizer used here split a text by a pattern before merging, and
 across a single white-space character between two others, nor from letters into the symbols behind
 them. So the ids of a text are those of its words put together. Texts are taken a few at a time: their
 words are numbered, each distinct one is looked up once, and those a worker has not met are
-encoded in one call. Texts with white space of any other kind
+encoded as one text of many, with a mark between them that is a piece of its own; a word that
+holds the mark is encoded alone. Texts with white space of any other kind
 are encoded whole. Strings of special tokens in a text are ordinary text.
 
 A worker keeps at most ``KEPT`` words: when half of that is new, the older half goes, unless it was
@@ -45,6 +46,13 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails = {"": b""}
+        # between spaces a symbol is one piece, and so is a line feed between words that take their space along
+        self.mark, self.between = ("\n", "\n") if spaced else ("|", " | ")
+        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+
+    def forget(self) -> None:
+        """Give back the memory of words."""
+        self.known, self.older, self.tails = {}, {}, {"": b""}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -57,36 +65,56 @@ class WordEncoder:
         if len(self.tails) >= KEPT // 8:
             self.tails = {"": b""}
         known, older, tails, lower = self.known, self.older, self.tails, not self.spaced
-        pending, bodies, ends = [], {}, {}
-        for place in [i for i, found in enumerate(ids) if found is None]:
-            word = words[place]
-            body = word.rstrip(SYMBOLS)
-            end = word[len(body):]
-            if end and not body.removeprefix("\n").isalpha():
-                body, end = word, ""
+        known_of, tail_of = known.get, tails.get
+        places, heads, behind, bodies, ends = [], [], [], {}, {}
+        for place, word in enumerate(words):
+            if ids[place] is not None:
+                continue
+            body, end = word.rstrip(SYMBOLS), ""
+            if len(body) < len(word):
+                if body.isalpha() or body.removeprefix("\n").isalpha():
+                    end = word[len(body):]
+                else:
+                    body = word
             if lower and body.isascii():
                 body = body.lower()
-            if body not in known:
-                if body in older:
-                    known[body] = older[body]
-                else:
-                    bodies[body] = None
+            found = known_of(body)
+            if found is None and (found := older.get(body)) is not None:
+                known[body] = found
+            if found is not None and (tail := tail_of(end)) is not None:
+                ids[place] = found + tail if end else found
+                continue
+            if found is None:
+                bodies[body] = None
             if end not in tails:
                 ends[end] = None
-            pending.append((place, body, end))
+            places.append(place)
+            heads.append(body)
+            behind.append(end)
         for into, asked, space in ((known, bodies, " " if self.spaced else ""), (tails, ends, "")):
             self._ask(into, list(asked), space)
-        for place, body, end in pending:
+        for place, body, end in zip(places, heads, behind):
             ids[place] = known[body] + tails[end] if end else known[body]
         return ids
 
     def _ask(self, into: dict[str, bytes], parts: list[str], space: str) -> None:
         """Encode parts of words, the first of a line as it is and others behind the space."""
+        marked = [p for p in parts if self.mark in p]
+        if marked:
+            parts = [p for p in parts if self.mark not in p]
         for at in range(0, len(parts), CALL):
             some = parts[at:at + CALL]
-            found = self.tokenizer.encode_batch_fast([p if p[0] == "\n" else space + p for p in some], add_special_tokens=False)
-            for part, of in zip(some, found):
-                into[part] = array("I", of.ids).tobytes()
+            ids = array("I", self.tokenizer.encode_batch_fast([self.between.join([space + p for p in some])], add_special_tokens=False)[0].ids)
+            cuts = np.flatnonzero(np.frombuffer(ids, np.uint32) == self.mark_id[0]).tolist()
+            if len(self.mark_id) != 1 or len(cuts) != len(some) - 1:
+                marked += some
+                continue
+            data, start = ids.tobytes(), 0
+            for part, cut in zip(some, [*cuts, len(ids)]):
+                into[part] = data[4 * start:4 * cut]
+                start = cut + 1
+        for part in marked:
+            into[part] = self.direct(part if part[0] == "\n" else space + part)
 
     def _segments(self, text: str) -> Iterator[str]:
         """Parts of an evenly spaced text, cut at spaces; the first word of a line begins with its line feed."""

@@ -4,10 +4,12 @@ import collections
 import functools
 import glob
 import hashlib
+import io
 import itertools
 import math
 import re
 import time
+import types
 import zlib
 
 import duckdb
@@ -379,6 +381,40 @@ def test_token_files(spark, docs, none):
     assert token_files.token_files(spark, none, path).count() == 0
 
 
+def test_token_files_are_read_by_frames_and_words_are_given_back(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = new_folder(spark, "test-frames")
+    manifest = token_files.write_token_files(docs, folder, path)
+    read = token_files.read_token_files(manifest, folder)
+    assert "binaryFile" not in read._jdf.queryExecution().toString()  # no row holds a whole file
+    fs, base = shared.filesystem(folder)
+    taken = []
+
+    class Counted(io.BytesIO):
+        def read(self, size=-1):
+            taken.append(size)
+            return super().read(size)
+
+    content = fs.open_input_file(f"{base}/{manifest.first()['name']}").read()
+    _, index = token_files.opened(pa.PythonFile(Counted(content), mode="r"))
+    assert sum(taken) == len(content) - int(index["size"].sum()) and len(index) == docs.count()
+    words = word_encoding.WordEncoder(path, False)
+    one = words.encode(LONG)
+    words.forget()
+    assert not words.known and not words.older and words.encode(LONG) == one
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_unknown_words_are_encoded_as_one_text(name, spaced):
+    words = word_encoding.WordEncoder(public_tokenizers.path(name), spaced)
+    whole, asked = words.tokenizer, []
+    words.tokenizer = types.SimpleNamespace(
+        encode=whole.encode, encode_batch_fast=lambda texts, **k: asked.extend(texts) or whole.encode_batch_fast(texts, **k))
+    text = " ".join(f"word{i}" for i in range(word_encoding.CALL - 1)) + " a|b"
+    assert np.frombuffer(words.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 2
+
+
 @pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_words_encode_like_whole_texts(name, spaced, monkeypatch):
     path = public_tokenizers.path(name)

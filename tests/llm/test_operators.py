@@ -362,6 +362,46 @@ def test_html_template_strings_inside_the_article(spark):
     assert got[11] == "1\nOne long text that this host has on every page"
 
 
+def test_html_template_is_a_tree_of_ordered_classes(spark):
+    texts = lambda body: {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(
+        [(k, f"http://{h}.example/{k}", f"<html><body>{body(k, h)}</body></html>") for h in ("one", "two") for k in range(4 * (h == "two"), 4 + 4 * (h == "two"))],
+        "page_id long, url string, html string").repartition(3)).collect()}
+    # headings that all pages have stay with the text below them; a box without data goes, also one on the path of another
+    paper = texts(lambda k, h: f"<article><h2>Abstract</h2><p>About {k} of {h}</p><h2>References</h2><p>Other {k}</p><div><p>Follow us</p></div><div><p>Box {k}</p></div></article>")
+    assert paper[2] == "Abstract\nAbout 2 of one\nReferences\nOther 2\nBox 2"
+    # no article, and furniture in containers that neither tag nor name tells
+    plain = texts(lambda k, h: f"<div><a>Home</a><a>Contact</a></div><div><h2>Summary</h2><p>Story {k} of {h}</p></div><div><p>All rights reserved</p></div>")
+    assert plain[5] == "Summary\nStory 5 of two"
+
+
+def test_html_classes_are_checked_for_order_and_nesting(spark):
+    """Against every page by brute force: members in one order, spans that lie apart or within one another."""
+    body = "<div><p>A</p></div><section><p>B</p></section>", "<section><p>B</p></section><div><p>A</p></div>"
+    rows = [(k, "http://x.example/", f"<html><body>{body[k % 2]}<main>{k}<table><tr><td>one {k}<td>two</table></main></body></html>") for k in range(6)]
+    pages = materialized(html_text.sequences(spark.createDataFrame(rows, "page_id long, host string, html string").repartition(3)))
+    one = html_text.templates(pages).first()
+    assert one
+    known = [{t: html_text.Member(*m) for t, *m in zip(*[iter(flat)] * 4)} for flat in one.chain]
+    strings = set()
+    for _, _, page in rows:
+        events = list(html_text.walked(page))
+        kinds, roles, parents = html_text.sequence(events)
+        roles = html_text.refined(roles, kinds, parents, known[:-1]).tolist()
+        texts = [v.strip() for kind, _, v in events if kind == "text" and v.strip()]
+        strings |= {v for v, r in zip(texts, [r for r, k in zip(roles, kinds) if k == html_text.TEXT]) if r in known[-1]}
+        around = []
+        for member in (known[-1][r] for r in roles if r in known[-1]):
+            if member.rank == 0:
+                around.append(0)
+            assert around[-1] == member.rank
+            around[-1] += 1
+            if member.last:
+                around.pop()
+        assert not around
+    # which of A and B comes first is not the same on all pages: both cannot be in the template
+    assert not {"A", "B"} <= strings
+
+
 def test_token_files(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     folder = new_folder(spark, "test-tokens")

@@ -52,6 +52,32 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
+class Numbers(dict):
+    """Numbers of words in the order they are met, and the words by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.names)
+        self.names.append(word)
+        return number
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def joined_tokens(texts: pa.Array) -> tuple[list[bytes], list[int]]:
+    """The tokens of all texts, one after the other, and how many each has."""
+    words, sizes = [], []
+    for text in texts.to_pylist():
+        found = tokens(text)
+        words += found
+        sizes.append(len(found))
+    return words, sizes
+
+
 def ending(word: bytes) -> int:
     """The group of a word that is no unit of its own, by its last four bytes."""
     return zlib.crc32(word[-4:]) % ENDINGS
@@ -84,23 +110,35 @@ def unit_pairs(training: DataFrame, units: dict[bytes, int]) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        number = {}
+        number, of = Numbers(), np.empty(0, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                for w in words:
-                    if w not in number:
-                        number[w] = unit_of(w, units)
-                code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                np.add.at(total, np.concatenate([[0], code[:-1]]) * size + code, 1)
+            code = number.codes(joined_tokens(batch.column(0))[0])
+            of = np.append(of, [unit_of(w, units) for w in number.names[len(of):]]).astype(np.int64)
+            unit = of[code]  # every text ends with the unit that stands before the next one
+            np.add.at(total, np.concatenate([[0], unit[:-1]]) * size + unit, 1)
             if len(number) > 500_000:
-                number.clear()
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            part = at[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
-
-    rows = training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+                number, of = Numbers(), np.empty(0, np.int64)
+        # a row per unit that stands before, not per pair: tasks see nearly every pair of units
+        total = total.reshape(size, size)
+        before = np.flatnonzero(total.any(1))
+        for k in range(0, len(before), 256):
+            some = before[k:k + 256].tolist()
+            after = [np.flatnonzero(total[u]) for u in some]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(some, pa.int32()), pa.array([v.astype(np.int32).tobytes() for v in after], pa.binary()),
+                pa.array([total[u, v].tobytes() for u, v in zip(some, after)], pa.binary())], names=["unit", "after", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in slices(batches):
+            for unit, after, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                sums.setdefault(unit, np.zeros(size, np.int64))[np.frombuffer(after, np.int32)] += np.frombuffer(counts, np.int64)
+        for unit, total in sums.items():
+            after = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(unit * size + after), pa.array(total[after])], names=["pair", "n"])
+
+    tables = training.select("text").mapInArrow(count, "unit int, after binary, counts binary").repartition("unit")
+    rows = tables.mapInArrow(add, "pair long, n long").toArrow()
     pairs = np.zeros(size * size, np.float64)
     pairs[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return pairs.reshape(size, size)
@@ -164,8 +202,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 def neighbours(training: DataFrame, units: dict[bytes, int], classes: np.ndarray) -> DataFrame:
     """word, codes, counts: per task, how often a class stands before (its number) and behind (and ``CLASSES``) each word that is no unit."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
-        names, of, moves, parts, size = [], [], [], [], 0
+        number, of, moves, parts, size = Numbers(), np.empty(0, np.int64), np.empty(0, bool), [], 0
         own = classes.tolist()
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -177,27 +214,22 @@ def neighbours(training: DataFrame, units: dict[bytes, int], classes: np.ndarray
                 end = starts[at + 10_000] if at + 10_000 < len(starts) else len(keys)
                 cuts = pa.array(np.append(some, end) - some[0], pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([names[w] for w in words[some].tolist()], pa.binary()),
+                    pa.array([number.names[w] for w in words[some].tolist()], pa.binary()),
                     pa.ListArray.from_arrays(cuts, pa.array(codes[some[0]:end], pa.int32())),
                     pa.ListArray.from_arrays(cuts, pa.array(n[some[0]:end], pa.int64()))], names=["word", "codes", "counts"])
 
         for batch in slices(batches):
-            words = [w for text in batch.column(0) for w in tokens(text.as_py())]
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-                    names.append(w)
-                    of.append(own[unit_of(w, units)])
-                    moves.append(w != END and w not in units)
-            code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            found = np.array(of)[code]  # every text ends with the class that stands before the next one
-            at = np.flatnonzero(np.array(moves)[code])
+            code = number.codes(joined_tokens(batch.column(0))[0])
+            new = number.names[len(of):]
+            of = np.append(of, [own[unit_of(w, units)] for w in new]).astype(np.int64)
+            moves = np.append(moves, [w != END and w not in units for w in new]).astype(bool)
+            found = of[code]  # every text ends with the class that stands before the next one
+            at = np.flatnonzero(moves[code])
             parts += [code[at] * 2 * CLASSES + np.concatenate([[0], found])[at], code[at] * 2 * CLASSES + CLASSES + np.append(found, 0)[at + 1]]
             size += 2 * len(at)
             if size > 4_000_000 or len(number) > 500_000:
                 yield from out()
-                number.clear()
-                names, of, moves, parts, size = [], [], [], [], 0
+                number, of, moves, parts, size = Numbers(), np.empty(0, np.int64), np.empty(0, bool), [], 0
         if size:
             yield from out()
     return training.select("text").mapInArrow(count, "word binary, codes array<int>, counts array<bigint>")
@@ -280,35 +312,38 @@ def scores(docs: DataFrame) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the bounded list decides of each text, the classes of its tokens as bytes, and its other words with their places."""
         known, classes = model.value
-        number: dict[bytes, int] = {}
-        names, table = [], np.empty((0, 4))
+        number, table = Numbers(), np.empty((0, 4))
         for batch in slices(batches):
-            rows, bags, facts = [], [], []
-            each = [tokens(text.as_py()) for text in batch.column(2)]
-            for words in each:
-                for w in words:
-                    if w not in number:
-                        n, c = known.get(w, (0, OPEN))
-                        number[w] = len(number)
-                        names.append(w)
-                        facts.append((c, log10(n + ADD_BASE), log10(n + ADD_WORD), 1) if n else (OPEN, 0.0, 0.0, 0))
+            words, sizes = joined_tokens(batch.column(2))
+            code = number.codes(words)
+            facts = []  # class (of its ending, if the list has not the word), logarithms of its counts, and whether the list has it
+            for w in number.names[len(table):]:
+                n, c = known.get(w, (0, OPEN))
+                facts.append((c, log10(n + ADD_BASE), log10(n + ADD_WORD), 1) if n else (classes[1 + UNITS + ending(w)], 0.0, 0.0, 0))
             if facts:
-                table = np.concatenate([table, np.array(facts)])
-            for words in each:
-                code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                found = table[code]
-                places: dict[int, list[int]] = {}
-                for i in np.flatnonzero(found[:, 3] == 0).tolist():
-                    places.setdefault(int(code[i]), []).append(i)
-                bags.append([{"word": names[k], "class": int(classes[1 + UNITS + ending(names[k])]), "at": at} for k, at in places.items()])
-                rows.append((len(words), int(found[:, 3].sum()), float(found[:, 1].sum()), float(found[:, 2].sum()), found[:, 0].astype(np.uint8).tobytes()))
+                table = np.concatenate([table, np.array(facts, np.float64)])
+            found, starts = table[code], np.cumsum([0, *sizes])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            sums = np.add.reduceat(found[:, 1:], starts[:-1])  # no text is without its end
+            shut = np.where(found[:, 3] == 1, found[:, 0], OPEN).astype(np.uint8)
+            held = [shut[a:b].tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist())]
+            # the other words of each text, each once with all its places
+            other = np.flatnonzero(found[:, 3] == 0)
+            keys = row[other] * len(number) + code[other]
+            order = np.argsort(keys, kind="stable")
+            other, keys = other[order], keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            cuts = lambda at: pa.array(np.asarray(at), pa.int32())
+            each = code[other[first]]
+            bag = pa.StructArray.from_arrays([
+                pa.array([number.names[k] for k in each.tolist()], pa.binary()), pa.array(table[each, 0].astype(np.int32)),
+                pa.ListArray.from_arrays(cuts(np.append(first, len(other))), pa.array((other - starts[row[other]]).astype(np.int32)))], names=["word", "class", "at"])
+            bags = pa.ListArray.from_arrays(cuts(np.searchsorted(row[other[first]], np.arange(len(sizes) + 1))), bag)
             if len(number) > 300_000:
-                number.clear()
-                names, table = [], np.empty((0, 4))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
-            bag = pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("at", pa.list_(pa.int32()))]))
+                number, table = Numbers(), np.empty((0, 4))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *columns, pa.array(bags, bag)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "classes", "bag"])
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
+                 pa.array(held, pa.binary()), bags], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "classes", "bag"])
 
     partial = materialized(texts.mapInArrow(
         part, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, classes binary, "

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from ebbtide.llm import (
     class_lm, exact_dedup, html_text, ngram_join, packing, piece_sampling, quality_rules, secret_scan, shared, token_files, warc, word_encoding,
 )
-from ebbtide.llm.shared import new_folder
+from ebbtide.llm.shared import new_folder, whole_text
 from ebbtide.runtime import CLEANUP, materialized
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank string, component long, n int, row long, blob string"
@@ -496,6 +496,21 @@ def test_class_model(docs, plain, none):
     assert class_lm.scores(docs).count() == docs.count() and class_lm.scores(none).count() == 0
 
 
+def test_class_model_counts_by_arrays(spark, plain):
+    texts = [r[1] or "" for r in rows()]
+    words, sizes = class_lm.joined_tokens(pa.array(texts))
+    assert words == [w for t in texts for w in class_lm.tokens(t)] and sizes == [len(class_lm.tokens(t)) for t in texts]
+    number = class_lm.Numbers()
+    assert [number.names[k] for k in number.codes(words).tolist()] == words and len(number.names) == len(set(words))
+    units = {w: i for i, w in enumerate(sorted(set(words) - {class_lm.END})[:50], 1)}
+    want = collections.Counter()
+    for t in texts:
+        line = [0, *(class_lm.unit_of(w, units) for w in class_lm.tokens(t))]
+        want.update(zip(line, line[1:]))
+    pairs = class_lm.unit_pairs(plain.select(whole_text().alias("text")), units)
+    assert {(int(a), int(b)): int(pairs[a, b]) for a, b in zip(*np.nonzero(pairs))} == want
+
+
 def test_every_word_has_a_class_of_its_own_neighbours(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "KNOWN", 30)
     generator = np.random.default_rng(3)

@@ -15,6 +15,10 @@ link. ``jaccard_components`` wants links for the components they make alone, so
 documents to one pivot per shared n-gram and size band, then all pairs that still lie in different
 components are generated and verified. A group of g near copies costs g pairs, not g squared.
 
+A pair is verified in two steps. A sketch per set, how many of its hashes fall to each of ``SKETCH`` parts, bounds
+from above what two sets share; only the sets of pairs it leaves are shuffled, told from the
+others by a bitmap of bounded size.
+
 Null or wordless text has the empty set and links with nothing. Rows that share a ``doc_id`` are one
 document, each of whose texts can link; a null id has no component. An empty table gives an empty
 result. Other columns are not read. N-gram hashes have 64 bits, set signatures 128.
@@ -35,6 +39,7 @@ from ebbtide.runtime import materialized
 
 WORDS, PERCENT = 4, 85
 FREQUENT, STAR_ROUNDS, KEPT = 1 << 17, 3, 400_000
+SKETCH, CELLS = 256, 1 << 24
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -152,8 +157,7 @@ def index_rows(classes: DataFrame, part: str) -> DataFrame:
         docs = np.repeat(batch.column(0).to_numpy(), [len(g) for g in grams])
         places = np.concatenate([k + np.arange(len(g)) for k, g in zip(batch.column(2).to_pylist(), grams)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(docs), pa.array(places)], names=["ngram", "doc", "place"])
-    first = F.lit(0) if part == "rare" else F.octet_length("rare") / 8
-    return over_batches(classes.select("doc", part, first.cast("long")), explode, "ngram long, doc long, place long")
+    return over_batches(classes.select("doc", part, F.lit(0).cast("long") if part == "rare" else "rares"), explode, "ngram long, doc long, place long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,17 +182,46 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is in column ``id`` of ``ids``, and others whose hash meets one of those; ``rows`` are not shuffled.
+
+    The ids mark bits of a bitmap of ``CELLS`` bits, 2 MB, whatever their number.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS).cast("long"))
+    marks = ids.select(cell("id").alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("_bits"))
+    bit = F.bitmap_bit_position(cell(key))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_part", F.bitmap_bucket_number(cell(key))).join(F.broadcast(marks), "_part")
+    return found.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """How many hashes of a set fall to each part; the highest number stands for more, too."""
+    return np.minimum(np.bincount(found & (SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """doc, found (binary): the sets of the wanted documents, from their texts."""
+    """doc, n, sketch (binary), found (binary): the sets of the wanted documents and maybe of others, from their texts."""
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t.as_py(), size).tobytes() for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "found"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), whole_text().alias("text")).join(wanted, "doc", "left_semi")
-    return over_batches(texts, build, "doc long, found binary")
+        found = [shingles(t.as_py(), size) for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(map(sketch, found), pa.binary()),
+             pa.array([f.tobytes() for f in found], pa.binary())], names=["doc", "n", "sketch", "found"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), whole_text().alias("text"))
+    return over_batches(among(texts, "doc", wanted.select(F.col("doc").alias("id"))), build, "doc long, n long, sketch binary, found binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose sets are similar enough."""
+    def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, m = (batch.column(i).to_numpy() for i in (2, 4))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (3, 5))
+        least = np.minimum(x, y)
+        most = least.sum(1, dtype=np.int64)
+        keep = (100 * most >= percent * (n + m - most)) | (least == 255).any(1)
+        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
+
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for one, other in zip(batch.column(2), batch.column(3)):
@@ -198,9 +231,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
             keep.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
         return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    one = sets.select(F.col("doc").alias("a"), F.col("found").alias("x"))
-    other = sets.select(F.col("doc").alias("b"), F.col("found").alias("y"))
-    return over_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y"), verify, "a long, b long")
+
+    def with_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+        one = sets.select(F.col("doc").alias("a"), *[F.col(c).alias(f"one_{c}") for c in columns])
+        other = sets.select(F.col("doc").alias("b"), *[F.col(c).alias(f"other_{c}") for c in columns])
+        return pairs.join(one, "a").join(other, "b").select("a", "b", *[f"{side}_{c}" for side in ("one", "other") for c in columns])
+
+    near = materialized(over_batches(with_both(pairs, sets, "n", "sketch"), bound, "a long, b long").distinct())
+    met = among(sets.select("doc", "found"), "doc", near.select(F.explode(F.array("a", "b")).alias("id")))
+    return over_batches(with_both(near, met, "found"), verify, "a long, b long")
 
 
 def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -210,8 +249,10 @@ def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
         F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.min_by("matches", "doc_id").alias("matches"))
     classes = materialized(shared)
     # the class's row: one of those with its id and signature, whose prefixes are equal
-    own = described.join(classes.select(F.col("doc").alias("doc_id"), "signature"), ["doc_id", "signature"], "left_semi")
-    own = own.select(F.col("doc_id").alias("doc"), "rare", "often")
+    # with the length of the rare part, so that the part itself is shuffled once
+    own = described.withColumn("rares", (F.octet_length("rare") / 8).cast("long"))
+    own = own.join(classes.select(F.col("doc").alias("doc_id"), "signature"), ["doc_id", "signature"], "left_semi")
+    own = own.select(F.col("doc_id").alias("doc"), "rare", "often", "rares")
     # n-grams of one document can make no pair. Those that a third of all rows may hold are frequent
     # ones, which are kept as they are, so the window sees small groups alone.
     met = index_rows(own, "rare").withColumn("docs", F.count("*").over(Window.partitionBy("ngram"))).filter("docs > 1").drop("docs")

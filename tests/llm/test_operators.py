@@ -145,6 +145,24 @@ def test_ngram_sets_are_of_documents_with_partners_of_their_size(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table).collect()} == {i: 1 if i == 2 else i for i in range(len(texts))}
 
 
+def test_ngram_sets_of_far_pairs_stay_where_they_are(spark, monkeypatch):
+    half = " ".join([*BASE.split()[:60], *(f"y{i}" for i in range(60))])
+    docs = spark.createDataFrame([(0, BASE), (1, BASE.replace("w60 ", "x60 ")), (2, half), (3, half)], "doc_id long, text string")
+    sets = materialized(ngram_join.sets_of(docs, spark.range(4).withColumnRenamed("id", "doc"), 4))
+    wanted, among = [], ngram_join.among
+    monkeypatch.setattr(ngram_join, "among", lambda rows, key, ids: wanted.extend(r.id for r in ids.collect()) or among(rows, key, ids))
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "a long, b long")
+    assert sorted(map(tuple, ngram_join.linked(pairs, sets, 85).collect())) == [(0, 1)] and sorted(wanted) == [0, 1]
+
+
+def test_ngram_rows_among_ids_and_sketches_that_are_full(spark):
+    ids = spark.range(-5000, 5000)
+    found = {r.doc for r in ngram_join.among(ids.withColumnRenamed("id", "doc"), "doc", ids.filter("id % 100 = 0")).collect()}
+    assert found >= set(range(-5000, 5000, 100)) and len(found) < 110
+    full = np.frombuffer(ngram_join.sketch(np.arange(70_000, dtype=np.int64) * ngram_join.SKETCH), np.uint8)
+    assert full[0] == 255 and not full[1:].any()
+
+
 def test_tables_leave_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: disk.getAllFiles().mkString(",").count("shuffle_")

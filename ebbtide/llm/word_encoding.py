@@ -4,7 +4,8 @@ Both kinds of tokenizer used here split a text by a pattern before merging, and
 across a single white-space character between two others, nor from letters into the symbols behind
 them. So the ids of a text are those of its words put together. Texts are taken a few at a time: their
 words are numbered, each distinct one is looked up once, and those a worker has not met are
-encoded as one text of many, with a mark between them that is a piece of its own; a word that
+encoded: a word of Latin letters alone is one piece, which goes to the tokenizer's model straight; others
+as one text of many, with a mark between them that is a piece of its own; a word that
 holds the mark is encoded alone. Texts with white space of any other kind
 are encoded whole. Strings of special tokens in a text are ordinary text.
 
@@ -30,6 +31,10 @@ KEPT, CHARS, CALL = 300_000, 8 << 20, 1000
 ROWS = 2560
 #: ASCII symbols that are a piece of their own behind letters; the apostrophe may join letters after it.
 SYMBOLS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Byte-level vocabularies write a byte that is no visible character as one behind the 255th.
+BYTES = dict(zip([*range(33), *range(127, 161), 173], range(256, 324)))
+#: The letters of Latin-1 that are not ASCII, as such vocabularies write them.
+LETTERS = {k: chr(k).encode().decode("latin-1").translate(BYTES) for k in range(128, 256) if chr(k).isalpha()}
 
 
 class WordEncoder:
@@ -49,6 +54,13 @@ class WordEncoder:
         # between spaces a symbol is one piece, and so is a line feed between words that take their space along
         self.mark, self.between = ("\n", "\n") if spaced else ("|", " | ")
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.piece = self.tokenizer.model.tokenize
+        self.start = " ".translate(BYTES) if spaced else ""
+        # a tokenizer that takes letters otherwise is asked in full
+        ascii_letters = "".join(c for c in map(chr, range(128)) if c.isalpha())
+        probes = ["a", "Word", "Stra\u00dfe", ascii_letters, "".join(map(chr, LETTERS)), *map(chr, LETTERS)]
+        self.straight = all(self._letters(p) == self.direct(" " + p if spaced else p) for p in probes)
+        self.straight &= not spaced or all(self._letters("\n" + p) == self.direct("\n" + p) for p in probes)
 
     def forget(self) -> None:
         """Give back the memory of words."""
@@ -57,6 +69,21 @@ class WordEncoder:
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, body: str) -> bytes | None:
+        """The ids of Latin letters behind a space, or a line feed of their own; nothing for any other part of a word."""
+        start, feed = self.start, b""
+        if self.spaced and body[:1] == "\n":
+            body, start, feed = body[1:], "", array("I", self.mark_id).tobytes()
+        if not body.isalpha():
+            return None
+        if not body.isascii():
+            if max(body) > "\u00ff":
+                return None
+            body = (body if self.spaced else body.lower()).translate(LETTERS)
+        elif not self.spaced:
+            body = body.lower()
+        return feed + array("I", [token.id for token in self.piece(start + body)]).tobytes()
+
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words: of a word's letters with the white space before, and of the symbols behind."""
         ids = list(map(self.known.get, words))
@@ -65,11 +92,10 @@ class WordEncoder:
         if len(self.tails) >= KEPT // 8:
             self.tails = {"": b""}
         known, older, tails, lower = self.known, self.older, self.tails, not self.spaced
-        known_of, tail_of = known.get, tails.get
+        known_of, tail_of, letters = known.get, tails.get, self._letters if self.straight else lambda body: None
         places, heads, behind, bodies, ends = [], [], [], {}, {}
-        for place, word in enumerate(words):
-            if ids[place] is not None:
-                continue
+        for place in [i for i, found in enumerate(ids) if found is None]:
+            word = words[place]
             body, end = word.rstrip(SYMBOLS), ""
             if len(body) < len(word):
                 if body.isalpha() or body.removeprefix("\n").isalpha():
@@ -79,7 +105,7 @@ class WordEncoder:
             if lower and body.isascii():
                 body = body.lower()
             found = known_of(body)
-            if found is None and (found := older.get(body)) is not None:
+            if found is None and ((found := older.get(body)) is not None or (found := letters(body)) is not None):
                 known[body] = found
             if found is not None and (tail := tail_of(end)) is not None:
                 ids[place] = found + tail if end else found

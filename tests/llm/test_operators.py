@@ -462,6 +462,19 @@ def test_token_files_are_read_by_frames_and_words_are_given_back(spark, docs):
     assert not words.known and not words.older and words.encode(LONG) == one
 
 
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_of_latin_letters_go_to_the_model(name, spaced):
+    words = word_encoding.WordEncoder(public_tokenizers.path(name), spaced)
+    text = "Die Stra\u00dfe \u00c9T\u00c9 na\u00efve\nPlain \u00fcber xqzzkvw\n\u00c0 \u00b5 \u00aa\u00ba ANDso"
+    whole = words.direct(text)
+
+    class Single:  # no call for many words at a time
+        encode = words.tokenizer.encode
+
+    words.tokenizer = Single()
+    assert words.straight and words.encode(text) == whole
+
+
 @pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_unknown_words_are_encoded_as_one_text(name, spaced):
     words = word_encoding.WordEncoder(public_tokenizers.path(name), spaced)

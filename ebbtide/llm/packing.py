@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.shared import over_batches, slices, whole_text
-from ebbtide.llm.word_encoding import ROWS, encoder
+from ebbtide.llm.word_encoding import encoder
 from ebbtide.runtime import materialized
 
 LIMIT = 1024
+#: Texts that a task encodes, and is sent, at a time.
+ROWS = 1280
 #: Rounds at most, how much dearer a round makes a length it leaves out, how far below the best price a
 #: configuration may be to be used, and the gap between solution and bound at which rounds end.
 ROUNDS, STEP, SLACK, GAP = 60, 0.3, 0.05, 0.002
@@ -44,7 +46,8 @@ END = np.uint32(2).tobytes()
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids, task, nth: every piece, with its rank in its task and length."""
     def cut(batches):
-        encode, task, seen = encoder(tokenizer, True).encode_all, TaskContext.get().partitionId(), Counter()
+        words = encoder(tokenizer, True)
+        encode, task, seen = words.encode_all, TaskContext.get().partitionId(), Counter()
 
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
             source, rows = [], []
@@ -61,12 +64,13 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(source)), *columns], names=["doc_id", "piece", "start", "length", "ids", "task", "nth"])
-        return of
+        yield from map(of, slices(batches, ROWS))
+        # an executor has more workers than tasks, and those that wait would keep their words
+        words.forget()
+        pa.default_memory_pool().release_unused()
 
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return narrow.mapInArrow(
-        lambda batches: map(cut(batches), slices(batches, ROWS)),
-        "doc_id long, piece int, start long, length long, ids binary, task int, nth long")
+    return narrow.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary, task int, nth long")
 
 
 def knapsack(price: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +262,7 @@ def places(plan: Plan) -> dict[int, np.ndarray]:
 
 def packed(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary), sequence_id, offset."""
-    cut = materialized(pieces(docs, tokenizer, limit))
+    cut = materialized(pieces(docs, tokenizer, limit), rows=ROWS)
     per_task = materialized(cut.groupBy("length", "task").agg(F.count("*").alias("n")))
     histogram = np.zeros(limit + 1, np.int64)
     for length, n in per_task.groupBy("length").agg(F.sum("n")).collect():

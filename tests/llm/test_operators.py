@@ -23,7 +23,7 @@ from ebbtide.llm import (
     class_lm, exact_dedup, html_text, ngram_join, packing, piece_sampling, quality_rules, secret_scan, shared, token_files, warc, word_encoding,
 )
 from ebbtide.llm.shared import new_folder, whole_text
-from ebbtide.runtime import CLEANUP, materialized
+from ebbtide.runtime import BATCH, CLEANUP, materialized
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank string, component long, n int, row long, blob string"
 BASE = " ".join(f"w{i}" for i in range(120))
@@ -279,6 +279,25 @@ def test_packing_places_every_token_once(docs, none):
     assert packing.packed(none, path).count() == 0
 
 
+def test_packing_holds_few_texts_and_gives_words_back(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"word{i} two") for i in range(3000)], "doc_id long, text string").coalesce(1)
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+    sizes = [r.n for r in materialized(table.mapInArrow(seen, "n long"), rows=packing.ROWS).collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= packing.ROWS and spark.conf.get(BATCH) == "10000"
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", "more words"])], names=["doc_id", "text"])
+    function = []
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    frame = types.SimpleNamespace(mapInArrow=lambda f, schema: function.append(f))
+    packing.pieces(types.SimpleNamespace(select=lambda *c: frame), path)
+    assert sum(b.num_rows for b in function[0](iter([batch]))) == 2
+    words = word_encoding.encoder(path, True)
+    assert not words.known and not words.older
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_no_worse_than_best_fit(seed):
     generator = np.random.default_rng(seed)

@@ -25,8 +25,9 @@ repeat. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice, repeat
 from math import log10
 
 import numpy as np
@@ -42,6 +43,7 @@ UNITS, ENDINGS, CLASSES, SWEEPS = 1024, 1023, 48, 4
 KNOWN, ADD_WORD, ADD_CLASS, ADD_BASE = 1 << 16, 0.1, 0.5, 0.1
 END = b""  # no word is empty
 OPEN = 255  # stands for a class that is joined by word
+STEPS = 64  # counts up to this one have what they change looked up
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -52,20 +54,17 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
-class Numbers(dict):
+class Numbers(defaultdict):
     """Numbers of words in the order they are met, and the words by number."""
 
     def __init__(self) -> None:
-        super().__init__()
+        super().__init__(count().__next__)
         self.names: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        return number
-
     def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.names += islice(self, len(self.names), None)
+        return found
 
 
 def joined_tokens(texts: pa.Array) -> tuple[list[bytes], list[int]]:
@@ -88,6 +87,12 @@ def unit_of(word: bytes, units: dict[bytes, int]) -> int:
     return units.get(word) or (0 if word == END else 1 + UNITS + ending(word))
 
 
+def units_of(words: list[bytes], units: dict[bytes, int]) -> np.ndarray:
+    """``unit_of`` each word."""
+    get, crc32 = units.get, zlib.crc32
+    return np.array([get(w) or (1 + UNITS + crc32(w[-4:]) % ENDINGS if w else 0) for w in words], np.int64)
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """word, n: the tokens of all training texts, counted in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +118,7 @@ def unit_pairs(training: DataFrame, units: dict[bytes, int]) -> np.ndarray:
         number, of = Numbers(), np.empty(0, np.int64)
         for batch in slices(batches):
             code = number.codes(joined_tokens(batch.column(0))[0])
-            of = np.append(of, [unit_of(w, units) for w in number.names[len(of):]]).astype(np.int64)
+            of = np.append(of, units_of(number.names[len(of):], units))
             unit = of[code]  # every text ends with the unit that stands before the next one
             np.add.at(total, np.concatenate([[0], unit[:-1]]) * size + unit, 1)
             if len(number) > 500_000:
@@ -200,10 +205,12 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 
 
 def neighbours(training: DataFrame, units: dict[bytes, int], classes: np.ndarray) -> DataFrame:
-    """word, codes, counts: per task, how often a class stands before (its number) and behind (and ``CLASSES``) each word that is no unit."""
+    """word, entries: per task, how often a class stands before (its number) and behind (and ``CLASSES``) each word that is no unit.
+
+    Entries are 64-bit numbers, 128 times the count and that number.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, of, moves, parts, size = Numbers(), np.empty(0, np.int64), np.empty(0, bool), [], 0
-        own = classes.tolist()
+        number, of, parts, size = Numbers(), np.empty(0, np.int64), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -212,66 +219,92 @@ def neighbours(training: DataFrame, units: dict[bytes, int], classes: np.ndarray
             for at in range(0, len(starts), 10_000):
                 some = starts[at:at + 10_000]
                 end = starts[at + 10_000] if at + 10_000 < len(starts) else len(keys)
-                cuts = pa.array(np.append(some, end) - some[0], pa.int32())
+                cuts = (8 * (np.append(some, end) - some[0])).tolist()
+                entries = (128 * n[some[0]:end] + codes[some[0]:end]).tobytes()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number.names[w] for w in words[some].tolist()], pa.binary()),
-                    pa.ListArray.from_arrays(cuts, pa.array(codes[some[0]:end], pa.int32())),
-                    pa.ListArray.from_arrays(cuts, pa.array(n[some[0]:end], pa.int64()))], names=["word", "codes", "counts"])
+                    pa.array([entries[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["word", "entries"])
 
         for batch in slices(batches):
             code = number.codes(joined_tokens(batch.column(0))[0])
-            new = number.names[len(of):]
-            of = np.append(of, [own[unit_of(w, units)] for w in new]).astype(np.int64)
-            moves = np.append(moves, [w != END and w not in units for w in new]).astype(bool)
-            found = of[code]  # every text ends with the class that stands before the next one
-            at = np.flatnonzero(moves[code])
+            of = np.append(of, units_of(number.names[len(of):], units))
+            unit = of[code]
+            found = classes[unit]  # every text ends with the class that stands before the next one
+            at = np.flatnonzero(unit > UNITS)
             parts += [code[at] * 2 * CLASSES + np.concatenate([[0], found])[at], code[at] * 2 * CLASSES + CLASSES + np.append(found, 0)[at + 1]]
             size += 2 * len(at)
             if size > 4_000_000 or len(number) > 500_000:
                 yield from out()
-                number, of, moves, parts, size = Numbers(), np.empty(0, np.int64), np.empty(0, bool), [], 0
+                number, of, parts, size = Numbers(), np.empty(0, np.int64), [], 0
         if size:
             yield from out()
-    return training.select("text").mapInArrow(count, "word binary, codes array<int>, counts array<bigint>")
-
-
-def best_classes(around: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The class of each word, by its counts of classes before and behind it, and the one it is in now."""
-    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-    cells = np.concatenate([table, table.T])  # row: class before or behind; column: class of the word
-    word, code = np.nonzero(around)
-    n = around[word, code][:, None]
-    change = f(cells[code] + n) - f(cells)[code]
-    entry = np.arange(len(word)), own[word]
-    change[entry] = f(cells[code, own[word]]) - f(np.maximum(cells[code, own[word]] - n[:, 0], 0))  # it is counted there already
-    each, total, mine = np.arange(len(around)), around[:, :table.shape[0]].sum(1), own
-    gain = np.add.reduceat(change, np.searchsorted(word, each))  # sorted by word, and every word has neighbours
-    for margin in (table.sum(1), table.sum(0)):
-        step = f(margin + total[:, None]) - f(margin)
-        step[each, mine] = f(margin[mine]) - f(np.maximum(margin[mine] - total, 0))
-        gain -= step
-    gain[:, 0] = -np.inf
-    gain[:, table.sum(0) == 0] = -np.inf  # words that move at once would all meet in one empty class
-    best = np.argmax(gain, 1)
-    return np.where(gain[each, best] > gain[each, own] + 1e-9, best, own)
+    return training.select("text").mapInArrow(count, "word binary, entries binary")
+
+
+class Gains:
+    """What a word's counts change in the likelihood by the class it is put into, against one table of class pairs."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.size = len(table)
+        self.cells = np.concatenate([table, table.T])  # row: class before or behind; column: class of the word
+        self.margins = table.sum(1), table.sum(0)
+        self.empty = self.margins[1] == 0
+        few = np.arange(STEPS + 1)
+        self.few = self._step(self.cells, few[:, None, None])
+        self.few_all = [self._step(m, few[:, None]) for m in self.margins]
+
+    @staticmethod
+    def _f(x: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+    def _step(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self._f(x + n) - self._f(x)
+
+    def _less(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What a count that is in ``x`` already has changed there."""
+        return self._f(x) - self._f(np.maximum(x - n, 0))
+
+    def best_classes(self, around: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The class of each word, by its counts of classes before and behind it, and the one it is in now."""
+        word, code = np.nonzero(around)
+        n = around[word, code].astype(np.int64)
+        change = self.few[np.minimum(n, STEPS), code]
+        many = np.flatnonzero(n > STEPS)
+        change[many] = self._step(self.cells[code[many]], n[many, None])
+        mine = own[word]
+        change[np.arange(len(word)), mine] = self._less(self.cells[code, mine], n)  # it is counted there already
+        each, total = np.arange(len(around)), around[:, :self.size].sum(1).astype(np.int64)
+        gain = np.add.reduceat(change, np.searchsorted(word, each))  # sorted by word, and every word has neighbours
+        many = np.flatnonzero(total > STEPS)
+        for margin, few in zip(self.margins, self.few_all):
+            step = few[np.minimum(total, STEPS)]
+            step[many] = self._step(margin, total[many, None])
+            step[each, own] = self._less(margin[own], total)
+            gain -= step
+        gain[:, 0] = -np.inf
+        gain[:, self.empty] = -np.inf  # words that move at once would all meet in one empty class
+        best = np.argmax(gain, 1)
+        return np.where(gain[each, best] > gain[each, own] + 1e-9, best, own)
 
 
 def moved(training: DataFrame, units: dict[bytes, int], classes: np.ndarray, table: np.ndarray) -> DataFrame:
     """word, n, class of every training word that is no unit."""
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = Gains(table)
+
         def out(words: list[bytes], around: np.ndarray) -> pa.RecordBatch:
-            own = classes[[1 + UNITS + ending(w) for w in words]]
-            found = best_classes(around, own, table)
+            found = gains.best_classes(around, classes[units_of(words, {})])
             return pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.binary()), pa.array(around[:, :CLASSES].sum(1).astype(np.int64)), pa.array(found, pa.int32())], names=["word", "n", "class"])
 
         last, sums = None, None  # the word that the next batch may go on with
         for batch in slices(batches):
-            words = batch.column(0).to_pylist()
-            new = np.array([True, *(a != b for a, b in zip(words, words[1:]))])
-            group = np.repeat(np.cumsum(new) - 1, batch.column(1).value_lengths().to_numpy())
-            codes, counts = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            names = [words[i] for i in np.flatnonzero(new).tolist()]
+            words = batch.column(0)
+            new = np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))
+            entries = batch.column(1).to_pylist()
+            group = np.repeat(np.cumsum(new) - 1, [len(x) // 8 for x in entries])
+            counts, codes = np.divmod(np.frombuffer(b"".join(entries), np.int64), 128)
+            names = words.filter(pa.array(new)).to_pylist()
             around = np.bincount(group * 2 * CLASSES + codes, counts, len(names) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
             if names[0] == last:
                 around[0] += sums
@@ -300,28 +333,34 @@ def scores(docs: DataFrame) -> DataFrame:
     alone = [(w, int(pairs[:, i].sum()), int(classes[i])) for w, i in {END: 0, **units}.items() if pairs[:, i].any()]
     vocabulary = materialized(moved(training, units, classes, member.T @ pairs @ member).unionAll(
         spark.createDataFrame(alone, "word binary, n long, class int")))
-    known = {bytes(r.word): (r.n, r["class"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(KNOWN).toLocalIterator()}
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    known = {w: i for i, w in enumerate(top.column(0).to_pylist())}
+    n = top.column(1).to_numpy()
+    # class, logarithms of the counts, and that the list has the word
+    facts = np.column_stack([top.column(2).to_numpy(), np.log10(n + ADD_BASE), np.log10(n + ADD_WORD), np.ones(len(n))])
     types, mass = np.zeros(CLASSES), np.zeros(CLASSES)
     for row in vocabulary.groupBy("class").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
         types[row["class"]], mass[row["class"]] = row.words, row.n
     total, distinct = int(mass.sum()), int(types.sum())
     emission_total = np.log10(mass + ADD_WORD * (types + 1))
     base_total = log10(total + ADD_BASE * (distinct + 1)) if total else log10(ADD_BASE)
-    model = spark.sparkContext.broadcast((known, classes))  # of bounded size
+    model = spark.sparkContext.broadcast((known, facts, classes))  # of bounded size
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the bounded list decides of each text, the classes of its tokens as bytes, and its other words with their places."""
-        known, classes = model.value
+        known, facts, classes = model.value
         number, table = Numbers(), np.empty((0, 4))
         for batch in slices(batches):
             words, sizes = joined_tokens(batch.column(2))
             code = number.codes(words)
-            facts = []  # class (of its ending, if the list has not the word), logarithms of its counts, and whether the list has it
-            for w in number.names[len(table):]:
-                n, c = known.get(w, (0, OPEN))
-                facts.append((c, log10(n + ADD_BASE), log10(n + ADD_WORD), 1) if n else (classes[1 + UNITS + ending(w)], 0.0, 0.0, 0))
-            if facts:
-                table = np.concatenate([table, np.array(facts, np.float64)])
+            new = number.names[len(table):]
+            if new:
+                place = np.fromiter(map(known.get, new, repeat(-1)), np.int64, len(new))
+                more = np.zeros((len(new), 4))  # a word that the list has not is in the class of its ending
+                more[place >= 0] = facts[place[place >= 0]]
+                rest = np.flatnonzero(place < 0)
+                more[rest, 0] = classes[units_of([new[i] for i in rest.tolist()], {})]
+                table = np.concatenate([table, more])
             found, starts = table[code], np.cumsum([0, *sizes])
             row = np.repeat(np.arange(len(sizes)), sizes)
             sums = np.add.reduceat(found[:, 1:], starts[:-1])  # no text is without its end
@@ -333,38 +372,42 @@ def scores(docs: DataFrame) -> DataFrame:
             order = np.argsort(keys, kind="stable")
             other, keys = other[order], keys[order]
             first = np.flatnonzero(np.diff(keys, prepend=-1))
-            cuts = lambda at: pa.array(np.asarray(at), pa.int32())
-            each = code[other[first]]
-            bag = pa.StructArray.from_arrays([
-                pa.array([number.names[k] for k in each.tolist()], pa.binary()), pa.array(table[each, 0].astype(np.int32)),
-                pa.ListArray.from_arrays(cuts(np.append(first, len(other))), pa.array((other - starts[row[other]]).astype(np.int32)))], names=["word", "class", "at"])
-            bags = pa.ListArray.from_arrays(cuts(np.searchsorted(row[other[first]], np.arange(len(sizes) + 1))), bag)
+            each, ends = code[other[first]], np.append(first, len(other))
+            cuts = np.searchsorted(row[other[first]], np.arange(len(sizes) + 1))
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+            parts = lambda values, at: [values[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
+            bag = [listed(pa.array([number.names[k] for k in each.tolist()], pa.binary())), listed(pa.array(np.diff(ends), pa.int32())),
+                   pa.array(parts(table[each, 0].astype(np.uint8), cuts), pa.binary()),
+                   pa.array(parts((other - starts[row[other]]).astype(np.int32), ends[cuts]), pa.binary())]
             if len(number) > 300_000:
                 number, table = Numbers(), np.empty((0, 4))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
-                 pa.array(held, pa.binary()), bags], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "classes", "bag"])
+                 pa.array(held, pa.binary()), *bag], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "classes", "words", "times", "unseen", "at"])
 
     partial = materialized(texts.mapInArrow(
         part, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, classes binary, "
-        "bag array<struct<word: binary, class: int, at: array<int>>>").withColumn("row", F.monotonically_increasing_id()))
-    bagged = partial.select("row", F.explode("bag").alias("b")).select("row", "b.word", F.col("b.class").alias("unseen"), "b.at")
-    counted = bagged.join(vocabulary, "word", "left").withColumn("c", F.coalesce("n", F.lit(0))).withColumn("times", F.size("at"))
+        "words array<binary>, times array<int>, unseen binary, at binary").withColumn("row", F.monotonically_increasing_id()))
+    # a word's places stay with its text; only its number there is shuffled
+    bagged = partial.select("row", "times", F.posexplode("words").alias("pos", "word")).select("row", "pos", "word", F.get("times", "pos").alias("times"))
+    counted = bagged.join(vocabulary, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     rest = counted.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(F.col("c") + ADD_BASE)).alias("more_base"),
         F.sum(F.col("times") * F.log10(F.col("c") + ADD_WORD)).alias("more_emitted"),
-        F.collect_list(F.struct(F.coalesce("class", "unseen").alias("class"), "at")).alias("open"))  # one text's words
+        F.collect_list(F.col("pos").cast("long") * 256 + F.col("class")).alias("open"))  # of one text's words, without those that have no class
 
     def close(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The classes of all tokens of each text."""
-        held = batch.column(5).to_pylist()
-        cuts = np.cumsum([0, *map(len, held)])
-        every = np.frombuffer(b"".join(held), np.uint8).copy()
-        of, at = batch.column(6).flatten().flatten()
-        start = np.repeat(cuts[:-1], pc.fill_null(batch.column(6).value_lengths(), 0).to_numpy())
-        sizes = at.value_lengths().to_numpy()
-        every[np.repeat(start, sizes) + at.flatten().to_numpy()] = np.repeat(of.to_numpy(), sizes)
+        held, unseen, at = (batch.column(i).to_pylist() for i in (5, 6, 7))
+        cuts, firsts = (np.cumsum([0, *map(len, x)]) for x in (held, unseen))
+        every, of = (np.frombuffer(b"".join(x), np.uint8).copy() for x in (held, unseen))
+        # words not seen in training keep the class of their ending
+        numbers, own = np.divmod(batch.column(9).flatten().to_numpy(), 256)
+        of[np.repeat(firsts[:-1], pc.fill_null(batch.column(9).value_lengths(), 0).to_numpy()) + numbers] = own
+        times = batch.column(8).flatten().to_numpy()
+        start = np.repeat(cuts[:-1], np.diff(firsts))
+        every[np.repeat(start, times) + np.frombuffer(b"".join(at), np.int32)] = np.repeat(of, times)
         closed = pa.array([every[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns[:5], closed], names=["doc_id", "held_out", "n_tokens", "n_known", "sums", "classes"])
 
@@ -372,7 +415,7 @@ def scores(docs: DataFrame) -> DataFrame:
     whole = partial.join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.struct((F.col("base") + F.coalesce("more_base", zero)).alias("base"), (F.col("emitted") + F.coalesce("more_emitted", zero)).alias("emitted")).alias("sums"),
-        "classes", "open")
+        "classes", "unseen", "at", "times", "open")
     closed = materialized(over_batches(
         whole, close, "doc_id long, held_out boolean, n_tokens long, n_known long, sums struct<base: double, emitted: double>, classes binary"))
 

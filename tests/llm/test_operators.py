@@ -583,6 +583,40 @@ def test_every_word_has_a_class_of_its_own_neighbours(spark, monkeypatch):
     assert len(scored) == 60 and held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_gains_are_those_of_the_likelihood():
+    generator = np.random.default_rng(5)
+    size = class_lm.CLASSES
+    table = generator.integers(0, 400, (size, size)).astype(float)
+    around = np.zeros((30, 2 * size))
+    for k in range(30):  # counts on both sides of those that are looked up
+        for half in (0, size):
+            around[k, half + generator.integers(1, size, 4)] = generator.integers(1, [3, 40, 3 * class_lm.STEPS][k % 3], 4)
+    around[:, size + 1] += around[:, :size].sum(1) - around[:, size:].sum(1) + 500
+    own = generator.integers(1, size, 30)
+    x = lambda a: a * math.log(a) if a > 0 else 0.0
+    got = class_lm.Gains(table).best_classes(around, own)
+    for k in range(30):
+        gains, total = {}, around[k, :size].sum()
+        for c in range(1, size):
+            parts = [(table[g, c], around[k, g]) for g in range(size)] + [(table[c, g], around[k, size + g]) for g in range(size)]
+            change = lambda v, n: (x(v) - x(max(v - n, 0)) if c == own[k] else x(v + n) - x(v)) if n else 0.0
+            gains[c] = sum(change(v, n) for v, n in parts) - change(table[c].sum(), total) - change(table[:, c].sum(), total)
+        best = max(gains, key=gains.get)
+        assert got[k] == (best if gains[best] > gains[own[k]] + 1e-9 else own[k])
+
+
+def test_words_outside_the_list_meet_their_classes(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 7}" for k in range(20)) + (f" only{i} w1 only{i} rare{i % 3}" if i % 2 else "") for i in range(40)] + ["", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = by_id(class_lm.scores(table))
+    monkeypatch.setattr(class_lm, "KNOWN", 3)
+    got = by_id(class_lm.scores(table))
+    assert got.keys() == wanted.keys() and len(got) == 42
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known) == (wanted[i].n_tokens, wanted[i].n_known)
+        assert (r.base_score, r.score) == (pytest.approx(wanted[i].base_score), pytest.approx(wanted[i].score))
+
+
 def test_exchange_raises_the_likelihood():
     generator = np.random.default_rng(0)
     kind = np.array([0, *generator.integers(1, 4, 60)])

@@ -115,14 +115,11 @@ def unit_pairs(training: DataFrame, units: dict[bytes, int]) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        number, of = Numbers(), np.empty(0, np.int64)
         for batch in slices(batches):
+            number = Numbers()  # of one batch, small enough to stay near the processor
             code = number.codes(joined_tokens(batch.column(0))[0])
-            of = np.append(of, units_of(number.names[len(of):], units))
-            unit = of[code]  # every text ends with the unit that stands before the next one
+            unit = units_of(number.names, units)[code]  # every text ends with the unit that stands before the next one
             np.add.at(total, np.concatenate([[0], unit[:-1]]) * size + unit, 1)
-            if len(number) > 500_000:
-                number, of = Numbers(), np.empty(0, np.int64)
         # a row per unit that stands before, not per pair: tasks see nearly every pair of units
         total = total.reshape(size, size)
         before = np.flatnonzero(total.any(1))
@@ -349,18 +346,15 @@ def scores(docs: DataFrame) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the bounded list decides of each text, the classes of its tokens as bytes, and its other words with their places."""
         known, facts, classes = model.value
-        number, table = Numbers(), np.empty((0, 4))
         for batch in slices(batches):
             words, sizes = joined_tokens(batch.column(2))
+            number = Numbers()
             code = number.codes(words)
-            new = number.names[len(table):]
-            if new:
-                place = np.fromiter(map(known.get, new, repeat(-1)), np.int64, len(new))
-                more = np.zeros((len(new), 4))  # a word that the list has not is in the class of its ending
-                more[place >= 0] = facts[place[place >= 0]]
-                rest = np.flatnonzero(place < 0)
-                more[rest, 0] = classes[units_of([new[i] for i in rest.tolist()], {})]
-                table = np.concatenate([table, more])
+            place = np.fromiter(map(known.get, number.names, repeat(-1)), np.int64, len(number))
+            table = np.zeros((len(number), 4))
+            table[place >= 0] = facts[place[place >= 0]]
+            rest = np.flatnonzero(place < 0)  # a word that the list has not is in the class of its ending
+            table[rest, 0] = classes[units_of([number.names[k] for k in rest.tolist()], {})]
             found, starts = table[code], np.cumsum([0, *sizes])
             row = np.repeat(np.arange(len(sizes)), sizes)
             sums = np.add.reduceat(found[:, 1:], starts[:-1])  # no text is without its end
@@ -379,8 +373,6 @@ def scores(docs: DataFrame) -> DataFrame:
             bag = [listed(pa.array([number.names[k] for k in each.tolist()], pa.binary())), listed(pa.array(np.diff(ends), pa.int32())),
                    pa.array(parts(table[each, 0].astype(np.uint8), cuts), pa.binary()),
                    pa.array(parts((other - starts[row[other]]).astype(np.int32), ends[cuts]), pa.binary())]
-            if len(number) > 300_000:
-                number, table = Numbers(), np.empty((0, 4))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
                  pa.array(held, pa.binary()), *bag], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "emitted", "classes", "words", "times", "unseen", "at"])

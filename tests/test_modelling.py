@@ -1,11 +1,15 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from ebbtide.operators import drivers, modelling, splitting
 from ebbtide.operators.evaluation import score
+from ebbtide.runtime import checkpointed
 from ebbtide.sources import sinks
 from ebbtide.sources.transactions import load_model
 
@@ -203,3 +207,25 @@ def test_places_of_columns_in_the_vector(spark):
     found = drivers.permutation_importance(model, frame, ["a", "b", "kind"], repeats=2).collect()
     again = {r["feature"]: r["importance_mean"] for r in drivers.rescored_importance(model, frame, ["a", "b", "kind"], repeats=2).collect()}
     assert {r["feature"]: r["importance_mean"] for r in found} == pytest.approx(again, abs=1e-9)
+
+
+def test_a_forest_keeps_the_place_of_each_row(table):
+    ready = modelling.preprocessor(table, ["a", "b", "noise"]).fit(table).transform(splitting.with_class_weight(table)).cache()
+    text = lambda **p: modelling.candidate("random_forest", 300.0, numTrees=3, maxDepth=8, **p).fit(ready).toDebugString.split("\n", 1)[1]
+    assert modelling.candidate("random_forest", 1.0).getCacheNodeIds()
+    assert text() == text(cacheNodeIds=False)
+
+
+def test_a_model_scores_its_rows_before_the_next_is_fitted(table, monkeypatch):
+    seen, fitted, written = [], modelling.Trial.build, DataFrameWriter.parquet
+    monkeypatch.setattr(modelling.Trial, "build", lambda *a: seen.append("fit") or fitted(*a))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: seen.append("write") or written(*a, **k))
+    scores = modelling.out_of_fold_scores(table, [modelling.Trial(f"C={c}", "logistic_regression", (("C", c),)) for c in (1, 2)], k=2, parallelism=1)
+    assert seen[seen.index("fit"):] == ["fit", "write"] * 4
+    assert {(r["model"], r["count"]) for r in scores.groupBy("model").count().collect()} == {("C=1", 300), ("C=2", 300)}
+
+
+def test_a_session_without_a_checkpoint_folder_gets_one():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=(found := []).append, master="local[1]")
+    checkpointed(SimpleNamespace(sparkContext=context, conf={"spark.sql.warehouse.dir": "/w"}))
+    assert len(found) == 1 and found[0].startswith("/w/ebbtide/")

@@ -43,10 +43,28 @@ def with_donors(source: DataFrame, carried: Sequence[str], repeats: int, seed: i
 def permuted(df: DataFrame, columns: Sequence[str], repeats: int, seed: int, key: str) -> DataFrame:
     """Every row once per (feature, repeat), that feature taken from another row."""
     paired = with_donors(df.select(key, fv.LABEL, *columns), columns, repeats, seed, key).withColumn(
-        "feature", F.explode(F.array(*[F.lit(c) for c in columns]))
+        "_feature", F.explode(F.array(*map(F.lit, range(len(columns)))))
     )
-    swapped = {c: F.when(F.col("feature") == c, F.col(f"{c}__donor")).otherwise(F.col(c)) for c in columns}
-    return paired.withColumns(swapped).select("feature", "repeat", fv.LABEL, *columns)
+    swapped = {c: F.when(F.col("_feature") == i, F.col(f"{c}__donor")).otherwise(F.col(c)) for i, c in enumerate(columns)}
+    return paired.withColumns(swapped).select(_named(columns, F.col("_feature")), "repeat", fv.LABEL, *columns)
+
+
+def _named(columns: Sequence[str], place: Column) -> Column:
+    return F.get(F.array(*map(F.lit, columns)), place).alias("feature")
+
+
+def _areas_by_feature(numbered: DataFrame, columns: Sequence[str], repeats: int) -> DataFrame:
+    """ROC-AUC per ``feature`` and ``repeat`` of scores with ``_group``, one number for both: names are not shuffled.
+
+    Rows are scored once: the order by score passes over its rows several times, so the scores are written first.
+    """
+    group = F.col("_group")
+    return roc_auc(materialized(numbered), by=["_group"]).select(
+        _named(columns, F.floor(group / repeats).cast("int")), F.pmod(group, F.lit(repeats)).cast("int").alias("repeat"), "roc_auc")
+
+
+def _group(place: Column, repeats: int) -> Column:
+    return (place * repeats + F.col("repeat")).cast("int").alias("_group")
 
 
 def feature_places(model: PipelineModel) -> dict[str, range]:
@@ -84,9 +102,9 @@ def _areas(model: PipelineModel, df: DataFrame, columns: Sequence[str], repeats:
         used = [c for c in columns if any(weights[i] for i in places[c])]
         total = lambda terms: reduce(lambda a, b: a + b, terms, F.lit(0.0))
         margin = total([at("x", i) * w for i, w in enumerate(weights)])
-        moved = [F.struct(F.lit(c).alias("feature"), (F.col("_margin") + total([(at("x__donor", i) - at("x", i)) * weights[i] for i in places[c]])).alias("y_prob")) for c in used]
+        moved = [F.struct(_group(F.lit(columns.index(c)), repeats), (F.col("_margin") + total([(at("x__donor", i) - at("x", i)) * weights[i] for i in places[c]])).alias("y_prob")) for c in used]
         base = own.select("y_true", margin.alias("y_prob"))
-        shuffled = paired.withColumn("_margin", margin).select("repeat", "y_true", F.inline(F.array(*moved))) if used else None
+        shuffled = paired.withColumn("_margin", margin).select("y_true", F.inline(F.array(*moved))) if used else None
     else:
         split_on = set(np.flatnonzero(fitted.featureImportances.toArray()).tolist())
         used = [c for c in columns if split_on & set(places[c])]
@@ -98,11 +116,11 @@ def _areas(model: PipelineModel, df: DataFrame, columns: Sequence[str], repeats:
             mixed = lambda v, i: F.when((i >= place.start) & (i < place.stop), v["d"]).otherwise(v["x"])
             return F.zip_with(both, index, mixed)
 
-        moved = [F.struct(F.lit(c).alias("feature"), swapped(places[c]).alias("_x")) for c in used]
+        moved = [F.struct(_group(F.lit(columns.index(c)), repeats), swapped(places[c]).alias("_x")) for c in used]
         base = fitted.transform(own.select("y_true", array_to_vector("x").alias("features"))).select("y_true", probability)
-        vectors = paired.select("repeat", "y_true", F.inline(F.array(*moved))) if used else None
-        shuffled = fitted.transform(vectors.withColumn("features", array_to_vector("_x"))).select("repeat", "y_true", "feature", probability) if used else None
-    areas = roc_auc(shuffled, by=["feature", "repeat"]) if used else df.sparkSession.createDataFrame([], "feature string, repeat int, roc_auc double")
+        vectors = paired.select("y_true", F.inline(F.array(*moved))) if used else None
+        shuffled = fitted.transform(vectors.withColumn("features", array_to_vector("_x"))).select("_group", "y_true", probability) if used else None
+    areas = _areas_by_feature(shuffled, columns, repeats) if used else df.sparkSession.createDataFrame([], "feature string, repeat int, roc_auc double")
     return roc_auc(base), areas
 
 
@@ -125,7 +143,9 @@ def rescored_importance(
     model: PipelineModel, df: DataFrame, columns: Sequence[str], repeats: int, seed: int = fv.SEED, key: str = "customer_id"
 ) -> DataFrame:
     """The mean importances by scoring every changed row with the whole model: slow, to compare with."""
-    areas = roc_auc(score(model, permuted(df, columns, repeats, seed, key)).select("feature", "repeat", "y_true", "y_prob"), by=["feature", "repeat"])
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("feature")) - 1
+    scored = score(model, permuted(df, columns, repeats, seed, key)).select(_group(place, repeats), "y_true", "y_prob")
+    areas = _areas_by_feature(scored, columns, repeats)
     baseline = materialized(roc_auc(score(model, df).select("y_true", "y_prob"))).scalar()
     return areas.groupBy("feature").agg(F.avg(baseline - F.col("roc_auc")).alias("importance_mean"))
 

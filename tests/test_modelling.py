@@ -7,8 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from ebbtide.operators import drivers, modelling, splitting
-from ebbtide.operators.evaluation import score
+from ebbtide.operators import drivers, modelling, ordering, splitting
+from ebbtide.operators.evaluation import roc_auc, score
 from ebbtide.runtime import checkpointed
 from ebbtide.sources import sinks
 from ebbtide.sources.transactions import load_model
@@ -229,3 +229,31 @@ def test_a_session_without_a_checkpoint_folder_gets_one():
     context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=(found := []).append, master="local[1]")
     checkpointed(SimpleNamespace(sparkContext=context, conf={"spark.sql.warehouse.dir": "/w"}))
     assert len(found) == 1 and found[0].startswith("/w/ebbtide/")
+
+
+def test_changed_rows_are_scored_once(spark, table):
+    model, scored = modelling.fit(table, "logistic_regression"), spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        scored.add(1)
+        return value
+
+    rows = table.withColumn("_group", F.lit(0)).withColumn("y_true", F.col("churn_label").cast("int"))
+    areas = drivers._areas_by_feature(rows.select("_group", "y_true", counted("a").alias("y_prob")), ["a"], 1).collect()
+    assert scored.value == 300 and len(areas) == 1 and areas[0]["feature"] == "a" and areas[0]["repeat"] == 0
+    again = {r["feature"]: r["importance_mean"] for r in drivers.rescored_importance(model, table, ["a", "b", "noise"], repeats=2).collect()}
+    assert again["a"] > 0.1 > abs(again["noise"])
+
+
+@pytest.mark.parametrize("ties", [1, 50])
+def test_an_area_takes_its_cuts_and_totals_from_the_scored_rows(spark, ties, monkeypatch):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 900), "y_true": rng.integers(0, 2, 900), "y_prob": rng.integers(-900, 900, 900) // ties / 1.0})
+    seen, cuts = [], ordering._cuts
+    monkeypatch.setattr(ordering, "_cuts", lambda df, keys: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or cuts(df, keys))
+    got = {r["g"]: r["roc_auc"] for r in roc_auc(spark.createDataFrame(pdf), ["g"]).collect()}
+    for g, of in pdf.groupby("g"):
+        pos, neg = of.y_prob[of.y_true == 1].to_numpy()[:, None], of.y_prob[of.y_true == 0].to_numpy()[None, :]
+        assert got[g] == pytest.approx(((pos > neg) + (pos == neg) / 2).mean(), abs=1e-12)
+    assert len(seen) == 1 and "Aggregate" not in seen[0]
